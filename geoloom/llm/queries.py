@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from geoloom.llm import substring_dedup
+from geoloom.llm import secrets, substring_dedup
 
 QUERIES = {
+    "op1_secrets": secrets.op1_secrets,
     "op4_substring_dedup": substring_dedup.op4_substring_dedup,
 }
 

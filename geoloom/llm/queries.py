@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from geoloom.llm import secrets, substring_dedup
+from geoloom.llm import secrets, substring_dedup, toxicity
 
 QUERIES = {
+    "op2_toxicity": toxicity.op2_toxicity,
     "op1_secrets": secrets.op1_secrets,
     "op4_substring_dedup": substring_dedup.op4_substring_dedup,
 }

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from geoloom.llm import secrets, substring_dedup, toxicity
+from geoloom.llm import jaccard_join, secrets, substring_dedup, toxicity
 
 QUERIES = {
     "op2_toxicity": toxicity.op2_toxicity,
     "op1_secrets": secrets.op1_secrets,
     "op4_substring_dedup": substring_dedup.op4_substring_dedup,
+    "op5_jaccard_join": jaccard_join.op5_jaccard_join,
 }
 
 ORACLES = {
     "op4_substring_dedup": substring_dedup.OP4_SQL,
+    "op5_jaccard_join": jaccard_join.OP5_SQL,
 }

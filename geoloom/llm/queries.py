@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
-from geoloom.llm import jaccard_join, secrets, substring_dedup, toxicity
+from geoloom.llm import decontaminate, jaccard_join, quality, secrets, substring_dedup, toxicity
 
 QUERIES = {
-    "op2_toxicity": toxicity.op2_toxicity,
     "op1_secrets": secrets.op1_secrets,
+    "op2_toxicity": toxicity.op2_toxicity,
+    "op3_quality": quality.op3_quality,
     "op4_substring_dedup": substring_dedup.op4_substring_dedup,
     "op5_jaccard_join": jaccard_join.op5_jaccard_join,
+    "op8_decontamination": decontaminate.op8_decontamination,
 }
 
 ORACLES = {
     "op4_substring_dedup": substring_dedup.OP4_SQL,
     "op5_jaccard_join": jaccard_join.OP5_SQL,
+    "op8_decontamination": decontaminate.OP8_SQL,
 }

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from geoloom.llm import decontaminate, jaccard_join, quality, secrets, substring_dedup, toxicity
+from geoloom.llm import decontaminate, jaccard_join, mixing, quality, secrets, substring_dedup, toxicity
 
 QUERIES = {
     "op1_secrets": secrets.op1_secrets,
@@ -11,10 +11,12 @@ QUERIES = {
     "op4_substring_dedup": substring_dedup.op4_substring_dedup,
     "op5_jaccard_join": jaccard_join.op5_jaccard_join,
     "op8_decontamination": decontaminate.op8_decontamination,
+    "op10_mixing": mixing.op10_mixing,
 }
 
 ORACLES = {
     "op4_substring_dedup": substring_dedup.OP4_SQL,
     "op5_jaccard_join": jaccard_join.OP5_SQL,
     "op8_decontamination": decontaminate.OP8_SQL,
+    "op10_mixing": mixing.OP10_SQL,
 }

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from geoloom.llm import decontaminate, jaccard_join, mixing, quality, secrets, substring_dedup, toxicity
+from geoloom.llm import decontaminate, jaccard_join, mixing, pii, quality, secrets, substring_dedup, toxicity
 
 QUERIES = {
     "op1_secrets": secrets.op1_secrets,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_quality": quality.op3_quality,
     "op4_substring_dedup": substring_dedup.op4_substring_dedup,
     "op5_jaccard_join": jaccard_join.op5_jaccard_join,
+    "op7_pii": pii.op7_pii,
     "op8_decontamination": decontaminate.op8_decontamination,
     "op10_mixing": mixing.op10_mixing,
 }

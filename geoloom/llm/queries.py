@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from geoloom.llm import decontaminate, jaccard_join, mixing, pii, quality, secrets, substring_dedup, toxicity
+from geoloom.llm import decontaminate, jaccard_join, mixing, pii, quality, secrets, substring_dedup, topk_search, toxicity
 
 QUERIES = {
     "op1_secrets": secrets.op1_secrets,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_quality": quality.op3_quality,
     "op4_substring_dedup": substring_dedup.op4_substring_dedup,
     "op5_jaccard_join": jaccard_join.op5_jaccard_join,
+    "op6_topk": topk_search.op6_topk,
     "op7_pii": pii.op7_pii,
     "op8_decontamination": decontaminate.op8_decontamination,
     "op10_mixing": mixing.op10_mixing,
@@ -18,6 +19,7 @@ QUERIES = {
 ORACLES = {
     "op4_substring_dedup": substring_dedup.OP4_SQL,
     "op5_jaccard_join": jaccard_join.OP5_SQL,
+    "op6_topk": topk_search.OP6_SQL,
     "op8_decontamination": decontaminate.OP8_SQL,
     "op10_mixing": mixing.OP10_SQL,
 }

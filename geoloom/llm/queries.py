@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from geoloom.llm import decontaminate, jaccard_join, mixing, pii, quality, secrets, substring_dedup, topk_search, toxicity
+from geoloom.llm import decontaminate, jaccard_join, language_id, mixing, pii, quality, secrets, substring_dedup, topk_search, toxicity
 
 QUERIES = {
     "op1_secrets": secrets.op1_secrets,
@@ -13,6 +13,7 @@ QUERIES = {
     "op6_topk": topk_search.op6_topk,
     "op7_pii": pii.op7_pii,
     "op8_decontamination": decontaminate.op8_decontamination,
+    "op9_language_id": language_id.op9_language_id,
     "op10_mixing": mixing.op10_mixing,
 }
 

@@ -61,26 +61,27 @@ def _rows_of(tokens: np.ndarray, at: np.ndarray, rows: np.ndarray) -> np.ndarray
 
 
 def members(docs: DataFrame, k: int) -> DataFrame:
-    """One row per document, and per slice one with the shingles that several of its sets share."""
+    """One row per document, with xxhash64 of its text as ``row_key``, and per slice one with the shingles that several of its sets share."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             tokens, at, n, ids = _sets(batch, k)
             values, counts = np.unique(_rows_of(tokens, at, _distinct(ids)), return_counts=True)
             some = counts >= HOT_LOCAL
-            doc = pa.concat_arrays([batch.column(0).cast(pa.int64()), pa.array([None], pa.int64())])
+            doc, key = (pa.concat_arrays([batch.column(i).cast(pa.int64()), pa.array([None], pa.int64())]) for i in (0, 2))
             yield pa.RecordBatch.from_arrays(
                 [
                     doc,
+                    key,
                     pa.array(np.r_[n, 0], pa.int64()),
                     pa.array(np.r_[ids, np.uint64(0)].view(np.int64)),
                     pa.array([None] * len(n) + [values[some].tobytes()], pa.binary()),
                     pa.array([None] * len(n) + [counts[some].astype(np.int64).tobytes()], pa.binary()),
                 ],
-                ["doc_id", "n_shingles", "set_id", "tokens", "counts"],
+                ["doc_id", "row_key", "n_shingles", "set_id", "tokens", "counts"],
             )
 
-    return texts(docs).mapInArrow(scan, "doc_id long, n_shingles long, set_id long, tokens binary, counts binary")
+    return texts(docs).withColumn("row_key", F.xxhash64("text")).mapInArrow(scan, "doc_id long, row_key long, n_shingles long, set_id long, tokens binary, counts binary")
 
 
 def frequent_shingles(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -246,61 +247,100 @@ def _later_pairs(percent: int):
     return pairs
 
 
-def _verified(docs: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame:
-    """Those pairs of set ids whose whole sets are similar enough.
+def _wide_signature(own: np.ndarray) -> bytes:
+    """Parity of at least twice as many bits as the set has shingles, a power of two of them."""
+    bits = max(64, 1 << int(2 * len(own) - 1).bit_length())
+    return np.packbits((np.bincount((own >> np.uint64(11)).astype(np.int64) & (bits - 1), minlength=bits) & 1).astype(np.uint8)).tobytes()
+
+
+def _needed_sets(docs: DataFrame, pairs: DataFrame, k: int, wide: bool) -> DataFrame:
+    """``s, n`` and the whole set (``tokens``), or its wide signature, of the sets in ``pairs`` and of few others.
 
     Sets are made again from the texts; a Bloom filter of bounded size keeps back
-    most that no pair needs, a join the rest.
+    nearly all that no pair needs.
     """
     bits = BLOOM_WORDS * 64
+    places = lambda c: (F.pmod(F.xxhash64(c), F.lit(bits)), F.pmod(F.xxhash64(c, F.lit(1)), F.lit(bits)))
     ids = pairs.select(F.explode(F.array("a", "b")).alias("s")).distinct()
     words = (
-        ids.select(F.explode(F.array(F.pmod(F.xxhash64("s"), F.lit(bits)), F.pmod(F.xxhash64("s", F.lit(1)), F.lit(bits)))).alias("bit"))
-        .groupBy((F.col("bit") / 64).cast("long").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit % 64 as int))")).alias("mask"))
+        ids.select(F.explode(F.array(*places("s"))).alias("bit"))
+        .groupBy(F.floor(F.col("bit") / 64).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit % 64 as int))")).alias("mask"))
     )
     sent = words.toPandas()  # BLOOM_WORDS rows at most
     bloom = np.zeros(BLOOM_WORDS, np.int64)
     bloom[sent["word"].to_numpy(np.int64)] = sent["mask"].to_numpy(np.int64)
-    empty = not len(sent)
+    shared = docs.sparkSession.sparkContext.broadcast(bloom)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in [] if empty else slices(batches):
+        for batch in slices(batches):
             tokens, at, n, ids = _sets(batch, k)
             rows = _distinct(ids)
-            yield pa.RecordBatch.from_arrays([pa.array(ids[rows].view(np.int64)), pa.array([tokens[at[r] : at[r + 1]].view(np.int64) for r in rows], pa.list_(pa.int64()))], ["s", "tokens"])
-
-    shared = docs.sparkSession.sparkContext.broadcast(bloom)
+            value = [_wide_signature(tokens[at[r] : at[r + 1]]) if wide else tokens[at[r] : at[r + 1]].tobytes() for r in rows]
+            yield pa.RecordBatch.from_arrays([pa.array(ids[rows].view(np.int64)), pa.array(n[rows].astype(np.int64)), pa.array(value, pa.binary())], ["s", "n", "tokens"])
 
     def only_needed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits_set = shared.value
         for batch in batches:
-            p, q = (batch.column(i).to_numpy() for i in (2, 3))
-            keep = ((bits_set[p // 64] >> (p % 64)) & (bits_set[q // 64] >> (q % 64)) & 1).astype(bool)
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(keep)), batch.column(1).filter(pa.array(keep))], ["s", "tokens"])
-
-    sets = texts(docs).mapInArrow(scan, "s long, tokens array<long>")
-    sets = sets.select("s", "tokens", F.pmod(F.xxhash64("s"), F.lit(bits)).alias("p"), F.pmod(F.xxhash64("s", F.lit(1)), F.lit(bits)).alias("q"))
-    sets = sets.mapInArrow(only_needed, "s long, tokens array<long>").groupBy("s").agg(F.first("tokens").alias("tokens"))
-    common = F.size(F.array_intersect("ta", "tb")).cast("long")
-    both = (
-        pairs.join(sets.select(F.col("s").alias("a"), F.col("tokens").alias("ta")), "a")
-        .join(sets.select(F.col("s").alias("b"), F.col("tokens").alias("tb")), "b")
-    )
-    return both.withColumn("common", common).where(
-        F.lit(100) * F.col("common") >= F.lit(percent) * (F.size("ta") + F.size("tb") - F.col("common"))
-    ).select("a", "b")
+            p, q = (batch.column(i).to_numpy() for i in (3, 4))
+            keep = pa.array(((bits_set[p // 64] >> (p % 64)) & (bits_set[q // 64] >> (q % 64)) & 1).astype(bool))
+            yield pa.RecordBatch.from_arrays([batch.column(i).filter(keep) for i in range(3)], ["s", "n", "tokens"])
+
+    sets = texts(docs).mapInArrow(scan, "s long, n long, tokens binary")
+    p, q = places("s")
+    sets = sets.select("s", "n", "tokens", p.alias("p"), q.alias("q")).mapInArrow(only_needed, "s long, n long, tokens binary")
+    return sets.groupBy("s").agg(F.first("n").alias("n"), F.first("tokens").alias("tokens"))
+
+
+def _both_sides(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    side = lambda c: sets.select(F.col("s").alias(c), F.col("n").alias(f"n{c}"), F.col("tokens").alias(f"t{c}"))
+    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", "ta", "tb")
+
+
+def _sieved(docs: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame:
+    """The pairs whose wide signatures, a thirtieth of the sets, allow them to be similar."""
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            room = _needed(batch.column(2).to_numpy(), batch.column(3).to_numpy(), percent)
+            ok = np.zeros(batch.num_rows, bool)
+            for i, (x, y) in enumerate(zip(batch.column(4), batch.column(5))):
+                x, y = (np.frombuffer(v.as_py(), np.uint8) for v in (x, y))
+                while len(x) > len(y):
+                    x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+                while len(y) > len(x):
+                    y = y[: len(y) // 2] ^ y[len(y) // 2 :]
+                ok[i] = int(np.bitwise_count(x ^ y).sum()) <= room[i]
+            yield pa.RecordBatch.from_arrays([c.filter(pa.array(ok)) for c in batch.columns[:2]], ["a", "b"])
+
+    return _both_sides(pairs, _needed_sets(docs, pairs, k, True)).mapInArrow(keep, "a long, b long")
+
+
+def _verified(docs: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame:
+    """The pairs of set ids whose whole sets are similar enough."""
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ok = np.zeros(batch.num_rows, bool)
+            for i, (x, y) in enumerate(zip(batch.column(4), batch.column(5))):
+                x, y = (np.frombuffer(v.as_py(), np.uint64) for v in (x, y))
+                both = np.sort(np.r_[x, y])
+                common = int((both[1:] == both[:-1]).sum())
+                ok[i] = 100 * common >= percent * (len(x) + len(y) - common)
+            yield pa.RecordBatch.from_arrays([c.filter(pa.array(ok)) for c in batch.columns[:2]], ["a", "b"])
+
+    return _both_sides(pairs, _needed_sets(docs, pairs, k, False)).mapInArrow(keep, "a long, b long")
 
 
 def similar_sets(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame]:
     """Members and links.
 
-    Members: ``doc_id, n_shingles, set_id`` for every document (set id 0: no
+    Members: ``doc_id, row_key, n_shingles, set_id`` for every document (set id 0: no
     shingle). Links: pairs ``a, b`` of set ids that are similar; between sets of
     one component they are enough to connect it, between others none is missing.
     """
     rows = materialise(members(docs, k), "members")
     hot, counts = frequent_shingles(rows)
-    own = rows.where("tokens is null").select("doc_id", "n_shingles", "set_id")
+    own = rows.where("tokens is null").select("doc_id", "row_key", "n_shingles", "set_id")
     expected = own.groupBy("set_id").agg(F.max("n_shingles").alias("n")).agg(F.sum(F.col("n") * (100 - percent) / 100 + 1)).first()[0] or 0
     groups = int(min(20_000, max(48, expected // 300_000)))
     shared = docs.sparkSession.sparkContext.broadcast((hot, counts))  # HOT_MOST pairs of numbers
@@ -329,7 +369,8 @@ def similar_sets(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, Data
     labels = connected_components(links, "a", "b").select(F.col("node").alias("set"), "component")
     labelled = open_lists.join(labels, "set", "left").select("token", F.coalesce("component", "set").alias("comp"), "entry")
     rest = labelled.groupBy(F.pmod(F.xxhash64("token"), F.lit(groups)).alias("grp")).applyInArrow(_later_pairs(percent), "a long, b long")
-    more = _verified(docs, materialise(rest.distinct(), "later_pairs"), k, percent)
+    rest = materialise(rest.distinct(), "later_pairs")
+    more = _verified(docs, materialise(_sieved(docs, rest, k, percent), "sieved_pairs"), k, percent)
     return own, materialise(links.union(more), "all_links")
 
 
@@ -357,6 +398,25 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     )
 
 
+def one_of_each(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of ``docs``, all columns, that stay when one document of each class of near duplicates does.
+
+    The one of the smallest ``doc_id`` stays (null ids last, then by a hash of the
+    text). Texts without words are no duplicates of each other and all stay.
+    Rows of equal id and text count as one row, and one stays.
+    """
+    own, links = similar_sets(docs, k, percent)
+    labels = connected_components(links, "a", "b").select(F.col("node").alias("set_id"), "component")
+    place = F.struct(F.col("doc_id").isNull().alias("late"), F.col("doc_id").alias("id"), F.col("row_key").alias("key"))
+    best = own.where("set_id <> 0").groupBy("set_id").agg(F.min(place).alias("best"))
+    best = best.join(labels, "set_id", "left").groupBy(F.coalesce("component", "set_id").alias("class")).agg(F.min("best").alias("best"))
+    stay = best.select("best.id", "best.key").union(own.where("set_id = 0").select("doc_id", "row_key")).distinct()
+    stay = materialise(stay.select(F.col("id").alias("_id"), F.col("key").alias("_key")), "stay")
+    left = docs.withColumn("_own", F.col("doc_id").cast("long")).withColumn("_text", F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))))
+    on = F.col("_own").eqNullSafe(F.col("_id")) & (F.col("_text") == F.col("_key"))
+    return left.join(stay.hint("shuffle_hash"), on, "left_semi").dropDuplicates(["_own", "_text"]).drop("_own", "_text")
+
+
 def op5_jaccard_join(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), k=3, percent=90).select("doc_id", "n_shingles", "component_id")
 

@@ -127,7 +127,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = 8_000, ridge: float = 1e
     Classes are weighted to the shares that all labels show. With labels of one
     class only, every score is that class; without labels it is 0.5.
     """
-    rows = labelled_sample(docs, labels, "quality", fold(3) != 1, most).repartition(max(8, docs.sparkSession.sparkContext.defaultParallelism), F.xxhash64("text"))
+    rows = labelled_sample(docs, labels, "quality", fold(3) != 1, most)
     known = labels.where((fold(3) != 1) & F.col("quality").isin(0, 1)).agg(F.avg(F.col("quality").cast("double"))).first()[0]
     rows = materialise(rows, "quality_sample")
     d = statistics(np.zeros(0, np.uint8), np.zeros(2, np.int64)).shape[1]

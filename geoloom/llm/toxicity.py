@@ -183,6 +183,20 @@ def toxicity_scores(docs: DataFrame, model: CompressionModel) -> DataFrame:
     return texts(docs).mapInArrow(score, "doc_id long, score double, best_saving int, toxic_windows int")
 
 
+def without_toxic(docs: DataFrame, model: CompressionModel, threshold: float = 0.3) -> DataFrame:
+    """The rows of ``docs``, all columns, whose text scores below the threshold."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = shared.value
+        by = model.compressors()
+        for batch in slices(batches):
+            text = batch.column(batch.schema.get_field_index("text")).to_pylist()
+            yield batch.filter(pa.array([model.score(t or "", by)[0] < threshold for t in text], pa.bool_()))
+
+    return docs.mapInArrow(keep, docs.schema)
+
+
 def fit(docs: DataFrame, labels: DataFrame, most: int = 1_500) -> CompressionModel:
     """Train on at most ``most`` documents of each class outside the held-out fold (crc32 of the id mod 4 is 2)."""
     rows = labelled_sample(docs, labels, "toxic", fold(4) != 2, most).collect()  # 2 * most texts

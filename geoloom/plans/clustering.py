@@ -7,7 +7,7 @@ from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from geoloom.operators import delaunay as dl, edges as ed, evaluate as ev, growth as gr, neighbors as nb, points as po, topology as tp
+from geoloom.operators import bridges as br, delaunay as dl, density as de, edges as ed, evaluate as ev, growth as gr, neighbors as nb, points as po, prune as pr, reclaim as rc, topology as tp
 from geoloom.sources.shared import materialise
 
 K, LIMIT, MIN_EDGES = 50, 0.5, 2
@@ -285,6 +285,67 @@ SELECT mi / ((hy + hl) / 2) AS nmi, mi / hy AS homogeneity, mi / hl AS completen
         SEED_SQL + """, o AS (SELECT count(*) FILTER (y > 0 AND label < 0) AS tp, count(*) FILTER (y <= 0 AND label < 0) AS fp, count(*) FILTER (y > 0 AND label >= 0) AS fn, count(*) FILTER (y <= 0 AND label >= 0) AS tn FROM pred)
 SELECT tp, fp, fn, tn, coalesce(tp / nullif(tp + fp, 0), 0) AS "precision", coalesce(tp / nullif(tp + fn, 0), 0) AS recall, coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0) AS f1 FROM o""", ("precision", "recall", "f1")),
     "cluster_quality": (lambda b: ev.cluster_quality(b.truth), SEED_SQL + " SELECT count(DISTINCT label) FILTER (label >= 0) AS n_clusters, avg(CAST(label < 0 AS DOUBLE)) AS noise_share FROM pred", ("noise_share",)),
+    "cluster_avg_edge": (
+        lambda b: rc.cluster_lengths(b.edges, b.pred),
+        SEED_SQL + """ SELECT DISTINCT p.label, greatest(coalesce(a, (SELECT median(len_o) FROM edges)), 1e-12) AS avg_len FROM plabel p LEFT JOIN (SELECT cu, avg(len_o) AS a FROM pe WHERE cu = cv GROUP BY cu) i ON i.cu = p.label WHERE p.label >= 0""", ("avg_len",)),
+    "cluster_density_ref": (
+        lambda b: rc.cluster_density(nb.core_distance(b.near, 15), b.pred),
+        SEED_SQL + ", core AS (SELECT pid, avg(dist) AS core FROM knn WHERE rank <= 15 GROUP BY pid) SELECT label, greatest(median(core), 1e-12) AS ref_core FROM plabel JOIN core USING (pid) WHERE label >= 0 GROUP BY label", ("ref_core",)),
+    "cost_gate_frontier": (
+        lambda b: rc.cost_frontier(b.edges, b.pred, nb.core_distance(b.near, 15)),
+        SEED_SQL + """, core AS (SELECT pid, avg(dist) AS core FROM knn WHERE rank <= 15 GROUP BY pid), rf AS (SELECT label, greatest(median(core), 1e-12) AS ref_core FROM plabel JOIN core USING (pid) WHERE label >= 0 GROUP BY label),
+ca AS (SELECT DISTINCT p.label, greatest(coalesce(a, (SELECT median(len_o) FROM edges)), 1e-12) AS avg_len FROM plabel p LEFT JOIN (SELECT cu, avg(len_o) AS a FROM pe WHERE cu = cv GROUP BY cu) i ON i.cu = p.label WHERE p.label >= 0),
+fs AS (SELECT u, v, v AS pid, cu AS label, len_o FROM pe WHERE cu >= 0 AND cv = -1 UNION ALL SELECT u, v, u, cv, len_o FROM pe WHERE cv >= 0 AND cu = -1),
+fc AS (SELECT u, v, pid, fs.label, pow(len_o * pow(greatest(core, 1e-12) / ref_core, 0.5) / avg_len, 1.5) AS cost FROM fs JOIN core USING (pid) JOIN rf ON rf.label = fs.label JOIN ca ON ca.label = fs.label)
+SELECT * FROM fc WHERE cost <= 15""", ("cost",)),
+    "contracted_graph": (
+        lambda b: pr.contracted(b.edges, b.labels),
+        SEED_SQL + " SELECT least(cu, cv) AS cu, greatest(cu, cv) AS cv, count(*) AS capacity FROM le WHERE cu <> cv GROUP BY 1, 2", ()),
+    "short_path_bridges": (
+        lambda b: pr.short_path_bridges(b.edges, 4),
+        """, h1 AS (SELECT e.u, e.v, h.dst AS p FROM edges e JOIN half h ON h.src = e.u WHERE h.dst <> e.v),
+h2 AS (SELECT DISTINCT h1.u, h1.v, h.dst AS p FROM h1 JOIN half h ON h.src = h1.p WHERE NOT (h1.p = h1.u AND h.dst = h1.v)),
+h3 AS (SELECT DISTINCT h2.u, h2.v, h.dst AS p FROM h2 JOIN half h ON h.src = h2.p WHERE NOT (h2.p = h2.u AND h.dst = h2.v))
+SELECT u, v FROM edges EXCEPT (SELECT u, v FROM h2 WHERE p = v UNION SELECT u, v FROM h3 WHERE p = v)""", ()),
+    "mutual_reachability": (
+        lambda b: de.mutual_reachability(b.near, 10),
+        KNN_SQL + """, kth AS (SELECT pid, dist AS k FROM knn WHERE rank = 10), pw AS (SELECT least(pid, nid) AS u, greatest(pid, nid) AS v, min(dist) AS dist FROM knn GROUP BY 1, 2)
+SELECT u, v, greatest(dist, a.k, b.k) AS weight FROM pw JOIN kth a ON a.pid = u JOIN kth b ON b.pid = v""", ("weight",)),
+    "knn_repaint": (
+        lambda b: br.repaint(b.pts, b.near),
+        KNN_SQL + """, vt AS (SELECT k.pid, y AS ny, count(*) AS n FROM knn k JOIN pts ON pts.pid = nid WHERE rank <= 10 AND y IS NOT NULL GROUP BY ALL)
+SELECT p.pid, p.y, coalesce(ny, p.y) AS painted FROM pts p LEFT JOIN vt ON vt.pid = p.pid AND n * 2 > 10""", ()),
+    "radial_outliers": (
+        lambda b: br.radial_outliers(b.pts),
+        """, ex AS (SELECT pid, y, unnest(range(0, len(x))) AS pos, unnest(x) AS v FROM pts WHERE y IS NOT NULL), ce AS (SELECT y, pos, avg(v) AS m FROM ex GROUP BY ALL),
+ra AS (SELECT pid, ex.y, sqrt(sum(pow(v - m, 2))) AS radius FROM ex JOIN ce ON ce.y = ex.y AND ce.pos = ex.pos GROUP BY pid, ex.y), sc AS (SELECT y, avg(radius) + 2 * stddev_pop(radius) AS lim FROM ra GROUP BY y)
+SELECT pid, ra.y, radius, radius > lim AS outlier FROM ra JOIN sc ON sc.y = ra.y""", ("radius",)),
+    "edge_keep_prune": (
+        lambda b: br.keep_or_prune(b.edges, b.pts), " SELECT u, v, CASE WHEN a.y = b.y THEN 'KEEP' ELSE 'PRUNE' END AS action FROM edges JOIN pts a ON a.pid = u JOIN pts b ON b.pid = v", ()),
+    "balanced_sample": (
+        lambda b: br.balanced_sample(br.keep_or_prune(b.edges, b.pts), 100),
+        """, kp AS (SELECT u, v, CASE WHEN a.y = b.y THEN 'KEEP' ELSE 'PRUNE' END AS action FROM edges JOIN pts a ON a.pid = u JOIN pts b ON b.pid = v)
+SELECT u, v, action FROM (SELECT *, row_number() OVER (PARTITION BY action ORDER BY md5('sample:' || u || ':' || v), u, v) AS r FROM kp) WHERE r <= 100""", ()),
+    "bridge_features": (
+        lambda b: br.bridge_features(b.edges, 64),
+        """, nr AS (SELECT src AS p, least(src, dst) AS a, greatest(src, dst) AS b, dst AS q, len_o AS other FROM half),
+e1 AS MATERIALIZED (SELECT DISTINCT e.u, e.v, e.len_o, a, b, other, q FROM edges e JOIN nr ON (p = e.u OR p = e.v) WHERE NOT (a = e.u AND b = e.v)),
+o1 AS MATERIALIZED (SELECT DISTINCT u, v, len_o, a, b, other FROM e1),
+o2 AS (SELECT DISTINCT u, v, e1.len_o, nr.a, nr.b, nr.other FROM (SELECT DISTINCT u, v, len_o, q FROM e1 WHERE q <> u AND q <> v) e1 JOIN nr ON nr.p = e1.q WHERE NOT (nr.a = u AND nr.b = v) AND NOT EXISTS (SELECT 1 FROM o1 WHERE o1.u = e1.u AND o1.v = e1.v AND o1.a = nr.a AND o1.b = nr.b)),
+b1 AS (SELECT u, v, """ + ", ".join(f"count(*) FILTER (least(ceil(other / len_o * 4), 5) = {i}) AS h1_{i}" for i in range(1, 6)) + """ FROM o1 GROUP BY u, v),
+b2 AS (SELECT u, v, """ + ", ".join(f"count(*) FILTER (least(ceil(other / len_o * 6), 7) = {i}) AS h2_{i}" for i in range(1, 8)) + """ FROM o2 GROUP BY u, v),
+gs AS (SELECT median(len_o) AS g_median, quantile_cont(len_o, 0.75) - quantile_cont(len_o, 0.25) AS g_iqr, quantile_cont(len_o, 0.05) AS g_p05, quantile_cont(len_o, 0.95) AS g_p95, avg(len_o) AS g_mean, stddev_pop(len_o) AS g_std,
+avg(pow(len_o - m, 3)) / pow(avg(pow(len_o - m, 2)), 1.5) AS g_skew, avg(pow(len_o - m, 4)) / pow(avg(pow(len_o - m, 2)), 2) - 3 AS g_kurtosis FROM edges, (SELECT avg(len_o) AS m FROM edges))
+SELECT e.u, e.v, """ + ", ".join(f"coalesce({c}, 0) AS {c}" for c in [*(f"h1_{i}" for i in range(1, 6)), *(f"h2_{i}" for i in range(1, 8))]) + """, gs.*, len_o / greatest(g_median, 1e-12) AS length_ratio, ln(1 + 64.0) AS log_dim
+FROM edges e LEFT JOIN b1 ON b1.u = e.u AND b1.v = e.v LEFT JOIN b2 ON b2.u = e.u AND b2.v = e.v, gs""", (*(f"g_{c}" for c in br.GLOBAL), "length_ratio", "log_dim")),
+    "bridge_mlp": (lambda b: br.bridge_classifier(br.bridge_features(b.edges, 64), br.keep_or_prune(b.edges, b.pts)), None, ("probability",)),
+    "cost_gate": (lambda b: rc.cost_gate(b.edges, b.pred, nb.core_distance(b.near, 15)), None, ("cost",)),
+    "mst_weight": (lambda b: de.spanning_forest(b.pts, de.mutual_reachability(b.near, 10)).agg(F.count("*").alias("n_edges"), F.sum("weight").alias("weight")), None, ("weight",)),
+    "hdbscan_cut": (lambda b: de.density_cut(b.pts, de.spanning_forest(b.pts, de.mutual_reachability(b.near, 10)), 1.3, 10), None, ()),
+    "edge_redundancy": (lambda b: pr.edge_redundancy(b.edges, gr.components(b.pts, b.edges), 3), None, ()),
+    "redundancy_prune": (lambda b: pr.redundancy_prune(pr.edge_redundancy(b.edges, gr.components(b.pts, b.edges), 3), 3, 1, 0.99), None, ()),
+    "vertex_cut": (lambda b: pr.vertex_cut(b.edges, gr.components(b.pts, b.edges), most=2, min_points=10, fraction=0.05), None, ()),
+    "gomory_hu_cuts": (lambda b: pr.gomory_hu_cuts(b.seed, b.labels, 1, 2, 0.2), None, ()),
     "delaunay_2d": (lambda b: b.triangles, None, ()),
     "edges_from_triangles": (lambda b: dl.edges_from_triangles(b.triangles), None, ()),
     "simplex_size": (lambda b: tp.simplex_sizes(b.triangles, b.all_edges), None, ("size_o", "size_p")),

@@ -8,8 +8,9 @@ missing triangles have only such corners, so they are among the triangles of
 these points alone, from which those are kept whose circumcircle holds no point
 of any tile.
 
-Co-circular points give one of their valid triangulations. Collinear input has no
-triangles. Points of equal coordinates are one point, the smallest id.
+Points are moved by a billionth of the extent, by a hash of their id, so that
+co-circular points are triangulated alike in every tile; triangles that are flat
+before that are left out, and collinear input has none. Points of equal coordinates are one point, the smallest id.
 """
 
 from __future__ import annotations
@@ -44,6 +45,12 @@ def _turn(p: np.ndarray, u: np.ndarray, v: np.ndarray, q: np.ndarray) -> np.ndar
     return (p[v, 0] - p[u, 0]) * (q[1] - p[u, 1]) - (p[v, 1] - p[u, 1]) * (q[0] - p[u, 0])
 
 
+def _in_circle(a: np.ndarray, b: np.ndarray, c: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Is q inside the circles through counter-clockwise corners; a determinant, which flat triangles don't upset."""
+    ax, ay, bx, by, cx, cy = a[:, 0] - q[0], a[:, 1] - q[1], b[:, 0] - q[0], b[:, 1] - q[1], c[:, 0] - q[0], c[:, 1] - q[1]
+    return (ax * ax + ay * ay) * (bx * cy - cx * by) - (bx * bx + by * by) * (ax * cy - cx * ay) + (cx * cx + cy * cy) * (ax * by - bx * ay) > 0
+
+
 def bowyer_watson(p: np.ndarray) -> np.ndarray:
     """Triangles (rows of ascending point indices) of distinct points, by insertion.
 
@@ -63,11 +70,10 @@ def bowyer_watson(p: np.ndarray) -> np.ndarray:
     if bend[at] < 0:
         i, j = j, i
     tri = np.array([[i, j, k], [j, i, n], [k, j, n], [i, k, n]])
-    mid, rad = circumcircles(p, tri[:1])
-    mid, rad = np.r_[mid, np.zeros((3, 2))], np.r_[rad, [-1.0] * 3]
+    far = np.r_[p, [[0.0, 0.0]]]  # a place for the corner at infinity, which no test uses
     for x in np.delete(order, [0, 1, 2 + at]):
         q = p[x]
-        bad = ((q - mid) ** 2).sum(1) < rad * (1 - 1e-13)
+        bad = _in_circle(far[tri[:, 0]], far[tri[:, 1]], far[tri[:, 2]], q)
         ghost = np.flatnonzero(tri[:, 2] == n)
         bad[ghost] = _turn(p, tri[ghost, 0], tri[ghost, 1], q) > 0
         if not bad.any():
@@ -79,19 +85,28 @@ def bowyer_watson(p: np.ndarray) -> np.ndarray:
         for c in (0, 1):  # the corner at infinity comes last
             turn = new[:, c] == n
             new[turn] = np.roll(new[turn], 2 - c, axis=1)
-        real = new[:, 2] != n
-        m, r = np.zeros((len(new), 2)), np.full(len(new), -1.0)
-        m[real], r[real] = circumcircles(p, new[real])
-        tri, mid, rad = np.r_[tri[~bad], new], np.r_[mid[~bad], m], np.r_[rad[~bad], r]
-    return np.sort(tri[(tri[:, 2] < n) & np.isfinite(rad)], axis=1)
+        tri = np.r_[tri[~bad], new]
+    return np.sort(tri[tri[:, 2] < n], axis=1)
+
+
+def _moved(table: pa.Table) -> np.ndarray:
+    return np.c_[table.column("jx").to_numpy(), table.column("jy").to_numpy()]
 
 
-def _triangles(ids: np.ndarray, p: np.ndarray):
-    t = bowyer_watson(p)
-    mid, r2 = circumcircles(p, t)
+def _triangles(q: np.ndarray):
+    t = bowyer_watson(q)
+    mid, r2 = circumcircles(q, t)
     return t, mid, np.sqrt(r2)
 
 
+def _solid(table: pa.Table, t: np.ndarray) -> np.ndarray:
+    """Triangles that aren't flat in the points' own places."""
+    p = np.c_[table.column("px").to_numpy(), table.column("py").to_numpy()]
+    a, b = p[t[:, 1]] - p[t[:, 0]], p[t[:, 2]] - p[t[:, 0]]
+    longest = np.maximum.reduce([(a**2).sum(1), (b**2).sum(1), ((a - b) ** 2).sum(1)])
+    return np.abs(a[:, 0] * b[:, 1] - a[:, 1] * b[:, 0]) > 1e-8 * longest
+
+
 def delaunay(points: DataFrame, tile_points: int = TILE_POINTS) -> DataFrame:
     """Triangles ``a, b, c`` (ids, ascending) of ``points`` (``pid, px, py``).
 
@@ -107,14 +122,17 @@ def delaunay(points: DataFrame, tile_points: int = TILE_POINTS) -> DataFrame:
         return points.sparkSession.createDataFrame([], "a long, b long, c long")
     side = max(((box[2] - box[0]) * (box[3] - box[1]) * tile_points / n) ** 0.5, max(box[2] - box[0], box[3] - box[1]) * tile_points / n, 1e-12)
     halo = side / 2
+    span = max(box[2] - box[0], box[3] - box[1])
+    shift = lambda salt: (F.pmod(F.xxhash64("pid", F.lit(salt)), F.lit(1 << 20)) / (1 << 20) - 0.5) * F.lit(1e-9 * span)
+    points = points.withColumns({"jx": F.col("px") + shift(1), "jy": F.col("py") + shift(2)})
     place = lambda c, low, shift: F.floor((F.col(c) - low + shift) / side)
     near = [F.struct(place("px", box[0], i * halo).alias("tx"), place("py", box[1], j * halo).alias("ty")) for i in (-1, 0, 1) for j in (-1, 0, 1)]
-    seen = points.withColumn("tile", F.explode(F.array_distinct(F.array(*near)))).select("pid", "px", "py", "tile.tx", "tile.ty")
+    seen = points.withColumn("tile", F.explode(F.array_distinct(F.array(*near)))).select("pid", "px", "py", "jx", "jy", "tile.tx", "tile.ty")
 
     def triangulate(key, table):
         tx, ty = (k.as_py() for k in key)
         ids, p = table.column("pid").to_numpy(), np.c_[table.column("px").to_numpy(), table.column("py").to_numpy()]
-        t, mid, r = _triangles(ids, p)
+        t, mid, r = _triangles(_moved(table))
         low = np.array([box[0] + tx * side, box[1] + ty * side])
         inside = ((mid - r[:, None] > low - halo) & (mid + r[:, None] < low + side + halo)).all(1)
         own = (np.floor((p[:, 0] - box[0]) / side) == tx) & (np.floor((p[:, 1] - box[1]) / side) == ty)
@@ -127,7 +145,7 @@ def delaunay(points: DataFrame, tile_points: int = TILE_POINTS) -> DataFrame:
         edge, count = np.unique(np.sort(t[:, [0, 1, 1, 2, 0, 2]].reshape(-1, 2), axis=1), axis=0, return_counts=True) if len(t) else (np.zeros((0, 2), int), np.zeros(0, int))
         open_[np.unique(edge[count == 1])] = True
         open_ |= ~touched
-        some = t[inside & own[t].any(1)] if len(t) else t  # every tile that owns a corner keeps it
+        some = t[inside & own[t].any(1) & _solid(table, t)] if len(t) else t  # every tile that owns a corner keeps it
         some = np.sort(ids[some], axis=1) if len(some) else np.zeros((0, 3), int)
         rest = ids[open_ & own]
         null = [None] * len(rest)
@@ -141,17 +159,19 @@ def delaunay(points: DataFrame, tile_points: int = TILE_POINTS) -> DataFrame:
 
     def remaining(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = pa.Table.from_batches(list(batches))
-        ids, p = table.column("pid").to_numpy(), np.c_[table.column("px").to_numpy(), table.column("py").to_numpy()]
-        t, mid, r = _triangles(ids, p)
+        ids = table.column("pid").to_numpy()
+        t, mid, r = _triangles(_moved(table))
+        keep = _solid(table, t)
+        t, mid, r = t[keep], mid[keep], r[keep]
         s = np.sort(ids[t], axis=1) if len(t) else np.zeros((0, 3), int)
         yield pa.RecordBatch.from_pandas(pd.DataFrame({"a": s[:, 0], "b": s[:, 1], "c": s[:, 2], "mx": mid[:, 0], "my": mid[:, 1], "r": r}), preserve_index=False)
 
     # open points are of the order of the tiles' outline where tiles are filled evenly
-    wide = materialise(rest.select("pid", "px", "py").coalesce(1).mapInArrow(remaining, "a long, b long, c long, mx double, my double, r double"), "wide_triangles")
+    wide = materialise(rest.select("pid", "px", "py", "jx", "jy").coalesce(1).mapInArrow(remaining, "a long, b long, c long, mx double, my double, r double"), "wide_triangles")
     wide = wide.join(final, ["a", "b", "c"], "left_anti")
     held = (
-        wide.join(points, (F.col("px") > F.col("mx") - F.col("r")) & (F.col("px") < F.col("mx") + F.col("r")))
-        .where((F.pow(F.col("px") - F.col("mx"), 2) + F.pow(F.col("py") - F.col("my"), 2) < F.pow("r", 2) * (1 - 1e-9)) & ~F.col("pid").isin(F.col("a"), F.col("b"), F.col("c")))
+        wide.join(points, (F.col("jx") > F.col("mx") - F.col("r")) & (F.col("jx") < F.col("mx") + F.col("r")))
+        .where((F.pow(F.col("jx") - F.col("mx"), 2) + F.pow(F.col("jy") - F.col("my"), 2) < F.pow("r", 2) * (1 - 1e-13)) & ~F.col("pid").isin(F.col("a"), F.col("b"), F.col("c")))
         .select("a", "b", "c").distinct()
     )
     return materialise(final.union(wide.join(held, ["a", "b", "c"], "left_anti").select("a", "b", "c")), "delaunay")

@@ -34,7 +34,7 @@ from geoloom.operators.components import connected_components
 from geoloom.sources.shared import materialise
 
 HOT_MOST = 20_000  # shingles that are known to be frequent; the order of the rest is by hash
-HOT_LOCAL = 4  # sets of one slice that must share a shingle for it to be counted
+HOT_LOCAL = 3  # sets of one slice that must share a shingle for it to be counted
 HOT_BLOCK = 4_000  # entries of one block of a frequent shingle's list
 PAIRWISE = 4  # lists up to this size are compared in full at once
 SIGNATURE = 256  # bits

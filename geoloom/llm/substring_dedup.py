@@ -33,6 +33,7 @@ from geoloom.llm.corpus import texts
 from geoloom.llm.text import run_hashes, slices, utf8, whole, word_hashes, words
 
 SYMBOLS = 64
+SLICE = (4 << 20) - 8  # bytes of text in which equal windows leave as one
 LAST = np.iinfo(np.int64).max  # a null id comes after all others
 _SENT = "kind int, grp int, slice string, a binary, b binary, c binary, d binary"
 
@@ -120,7 +121,7 @@ def _ints_back(x: bytes) -> np.ndarray:
 def _sender(window: int, group: np.ndarray, parts: np.ndarray):
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, serial = TaskContext.get().partitionId(), 0
-        for batch in slices(batches):
+        for batch in slices(batches, size=SLICE):
             ids = batch.column(batch.schema.get_field_index("doc_id")).fill_null(LAST).to_numpy(zero_copy_only=False)
             batch = batch.take(pa.array(np.argsort(ids, kind="stable")))  # places ascend with ids
             ids = np.sort(ids)
@@ -242,7 +243,8 @@ def without_repeats(docs: DataFrame, window: int = 13, **how) -> DataFrame:
     gives 0, 0 and an empty string.
     """
     docs = texts(docs).withColumn("row_key", F.xxhash64("text"))
-    runs = repeated_runs(docs, window, **how).withColumnRenamed("doc_id", "id").withColumnRenamed("row_key", "key")
+    # rows of equal id and text have equal runs
+    runs = repeated_runs(docs, window, **how).groupBy(F.col("doc_id").alias("id"), F.col("row_key").alias("key")).agg(F.first("runs").alias("runs"))
     both = docs.join(runs.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("row_key") == F.col("key")), "left")
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

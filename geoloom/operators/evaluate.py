@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from math import lgamma
+
 from pyspark.sql import DataFrame, functions as F
 
 
@@ -66,3 +68,31 @@ def outlier_scores(pred: DataFrame) -> DataFrame:
 def cluster_quality(pred: DataFrame) -> DataFrame:
     """Number of clusters and share of noise points."""
     return pred.agg(F.count_distinct(F.when(F.col("label") >= 0, F.col("label"))).alias("n_clusters"), F.avg((F.col("label") < 0).cast("double")).alias("noise_share"))
+
+
+def log_factorial(n):
+    """ln(n!) of a non-negative whole column: a table below 20, Stirling's series from there."""
+    small = F.element_at(F.array(*(F.lit(lgamma(i + 1)) for i in range(20))), F.least(n, F.lit(19)).cast("int") + 1)
+    x = F.greatest(n, F.lit(20)).cast("double")
+    series = x * F.ln(x) - x + F.ln(2 * 3.141592653589793 * x) / 2 + 1 / (12 * x) - 1 / (360 * F.pow(x, 3)) + 1 / (1260 * F.pow(x, 5))
+    return F.when(n < 20, small).otherwise(series)
+
+
+def adjusted_information(pred: DataFrame) -> DataFrame:
+    """One row ``ami``: mutual information adjusted for chance, by the arithmetic mean of the entropies.
+
+    The expectation is summed over all overlaps that a pair of class sizes
+    allows; pairs of equal sizes are summed once.
+    """
+    t = contingency(pred)
+    rows = t.groupBy("y").agg(F.sum("n").alias("a")).groupBy("a").agg(F.count("*").alias("na"))
+    cols = t.groupBy("label").agg(F.sum("n").alias("b")).groupBy("b").agg(F.count("*").alias("nb"))
+    sizes = rows.join(cols).crossJoin(F.broadcast(t.agg(F.sum("n").alias("m"))))
+    each = sizes.withColumn("n", F.explode(F.sequence(F.greatest(F.lit(1), F.col("a") + F.col("b") - F.col("m")), F.least("a", "b"))))
+    f = log_factorial
+    a, b, m, n = (F.col(c) for c in "abmn")
+    log_p = f(a) + f(b) + f(m - a) + f(m - b) - f(m) - f(n) - f(a - n) - f(b - n) - f(m - a - b + n)
+    expected = each.agg(F.sum(F.col("na") * F.col("nb") * n / m * F.ln(m * n / (a * b)) * F.exp(log_p)).alias("emi"))
+    e = entropies(pred).crossJoin(expected)
+    room = (F.col("hy") + F.col("hl")) / 2 - F.col("emi")
+    return e.select(F.when(F.abs(room) < 1e-12, 1.0).otherwise((F.col("mi") - F.col("emi")) / F.when(F.abs(room) >= 1e-12, room)).alias("ami"))

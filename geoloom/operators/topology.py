@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from geoloom.functions.vectors import quartiles
+from geoloom.operators.components import connected_components
 from geoloom.operators.delaunay import triangle_sides
 from geoloom.operators.growth import component_counts, labelled_edges
 from geoloom.operators.neighbors import half_edges
@@ -111,3 +112,46 @@ def component_shape(triangles: DataFrame, areas: DataFrame, support: DataFrame,
     out = area.join(length, "comp", "left")
     score = lambda a, r: F.when(F.col(r) > 0, 100 * F.sqrt(a) / F.col(r))
     return out.select("comp", "n_triangles", "area_o", "area_p", "rim_o", "rim_p", score("area_o", "rim_o").alias("shape_o"), score("area_p", "rim_p").alias("shape_p"))
+
+
+def outer_hull(triangles: DataFrame, all_edges: DataFrame, retained: DataFrame) -> DataFrame:
+    """Retained edges on the outside: with one triangle only, or beside a face that the outside reaches through missing edges."""
+    sides = triangle_sides(triangles).withColumn("t", F.xxhash64("a", "b", "c")).select("t", "u", "v")
+    on = sides.groupBy("u", "v").agg(F.count("*").alias("n"), F.min("t").alias("t1"), F.max("t").alias("t2"))
+    missing = on.join(retained.select("u", "v"), ["u", "v"], "left_anti")
+    faces = connected_components(missing.select("t1", "t2"), "t1", "t2")
+    outside = missing.where("n = 1").select(F.col("t1").alias("node")).join(faces, "node").select("component").distinct()
+    open_faces = faces.join(outside, "component").select(F.col("node").alias("t"))
+    kept = retained.select("u", "v")
+    beside = sides.join(open_faces, "t", "left_semi").select("u", "v").join(kept, ["u", "v"], "left_semi")
+    return on.where("n = 1").select("u", "v").join(kept, ["u", "v"], "left_semi").union(beside).distinct()
+
+
+def hull_ratio(retained: DataFrame, hull: DataFrame, labels: DataFrame) -> DataFrame:
+    """``comp, hull_ratio``: hull edges weighted by length over the component's median, per other edge; infinite without others."""
+    inside = labelled_edges(retained.select("u", "v", "len_o"), labels).where("cu = cv").withColumnRenamed("cu", "comp")
+    median = inside.groupBy("comp").agg(F.percentile("len_o", F.lit(0.5)).alias("m"))
+    out = inside.join(hull.withColumn("h", F.lit(1)), ["u", "v"], "left").join(median, "comp").groupBy("comp").agg(
+        F.sum(F.when(F.col("h") == 1, F.col("len_o") / F.greatest("m", F.lit(1e-12))).otherwise(0.0)).alias("s"), F.sum(F.when(F.col("h").isNull(), 1).otherwise(0)).alias("n"))
+    return out.select("comp", F.when(F.col("n") > 0, F.col("s") / F.when(F.col("n") > 0, F.col("n"))).otherwise(F.lit(float("inf"))).alias("hull_ratio"))
+
+
+def triangle_edge_ratio(triangles: DataFrame, retained: DataFrame, labels: DataFrame) -> DataFrame:
+    """``comp, ratio``: triangles with all sides retained inside a component, per retained edge (0 without triangles)."""
+    inside = labelled_edges(retained.select("u", "v"), labels).where("cu = cv").select("u", "v", F.col("cu").alias("comp"))
+    whole = triangle_sides(triangles).join(inside, ["u", "v"]).groupBy("a", "b", "c").agg(F.count("*").alias("n"), F.min("comp").alias("comp")).where("n = 3").groupBy("comp").agg(F.count("*").alias("t"))
+    return inside.groupBy("comp").agg(F.count("*").alias("e")).join(whole, "comp", "left").select("comp", (F.coalesce("t", F.lit(0)) / F.greatest("e", F.lit(1))).alias("ratio"))
+
+
+def eligible(labels: DataFrame, moments: DataFrame, shape: DataFrame, ratio: DataFrame, m2_max: float, shape_min: float, ratio_min: float) -> DataFrame:
+    """Points of components that pass the gates: weighted moment below, shape score and triangle ratio at least; a missing measure fails."""
+    ok = (
+        moments.where(F.col("weighted_median") < m2_max).select("comp")
+        .join(shape.where(F.col("shape_o") >= shape_min).select("comp"), "comp", "left_semi").join(ratio.where(F.col("ratio") >= ratio_min).select("comp"), "comp", "left_semi")
+    )
+    return labels.join(ok, "comp", "left_semi").select("pid", "comp")
+
+
+def largest(counts: DataFrame, n: int = 5) -> DataFrame:
+    """The n largest components by edges, then points, then the smaller id."""
+    return counts.orderBy(F.desc("n_edges"), F.desc("n_points"), "comp").limit(n)

@@ -7,7 +7,7 @@ from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from geoloom.operators import bridges as br, delaunay as dl, density as de, edges as ed, evaluate as ev, growth as gr, neighbors as nb, points as po, prune as pr, reclaim as rc, topology as tp
+from geoloom.operators import bridges as br, delaunay as dl, density as de, edges as ed, evaluate as ev, growth as gr, modes as mo, neighbors as nb, points as po, prune as pr, reclaim as rc, topology as tp
 from geoloom.sources.shared import materialise
 
 K, LIMIT, MIN_EDGES = 50, 0.5, 2
@@ -80,6 +80,32 @@ class Clustering:
         return self.pred.join(self.pts.select("pid", "y"), "pid")
 
 
+def cluster_labels(b: Clustering) -> DataFrame:
+    """The whole plan: seeds, growth with restoration, interior restoration, vertex cuts, noise, cost-gate reclaim.
+
+    Returns ``pid, label, cost`` (-1: noise; cost of a reclaimed point's path).
+    """
+    state = gr.sequential_growth(b.edges, b.pts, b.seed, MIN_EDGES, 1.6, 2.8, 2.0)
+    grown = state.where("seed or accepted or restored").select("u", "v").join(b.edges, ["u", "v"])
+    labels = materialise(gr.components(b.pts, grown.select("u", "v")), "grown_comp")
+    back = gr.restored(b.edges, labels, b.seed, 2.0)
+    retained = materialise(grown.select("u", "v").union(back).distinct().join(b.edges.select("u", "v", "len_o", "len_p"), ["u", "v"]), "retained")
+    cut = materialise(pr.vertex_cut(retained, labels, most=2, min_points=10, fraction=0.2), "cut_points")
+    retained = pr.without_points(retained, cut)
+    labels = materialise(gr.components(b.pts, retained.select("u", "v")), "final_comp")
+    noise = materialise(gr.final_prediction(labels, retained, MIN_EDGES), "noise")
+    return rc.cost_gate(b.edges, noise, nb.core_distance(b.near, 15))
+
+
+def run_summary(b: Clustering) -> DataFrame:
+    """One row of JSON: counts of every stage and the scores of the seed labelling."""
+    counts = b.truth.agg(F.count("*").alias("n_points"), F.count_distinct(F.when(F.col("label") >= 0, F.col("label"))).alias("n_clusters"))
+    edges = b.seeds.agg(F.count("*").alias("n_edges"), F.sum(F.col("is_seed").cast("long")).alias("n_seed_edges"))
+    row = counts.crossJoin(edges).crossJoin(ev.adjusted_rand(b.truth)).crossJoin(ev.information_scores(b.truth))
+    scores = F.struct(*(F.round(c, 6).alias(c) for c in ("ari", "nmi", "homogeneity", "completeness", "v_measure")))
+    return row.select(F.to_json(F.struct("n_points", "n_edges", "n_seed_edges", "n_clusters", scores.alias("scores"))).alias("summary"))
+
+
 BASE_SQL = """
 WITH RECURSIVE pts AS (SELECT vec_id AS pid, CAST(embedding AS DOUBLE[]) AS x, CAST(label AS BIGINT) AS y FROM embeddings),
 flat AS MATERIALIZED (SELECT pid, x[1] AS px, x[2] AS py FROM pts),
@@ -346,6 +372,35 @@ FROM edges e LEFT JOIN b1 ON b1.u = e.u AND b1.v = e.v LEFT JOIN b2 ON b2.u = e.
     "redundancy_prune": (lambda b: pr.redundancy_prune(pr.edge_redundancy(b.edges, gr.components(b.pts, b.edges), 3), 3, 1, 0.99), None, ()),
     "vertex_cut": (lambda b: pr.vertex_cut(b.edges, gr.components(b.pts, b.edges), most=2, min_points=10, fraction=0.05), None, ()),
     "gomory_hu_cuts": (lambda b: pr.gomory_hu_cuts(b.seed, b.labels, 1, 2, 0.2), None, ()),
+    "ami": (
+        lambda b: ev.adjusted_information(b.truth),
+        SEED_SQL + """, z AS (SELECT a.ny AS a, b.nl AS b, m, unnest(range(CAST(greatest(1, a.ny + b.nl - m) AS BIGINT), CAST(least(a.ny, b.nl) AS BIGINT) + 1)) AS n FROM ma a, mb b, mt),
+em AS (SELECT sum(n / m * ln(m * n / (a * b)) * exp(lgamma(a + 1) + lgamma(b + 1) + lgamma(m - a + 1) + lgamma(m - b + 1) - lgamma(m + 1) - lgamma(n + 1) - lgamma(a - n + 1) - lgamma(b - n + 1) - lgamma(m - a - b + n + 1))) AS emi FROM z),
+e AS (SELECT (SELECT sum(n / m * ln(n * m / (ny * nl))) FROM tab JOIN ma USING (y) JOIN mb USING (label), mt) AS mi, (SELECT -sum(ny / m * ln(ny / m)) FROM ma, mt) AS hy, (SELECT -sum(nl / m * ln(nl / m)) FROM mb, mt) AS hl)
+SELECT (mi - emi) / ((hy + hl) / 2 - emi) AS ami FROM e, em""", ("ami",)),
+    "largest_components": (lambda b: tp.largest(gr.component_counts(b.labels, b.seed)), SEED_SQL + " SELECT comp, n_points, n_edges FROM cnt ORDER BY n_edges DESC, n_points DESC, comp LIMIT 5", ()),
+    "gate_m2": (
+        lambda b: tp.angular_moment(b.labels, b.seed, b.flat).where(F.col("weighted_median") < 0.9).select("comp"),
+        SEED_SQL + """, t AS (SELECT h.comp, h.src, cos(2 * atan2(q.py - p.py, q.px - p.px)) AS c, sin(2 * atan2(q.py - p.py, q.px - p.px)) AS s, exp(-pow(h.len_o / greatest(2 * near, 1e-12), 2)) AS w
+FROM inner_half h JOIN nearest n ON n.src = h.src JOIN flat p ON p.pid = h.src JOIN flat q ON q.pid = h.dst), m AS (SELECT comp, src, sqrt(pow(sum(w * c), 2) + pow(sum(w * s), 2)) / greatest(sum(w), 1e-12) AS weighted FROM t GROUP BY ALL)
+SELECT comp FROM m GROUP BY comp HAVING median(weighted) < 0.9""", ()),
+    "bridge_base_edges": (
+        lambda b: b.seed.select("u", "v").union(gr.accepted(gr.growth_scores(b.edges, b.labels, b.large, b.seed), 1.6, 2.8)).union(gr.restored(b.edges, b.labels, b.seed, 2.0)).distinct(),
+        SEED_SQL + """ SELECT u, v FROM seed UNION SELECT u, v FROM scores WHERE ratio_o < 1.6 AND ratio_p < 2.8 UNION
+SELECT le.u, le.v FROM le JOIN stats s ON s.comp = cu WHERE cu = cv AND len_o <= med_o + 2.0 * greatest(q75_o - q25_o, 1e-12)""", ()),
+    "no_growth": (
+        lambda b: b.seeds.select("u", "v", F.col("is_seed").alias("retained"), F.lit(False).alias("accepted"), F.lit(False).alias("restored")),
+        SEED_SQL + " SELECT u, v, is_seed AS retained, false AS accepted, false AS restored FROM seeds", ()),
+    "first_mode_seed": (lambda b: mo.first_mode_seed(b.seeds).select("u", "v", "is_seed"), None, ()),
+    "outer_hull": (lambda b: tp.outer_hull(b.triangles, b.all_edges, b.edges), None, ()),
+    "hull_ratio": (lambda b: tp.hull_ratio(b.edges, tp.outer_hull(b.triangles, b.all_edges, b.edges), gr.components(b.pts, b.edges)), None, ("hull_ratio",)),
+    "gate_triangle_ratio": (lambda b: tp.triangle_edge_ratio(b.triangles, b.all_edges, b.labels), None, ("ratio",)),
+    "gate_shape": (
+        lambda b: tp.component_shape(b.triangles, tp.triangle_areas(b.triangles, b.pts, b.flat), tp.triangle_support(b.triangles, b.all_edges, b.all_edges, b.labels), b.all_edges).where("shape_o >= 12").select("comp"), None, ()),
+    "eligible_points": (
+        lambda b: tp.eligible(b.labels, tp.angular_moment(b.labels, b.all_edges, b.flat), tp.component_shape(b.triangles, tp.triangle_areas(b.triangles, b.pts, b.flat), tp.triangle_support(b.triangles, b.all_edges, b.all_edges, b.labels), b.all_edges), tp.triangle_edge_ratio(b.triangles, b.all_edges, b.labels), 1.0, 5.0, 0.1), None, ()),
+    "cluster_labels": (cluster_labels, None, ("cost",)),
+    "run_summary": (run_summary, None, ()),
     "delaunay_2d": (lambda b: b.triangles, None, ()),
     "edges_from_triangles": (lambda b: dl.edges_from_triangles(b.triangles), None, ()),
     "simplex_size": (lambda b: tp.simplex_sizes(b.triangles, b.all_edges), None, ("size_o", "size_p")),

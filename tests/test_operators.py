@@ -12,7 +12,7 @@ from geoloom.operators.components import connected_components
 
 
 def edge_table(spark, pairs, lengths=None):
-    rows = [(min(u, v), max(u, v), float(w), float(w)) for (u, v), w in zip(pairs, lengths or [1.0] * len(pairs))]
+    rows = [(min(u, v), max(u, v), float(w), float(w)) for (u, v), w in zip(pairs, [1.0] * len(pairs) if lengths is None else lengths)]
     return spark.createDataFrame(rows, "u long, v long, len_o double, len_p double")
 
 
@@ -168,3 +168,45 @@ def test_radial_outliers_and_repaint(spark):
     assert [r.pid for r in bridges.radial_outliers(pts).where("outlier").collect()] == [12]
     painted = point_table(spark, p[:12], [0] * 5 + [1] + [0] * 6)
     assert {r.painted for r in bridges.repaint(painted, nb.knn(painted, 10)).collect()} == {0}
+
+
+def test_first_mode_needs_two_clear_peaks(spark):
+    from geoloom.operators import modes
+
+    rng = np.random.default_rng(0)
+    table = lambda x: edge_table(spark, [(i, i + 1) for i in range(len(x))], x)
+    two = np.exp(np.r_[rng.normal(0, 0.15, 1000), rng.normal(2, 0.15, 1000)])
+    assert 1.3 < modes.first_mode_cutoff(table(two)) < 5.5
+    assert modes.first_mode_cutoff(table(np.exp(rng.normal(0, 0.2, 2000)))) is None
+    assert modes.first_mode_cutoff(table(two[:39])) is None
+
+
+def test_outer_hull_leaves_a_hole_out(spark):
+    from geoloom.operators import topology as tp
+
+    grid = np.array([(i, j) for i in range(5) for j in range(5)], float)
+    t = dl.delaunay(po.plane(point_table(spark, grid)))
+    edges = dl.edges_from_triangles(t).select("u", "v").withColumns({"len_o": F.lit(1.0), "len_p": F.lit(1.0)})
+    hole = edges.where("u <> 12 and v <> 12")  # the middle point's edges are missing
+    hull = {(r.u, r.v) for r in tp.outer_hull(t, edges, hole).collect()}
+    rim = {(r.u, r.v) for r in dl.edges_from_triangles(t).where("n_triangles = 1").collect()}
+    assert hull == rim and len(rim) == 16
+    opened = hole.where("not (u = 0 and v = 1)")
+    assert len({(r.u, r.v) for r in tp.outer_hull(t, edges, opened).collect()}) > 15 - 1
+
+
+def test_sources(spark, tmp_path):
+    import json
+
+    from geoloom.sources import arrays
+
+    np.savez(tmp_path / "one.npz", X=np.arange(6.0).reshape(3, 2), y_clean=np.array([0, 1, 1]))
+    np.savez(tmp_path / "two.npz", X=np.ones((2, 3)))
+    rows = arrays.read_npz(spark, str(tmp_path)).orderBy("dataset", "pid").collect()
+    assert [(r.dataset, r.pid, r.x, r.y) for r in rows[:2]] == [("one", 0, [0.0, 1.0], 0), ("one", 1, [2.0, 3.0], 1)] and rows[-1].y is None
+    (tmp_path / "one.json").write_text(json.dumps({"name": "one", "n_samples": 3, "target_range": [0.3, 0.7]}, indent=1))
+    side = arrays.read_sidecars(spark, str(tmp_path / "*.json"), expected=1)
+    assert side.first().dataset == "one" and side.first().n_samples == 3
+    with pytest.raises(ValueError):
+        arrays.read_sidecars(spark, str(tmp_path / "*.json"), expected=2)
+    assert arrays.pending(spark.createDataFrame([("a",), ("b_1000d",), ("c",)], "dataset string"), spark.createDataFrame([("c",)], "dataset string")).collect()[0][0] == "a"

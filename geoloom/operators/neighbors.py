@@ -84,3 +84,42 @@ def recall(first: DataFrame, second: DataFrame, k: int) -> DataFrame:
 def core_distance(near: DataFrame, k: int) -> DataFrame:
     """Mean distance to the k nearest others."""
     return near.where(F.col("rank") <= k).groupBy("pid").agg(F.avg("dist").alias("core"))
+
+
+def two_hop_selectivity(related: DataFrame, select: DataFrame) -> DataFrame:
+    """``u, v, context``: one less the share of passed edge ends among all points within two hops of either end, the edge itself left out."""
+    half = half_edges(related)
+    ends = related.select("u", "v", F.explode(F.array("u", "v")).alias("p"))
+    one = ends.join(half.select(F.col("src").alias("p"), F.col("dst").alias("q")), "p").select("u", "v", F.col("q").alias("p"))
+    near = ends.union(one).distinct()
+    two = near.join(half.select(F.col("src").alias("p"), F.col("dst").alias("q")), "p").select("u", "v", F.col("q").alias("p"))
+    sums = near.union(two).distinct().join(select.select(F.col("pid").alias("p"), "degree", "passed"), "p").groupBy("u", "v").agg(F.sum("degree").alias("d"), F.sum("passed").alias("n"))
+    own = F.col("uv").cast("int") + F.col("vu").cast("int")
+    return related.join(sums, ["u", "v"]).select("u", "v", F.when(F.col("d") > 2, 1 - (F.col("n") - own) / F.when(F.col("d") > 2, F.col("d") - 2)).otherwise(0.0).alias("context"))
+
+
+def fuzzy_graph(near: DataFrame, k: int = 15) -> DataFrame:
+    """``u, v, weight``: the fuzzy union of every point's neighbour memberships.
+
+    A membership falls from 1 at the nearest neighbour so that a point's sum is
+    log2(k), by a scale that bisection finds; the union is a + b - a * b.
+    """
+    some = near.where(F.col("rank") <= k)
+    lists = some.groupBy("pid").agg(F.array_sort(F.collect_list(F.struct("dist", "nid"))).alias("l")).select("pid", F.transform("l", lambda t: t["dist"]).alias("d"), F.transform("l", lambda t: t["nid"]).alias("n"))
+
+    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for pid, d, n in zip(*(c.to_pylist() for c in batch.columns)):
+                d = np.array(d)
+                over = np.maximum(d - (d[d > 0].min() if (d > 0).any() else 0.0), 0)
+                low, high, scale, goal = 0.0, np.inf, 1.0, np.log2(max(2, len(d)))
+                for _ in range(64):
+                    if np.exp(-over / scale).sum() > goal:
+                        high, scale = scale, (low + scale) / 2
+                    else:
+                        low, scale = scale, scale * 2 if high == np.inf else (scale + high) / 2
+                scale = max(scale, 1e-3 * max(d.mean(), 1e-12))
+                yield pa.RecordBatch.from_arrays([pa.array([pid] * len(d), pa.int64()), pa.array(n, pa.int64()), pa.array(np.exp(-over / scale))], ["pid", "nid", "w"])
+
+    each = lists.mapInArrow(weigh, "pid long, nid long, w double")
+    return each.groupBy(F.least("pid", "nid").alias("u"), F.greatest("pid", "nid").alias("v")).agg((1 - F.product(1 - F.col("w"))).alias("weight"))

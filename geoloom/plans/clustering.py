@@ -401,6 +401,12 @@ SELECT le.u, le.v FROM le JOIN stats s ON s.comp = cu WHERE cu = cv AND len_o <=
         lambda b: tp.eligible(b.labels, tp.angular_moment(b.labels, b.all_edges, b.flat), tp.component_shape(b.triangles, tp.triangle_areas(b.triangles, b.pts, b.flat), tp.triangle_support(b.triangles, b.all_edges, b.all_edges, b.labels), b.all_edges), tp.triangle_edge_ratio(b.triangles, b.all_edges, b.labels), 1.0, 5.0, 0.1), None, ()),
     "cluster_labels": (cluster_labels, None, ("cost",)),
     "run_summary": (run_summary, None, ()),
+    "two_hop_selectivity": (
+        lambda b: nb.two_hop_selectivity(b.related, b.select),
+        KNN_SQL + """, en AS (SELECT u, v, u AS p FROM edges UNION SELECT u, v, v FROM edges), n1 AS (SELECT * FROM en UNION SELECT en.u, en.v, h.dst FROM en JOIN half h ON h.src = p),
+n2 AS (SELECT * FROM n1 UNION SELECT n1.u, n1.v, h.dst FROM n1 JOIN half h ON h.src = p), sm AS (SELECT u, v, sum(degree) AS d, sum(passed) AS n FROM n2 JOIN sel ON sel.pid = p GROUP BY u, v)
+SELECT r.u, r.v, CASE WHEN d > 2 THEN 1 - (n - CAST(uv AS INTEGER) - CAST(vu AS INTEGER)) / (d - 2) ELSE 0 END AS context FROM related r JOIN sm ON sm.u = r.u AND sm.v = r.v""", ("context",)),
+    "umap_graph": (lambda b: nb.fuzzy_graph(b.near), None, ("weight",)),
     "delaunay_2d": (lambda b: b.triangles, None, ()),
     "edges_from_triangles": (lambda b: dl.edges_from_triangles(b.triangles), None, ()),
     "simplex_size": (lambda b: tp.simplex_sizes(b.triangles, b.all_edges), None, ("size_o", "size_p")),

@@ -210,3 +210,13 @@ def test_sources(spark, tmp_path):
     with pytest.raises(ValueError):
         arrays.read_sidecars(spark, str(tmp_path / "*.json"), expected=2)
     assert arrays.pending(spark.createDataFrame([("a",), ("b_1000d",), ("c",)], "dataset string"), spark.createDataFrame([("c",)], "dataset string")).collect()[0][0] == "a"
+
+
+def test_fuzzy_memberships_sum_to_log2_k(spark):
+    p = np.random.default_rng(8).normal(size=(80, 3))
+    near = nb.knn(point_table(spark, p), 8)
+    graph = nb.fuzzy_graph(near, 8).collect()
+    assert all(0 < r.weight <= 1 + 1e-12 and r.u < r.v for r in graph)
+    first = {(min(r.pid, r.nid), max(r.pid, r.nid)) for r in near.where("rank = 1").collect()}
+    weight = {(r.u, r.v): r.weight for r in graph}
+    assert all(abs(weight[e] - 1) < 1e-9 for e in first)

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+LONGEST = 200_000  # characters of a text that a model is fitted on
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -24,10 +26,13 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, learnable: C
 
     The choice follows a hash of the id, so it is the same on every run. Only
     ids are ranked; texts are fetched by a join with that bounded list.
-    Rows with a null id or label are left out, repeated labels count once.
+    Rows with a null id or label are left out, repeated labels count once and so
+    do documents of one id (the least text, the greater label). Texts of over
+    LONGEST characters aren't learned from, which bounds the sample in bytes.
     """
     y = F.col(label).cast("int")
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), y.alias("y")).where(learnable & F.col("y").isNotNull()).distinct()
     some = [known.where(F.col("y") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most) for c in (0, 1)]
     picked = some[0].unionByName(some[1])
-    return texts(docs).join(F.broadcast(picked), "doc_id").select("text", "y")
+    rows = texts(docs).where(F.length("text") <= LONGEST).join(F.broadcast(picked), "doc_id")
+    return rows.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("y").alias("y")).select("text", "y")

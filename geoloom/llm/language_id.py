@@ -120,7 +120,7 @@ def train(x: np.ndarray, y: np.ndarray, languages: list[str], rounds: int = 6, s
 def training_windows(docs: DataFrame, learnable: Column, most: int, each: int = 4) -> tuple[np.ndarray, np.ndarray, list[str]]:
     """Windows of about ``most`` documents of each language, ``each`` at most from one, evenly spread.
 
-    Documents are chosen by a hash of the id. Languages are the MOST_LANGUAGES most frequent labels.
+    Documents are chosen by a hash of the id; equal windows count once. Languages are the MOST_LANGUAGES most frequent labels.
     """
     known = docs.where(learnable & F.col("lang").isNotNull())
     counts = known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES)
@@ -136,7 +136,7 @@ def training_windows(docs: DataFrame, learnable: Column, most: int, each: int =
             x = window_bytes(data, at, starts[pick], row[pick])
             yield pa.RecordBatch.from_arrays([pa.array([r.tobytes() for r in x], pa.binary()), batch.column(1).take(pa.array(row[pick]))], ["x", "lang"])
 
-    rows = sorted((r["lang"], bytes(r["x"])) for r in some.mapInArrow(cut, "x binary, lang string").collect())
+    rows = sorted((r["lang"], bytes(r["x"])) for r in some.mapInArrow(cut, "x binary, lang string").distinct().collect())
     languages = sorted({lang for lang, _ in rows})
     x = np.array([np.frombuffer(b, np.uint8) for _, b in rows]).reshape(-1, LENGTH)
     return x, np.array([languages.index(lang) for lang, _ in rows], int), languages

@@ -38,6 +38,7 @@ HOT_LOCAL = 3  # sets of one slice that must share a shingle for it to be counte
 HOT_BLOCK = 4_000  # entries of one block of a frequent shingle's list
 PAIRWISE = 4  # lists up to this size are compared in full at once
 SIGNATURE = 256  # bits
+HUB_PAIRS = 100  # pairs of one set that one copy of it serves
 BLOOM_WORDS = 1 << 16
 
 
@@ -292,8 +293,28 @@ def _needed_sets(docs: DataFrame, pairs: DataFrame, k: int, wide: bool) -> DataF
 
 
 def _both_sides(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    side = lambda c: sets.select(F.col("s").alias(c), F.col("n").alias(f"n{c}"), F.col("tokens").alias(f"t{c}"))
-    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", "ta", "tb")
+    """Pairs with both sides' sets, sides in any order.
+
+    A set in more than HUB_PAIRS pairs, such as a pivot of many, is copied and its
+    pairs are dealt to the copies, so that no task gets all of them. The others
+    are joined where they are.
+    """
+    often = pairs.select(F.explode(F.array("a", "b")).alias("s")).groupBy("s").agg(F.ceil(F.count("*") / HUB_PAIRS).cast("int").alias("parts")).where("parts > 1")
+    hub = lambda c: often.select(F.col("s").alias(c), F.col("parts").alias(f"p{c}"))
+    known = materialise(pairs.join(hub("a"), "a", "left").join(hub("b"), "b", "left").select("a", "b", "pa", "pb"), "pair_hubs")
+    copies = sets.join(often, "s").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    side = lambda df, c, *more: df.select(F.col("s").alias(c), *(F.col(m).alias(f"{m}{c}") for m in more), F.col("n").alias(f"n{c}"), F.col("tokens").alias(f"t{c}"))
+    part = lambda other, parts: F.pmod(F.xxhash64(other), F.col(parts).cast("long")).cast("int")
+    columns = "a", "b", "na", "nb", "ta", "tb"
+    none = known.where("pa is null and pb is null").select("a", "b").join(side(sets, "a"), "a").join(side(sets, "b"), "b").select(*columns)
+    # the hub is called a
+    one = known.where("(pa is null) <> (pb is null)").select(
+        F.when(F.col("pa").isNotNull(), F.col("a")).otherwise(F.col("b")).alias("a"), F.when(F.col("pa").isNotNull(), F.col("b")).otherwise(F.col("a")).alias("b"), F.coalesce("pa", "pb").alias("p")
+    )
+    one = one.withColumn("parta", part("b", "p")).join(side(sets, "b"), "b").join(side(copies, "a", "part"), ["a", "parta"]).select(*columns)
+    both = known.where("pa is not null and pb is not null").select("a", "b", part("b", "pa").alias("parta"), part("a", "pb").alias("partb"))
+    both = both.join(side(copies, "a", "part"), ["a", "parta"]).join(side(copies, "b", "part"), ["b", "partb"]).select(*columns)
+    return none.union(one).union(both)
 
 
 def _sieved(docs: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame:

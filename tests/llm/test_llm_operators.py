@@ -298,3 +298,13 @@ def test_digests(spark):
     row = QUERIES["op1_secrets"](spark, SF).where("spans = ''").first()
     assert row.base_sha256 == hashlib.sha256(b"").hexdigest()
     assert zlib.crc32(b"1") % 4 == spark.range(1).select(F.crc32(F.lit("1")) % 4).first()[0]
+
+
+def test_hub_pairs_are_dealt_to_copies(spark, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "HUB_PAIRS", 3)
+    r = random.Random(11)
+    base = vocabulary(90, 6)
+    rows = [(i, " ".join(w if r.random() > 0.008 * (i % 4) else w + str(i) for w in base), "en", "a", None, "t", "k", 1) for i in range(40)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    got = {x.doc_id: x.component_id for x in jaccard_join.near_duplicates(docs, 3, 90).collect()}
+    assert got == {d: c for d, _, c in brute_classes(word_lists(docs), 3, 90)}

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame, Window, functions as F
 
 from geoloom.functions.vectors import distance, floored, quartiles, robust_ratio
@@ -80,7 +82,7 @@ def restored(edges: DataFrame, labels: DataFrame, seeds: DataFrame, limit: float
     return inside.join(internal_stats(seeds, labels), "comp").where(F.col("len_o") <= F.col("med_o") + limit * floored(F.col("q75_o") - F.col("q25_o"))).select("u", "v")
 
 
-def sequential_growth(edges: DataFrame, pts: DataFrame, seeds: DataFrame, min_edges: int, limit: float, projected: float, restore: float | None = None, mode: str = "real", most_rounds: int = 200) -> DataFrame:
+def sequential_growth(edges: DataFrame, pts: DataFrame, seeds: DataFrame, min_edges: int, limit: float, projected: float, restore: float | None = None, mode: str = "real") -> DataFrame:
     """Grow seed components until no edge is accepted or restored.
 
     Per round, statistics are frozen: active components (more than ``min_edges``
@@ -99,7 +101,7 @@ def sequential_growth(edges: DataFrame, pts: DataFrame, seeds: DataFrame, min_ed
     active = component_counts(labels, seeds).where(F.col("n_edges") > min_edges).select("comp")
     state = edges.select("u", "v", "len_o", "len_p").join(seeds.select("u", "v", F.lit(True).alias("seed")), ["u", "v"], "left").withColumns({"seed": F.coalesce("seed", F.lit(False)), "accepted": F.lit(False), "restored": F.lit(False), "round": F.lit(0)})
     state, active = materialise(state, "growth"), materialise(active, "active")
-    for number in range(1, most_rounds + 1):
+    for number in count(1):  # flags are only ever set, so a round without a new one comes
         reference = state.where("seed or accepted or restored")
         new = accepted(growth_scores(state, labels, active, reference), limit, projected).withColumn("_a", F.lit(True))
         out = state.join(new, ["u", "v"], "left")
@@ -112,13 +114,12 @@ def sequential_growth(edges: DataFrame, pts: DataFrame, seeds: DataFrame, min_ed
         fresh = F.coalesce(F.col("_a"), F.lit(False)) & ~F.col("accepted") | F.coalesce(F.col("_r"), F.lit(False)) & ~F.col("restored")
         state = materialise(out.select("u", "v", "len_o", "len_p", "seed", (F.col("accepted") | F.coalesce("_a", F.lit(False))).alias("accepted"), (F.col("restored") | F.coalesce("_r", F.lit(False))).alias("restored"), F.when(fresh & (F.col("round") == 0), F.lit(number)).otherwise(F.col("round")).alias("round"), fresh.alias("_new")), "growth")
         if not state.where("_new").limit(1).count():
-            break
+            return state.select("u", "v", "seed", "accepted", "restored", "round")
         state = state.drop("_new")
         pairs = labelled_edges(state.where("accepted"), labels).where("cu <> cv").select(F.col("cu").alias("u"), F.col("cv").alias("v")).distinct()
         merged = connected_components(pairs).select(F.col("node").alias("comp"), F.col("component").alias("to"))
         labels = materialise(labels.join(merged, "comp", "left").select("pid", F.coalesce("to", "comp").alias("comp")), "comp")
         active = materialise(active.join(merged, "comp", "left").select(F.coalesce("to", "comp").alias("comp")).distinct(), "active")
-    return state.select("u", "v", "seed", "accepted", "restored", "round")
 
 
 def boundary_scores(edges: DataFrame, pts: DataFrame, labels: DataFrame, large: DataFrame, q25: DataFrame, recall: DataFrame) -> DataFrame:

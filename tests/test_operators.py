@@ -3,6 +3,7 @@
 import itertools
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -114,6 +115,24 @@ def test_growth_reaches_a_fixpoint_and_only_coarsens(spark):
         gr.sequential_growth(e, pts, e, 1, 1.0, 1.0, mode="other")
 
 
+def test_growth_goes_on_after_200_rounds(spark, monkeypatch):
+    # rounds take a fraction of a second: tables stay in the driver, and each round is handed the next edge of a path
+    n, rounds = 206, itertools.count(1)
+    local = lambda df: spark.createDataFrame(df.toArrow())
+    path = local(edge_table(spark, [(i, i + 1) for i in range(n)]))
+    none = local(path.limit(0).withColumns({"cu": F.col("u"), "cv": F.col("v")}))
+    own = local(spark.range(n + 1).select(F.col("id").alias("pid"), F.col("id").alias("comp")))
+    monkeypatch.setattr(gr, "materialise", lambda df, name: local(df) if name == "growth" else own)
+    monkeypatch.setattr(gr, "components", lambda pts, edges: own)
+    monkeypatch.setattr(gr, "component_counts", lambda labels, edges: own.withColumn("n_edges", F.lit(3)))
+    monkeypatch.setattr(gr, "labelled_edges", lambda edges, labels: none)
+    monkeypatch.setattr(gr, "connected_components", lambda edges: own.select(F.col("pid").alias("node"), F.col("comp").alias("component")))
+    monkeypatch.setattr(gr, "growth_scores", lambda *a: next(rounds))
+    monkeypatch.setattr(gr, "accepted", lambda number, *a: spark.createDataFrame(pa.table({"u": [number], "v": [number + 1]})))
+    out = gr.sequential_growth(path, own, path.where("v = 1"), 2, 4.0, 4.0).collect()
+    assert len(out) == n and all(r.seed or r.accepted for r in out) and max(r["round"] for r in out) == n - 1
+
+
 def test_restoration_limits(spark):
     e = edge_table(spark, [(0, 1), (1, 2), (0, 2)], [1.0, 1.0, 5.0])
     labels = spark.createDataFrame([(0, 0), (1, 0), (2, 0)], "pid long, comp long")

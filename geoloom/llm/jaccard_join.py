@@ -13,7 +13,8 @@ Two relations between sets save most comparisons:
 * Answers follow from those of a similar set. The set that stands first in a list
   (the one with the fewest rarer shingles) is its pivot. All others are verified
   with the pivot first; sets that are found similar take over its answers, and
-  only pairs that are still in different components are compared afterwards.
+  only pairs that are still in different components are compared afterwards
+  (where only classes are asked for; the number of links needs every pair).
 
 Candidates are verified on whole sets. Equal sets are one set throughout, so
 copies cost nothing; shingles that many sets hold come last in the order, and
@@ -248,6 +249,28 @@ def _later_pairs(percent: int):
     return pairs
 
 
+def _all_pairs(percent: int):
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Every pair of a long list that the bounds allow; the pivot's were in the first pairs. One block of rows at a time."""
+        for batch in batches:
+            for own in (np.frombuffer(x, ENTRY) for x in batch.column(0).to_pylist()):
+                pos = own["pos"].astype(np.int64)
+                room = own["n"].astype(np.int64) * 2 * (100 - percent) // percent + 2
+                a, b, waiting = [], [], 0
+                for x in range(1, len(own)):
+                    rest = np.arange(x + 1, int(np.searchsorted(pos, room[x] - pos[x], "right")))  # the list ascends by position
+                    rest = rest[_passes(np.broadcast_to(own[x], len(rest)), own[rest], percent)]
+                    a.append(np.full(len(rest), own["set"][x]))
+                    b.append(own["set"][rest])
+                    waiting += len(rest)
+                    if waiting and (waiting > 100_000 or x == len(own) - 1):
+                        a, b = np.concatenate(a), np.concatenate(b)
+                        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+                        a, b, waiting = [], [], 0
+
+    return pairs
+
+
 def _wide_signature(own: np.ndarray) -> bytes:
     """Parity of at least twice as many bits as the set has shingles, a power of two of them."""
     bits = max(64, 1 << int(2 * len(own) - 1).bit_length())
@@ -352,12 +375,13 @@ def _verified(docs: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFr
     return _both_sides(pairs, _needed_sets(docs, pairs, k, False)).mapInArrow(keep, "a long, b long")
 
 
-def similar_sets(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame]:
+def similar_sets(docs: DataFrame, k: int, percent: int, full: bool = False) -> tuple[DataFrame, DataFrame]:
     """Members and links.
 
     Members: ``doc_id, row_key, n_shingles, set_id`` for every document (set id 0: no
-    shingle). Links: pairs ``a, b`` of set ids that are similar; between sets of
-    one component they are enough to connect it, between others none is missing.
+    shingle). Links: pairs ``a, b`` of set ids that are similar; with ``full`` all of
+    them, so as many as the square of a family of near copies. Else, between sets
+    of one component they are enough to connect it.
     """
     rows = materialise(members(docs, k), "members")
     hot, counts = frequent_shingles(rows)
@@ -380,6 +404,12 @@ def similar_sets(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, Data
     first = found.where("entries is null").select("a", "b").distinct()
     links = materialise(_verified(docs, first, k, percent), "links")
 
+    if full:
+        rest = found.where("entries is not null").select("entries").repartition(groups, F.xxhash64("entries")).mapInArrow(_all_pairs(percent), "a long, b long")
+        rest = materialise(rest.distinct().join(first, ["a", "b"], "left_anti"), "later_pairs")
+        more = _verified(docs, materialise(_sieved(docs, rest, k, percent), "sieved_pairs"), k, percent)
+        return own, materialise(links.union(more), "all_links")
+
     def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for x in batch.column(0).to_pylist():
@@ -395,28 +425,30 @@ def similar_sets(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, Data
     return own, materialise(links.union(more), "all_links")
 
 
-def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, count_links: bool = True) -> DataFrame:
     """Every document with the class of its near duplicates.
 
     Two documents are linked when their sets of k-word shingles (ASCII letters
     lowered; a shorter text is one shingle) have 100 * intersection >= percent *
     union. Returns ``doc_id, n_shingles, component_id, n_links, set_id``: the smallest doc_id
-    that links reach and the number of links between different sets that connect
-    the document's set. A text without words (null, empty) has no set and is its
+    that links reach and the number of other sets that the document's set is
+    linked to. A text without words (null, empty) has no set and is its
     own class. Rows that repeat share a class. A null id never names a class that
-    has another id.
+    has another id. Without ``count_links`` there is no ``n_links``, and pairs
+    that don't change a class aren't compared.
     """
-    own, links = similar_sets(docs, k, percent)
+    own, links = similar_sets(docs, k, percent, count_links)
     degree = links.select(F.explode(F.array("a", "b")).alias("set_id")).groupBy("set_id").agg(F.count("*").alias("n_links"))
     labels = connected_components(links, "a", "b").select(F.col("node").alias("set_id"), "component")
     least = own.where("set_id <> 0").groupBy("set_id").agg(F.min("doc_id").alias("least"))
     sets = least.join(labels, "set_id", "left").join(degree, "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
     first = sets.groupBy("component").agg(F.min("least").alias("component_id"))
     sets = sets.join(first, "component").select("set_id", "component_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    return own.join(sets, "set_id", "left").select(
+    out = own.join(sets, "set_id", "left").select(
         "doc_id", "n_shingles", F.when(F.col("set_id") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
         F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "set_id",
     )
+    return out if count_links else out.drop("n_links")
 
 
 def one_of_each(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
@@ -439,7 +471,7 @@ def one_of_each(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
 
 
 def op5_jaccard_join(spark, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents"), k=3, percent=90).select("doc_id", "n_shingles", "component_id")
+    return near_duplicates(table(spark, sf_dir, "documents"), k=3, percent=90, count_links=False).select("doc_id", "n_shingles", "component_id")
 
 
 OP5_SQL = r"""

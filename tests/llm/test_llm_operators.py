@@ -300,6 +300,20 @@ def test_digests(spark):
     assert zlib.crc32(b"1") % 4 == spark.range(1).select(F.crc32(F.lit("1")) % 4).first()[0]
 
 
+@pytest.mark.parametrize("block", [4_000, 6])
+def test_links_of_a_family_are_all_counted(spark, monkeypatch, block):
+    monkeypatch.setattr(jaccard_join, "HOT_BLOCK", block)
+    r = random.Random(12)
+    base = vocabulary(90, 7)
+    rows = [(i, " ".join(w if r.random() > 0.01 * (i % 4) else w + str(i) for w in base), "en", "a", None, "t", "k", 1) for i in range(30)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    lists = dict(word_lists(docs))
+    sets = {d: frozenset(tuple(w[i : i + 3]) for i in range(len(w) - 2)) for d, w in lists.items()}
+    want = {d: len({t for t in sets.values() if t != s and 100 * len(s & t) >= 90 * len(s | t)}) for d, s in sets.items()}
+    assert max(want.values()) > jaccard_join.PAIRWISE
+    assert {x.doc_id: x.n_links for x in jaccard_join.near_duplicates(docs, 3, 90).collect()} == want
+
+
 def test_hub_pairs_are_dealt_to_copies(spark, monkeypatch):
     monkeypatch.setattr(jaccard_join, "HUB_PAIRS", 3)
     r = random.Random(11)

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from geoloom.operators.components import connected_components
 from geoloom.operators.growth import components
+from geoloom.operators.neighbors import BLOCK
 from geoloom.operators.points import labels_by_size
 from geoloom.sources.shared import materialise
 
@@ -39,6 +44,87 @@ def spanning_forest(pts: DataFrame, edges: DataFrame) -> DataFrame:
         labels = materialise(labels.join(merged, "comp", "left").select("pid", F.coalesce("to", "comp").alias("comp")), "forest_comp")
 
 
+def spanning_tree(pts: DataFrame, near: DataFrame, samples: int) -> DataFrame:
+    """Minimum spanning tree ``u, v, weight`` of the mutual reachability of all pairs, by Boruvka rounds.
+
+    An edge outside the neighbour graph weighs at least its ends' distances to
+    their last neighbour. A component whose lightest edge in the graph is within
+    that of all its points takes it; when there is none left, the others' points
+    with nearer last neighbours meet all points. Ties go to edges of the graph, then to the smaller edge.
+    """
+    per = near.groupBy("pid").agg(F.max(F.when(F.col("rank") <= samples, F.col("dist"))).alias("core"), F.max("dist").alias("last"), F.max("rank").alias("n"))
+    own = pts.where("x is not null and pid is not null")
+    total = own.count()
+    own = materialise(own.select("pid", "x").join(per, "pid").select("pid", "x", "core", F.when(F.col("n") < total - 1, F.col("last")).otherwise(float("inf")).alias("last")), "tree_points")
+    at = lambda c: own.select(F.col("pid").alias(c), F.col("core").alias(f"k{c}"))
+    pair = near.select(F.least("pid", "nid").alias("u"), F.greatest("pid", "nid").alias("v"), "dist").groupBy("u", "v").agg(F.min("dist").alias("dist"))
+    edges = materialise(pair.join(at("u"), "u").join(at("v"), "v").select("u", "v", F.greatest("dist", "ku", "kv").alias("weight")), "tree_edges")
+    labels = materialise(own.select("pid", F.col("pid").alias("comp")), "forest_comp")
+    taken = edges.limit(0)
+    while True:
+        of = lambda c, labels=labels: labels.select(F.col("pid").alias(c), F.col("comp").alias(f"c{c}"))
+        out = edges.join(of("u"), "u").join(of("v"), "v").where("cu <> cv")
+        best = out.select(F.explode(F.array("cu", "cv")).alias("comp"), F.struct("weight", "u", "v").alias("e")).groupBy("comp").agg(F.min("e").alias("e"))
+        bound = own.join(labels, "pid").groupBy("comp").agg(F.min("last").alias("bound"))
+        best = materialise(bound.join(best, "comp", "left").select("comp", "bound", "e.*"), "tree_best")
+        sure = best.where("weight <= bound")
+        if not sure.limit(1).count():
+            found = _lightest(own.join(labels, "pid"), best)
+            sure = best.join(found, "comp", "left").select("comp", F.explode(F.array_compact(F.array(F.coalesce("e", F.when(F.col("weight").isNotNull(), F.struct("weight", "u", "v")))))).alias("e")).select("comp", "e.*")
+        step = materialise(sure.select("u", "v", "weight").distinct(), "tree_step")
+        if not step.limit(1).count():
+            return taken
+        taken = materialise(taken.union(step), "forest")
+        joined = step.join(of("u"), "u").join(of("v"), "v")
+        merged = connected_components(joined, "cu", "cv").select(F.col("node").alias("comp"), F.col("component").alias("to"))
+        labels = materialise(labels.join(merged, "comp", "left").select("pid", F.coalesce("to", "comp").alias("comp")), "forest_comp")
+
+
+def _lightest(own: DataFrame, best: DataFrame) -> DataFrame:
+    """``comp, e``: each component's lightest edge (weight, u, v) to another, where it is lighter than that in ``best``."""
+    blocks = max(1, -(-own.count() // BLOCK))
+
+    def pack(key, t):
+        x = np.array(t.column("x").to_pylist(), float)
+        pid, comp, core, most = (t.column(c).to_numpy() for c in ("pid", "comp", "core", "most"))
+        return pa.table({"part": pa.array([key[0].as_py()], pa.int64()), **{n: pa.array([v.astype(k).tobytes()], pa.binary()) for n, v, k in (("pid", pid, "i8"), ("comp", comp, "i8"), ("core", core, "f8"), ("most", most, "f8"), ("x", x, "f8"))}})
+
+    kinds = {"pid": np.int64, "comp": np.int64, "core": np.float64, "most": np.float64, "x": np.float64}
+    packed = lambda df: df.withColumn("part", F.pmod(F.xxhash64("pid"), F.lit(blocks))).select("part", *kinds).groupBy("part").applyInArrow(pack, "part long, " + ", ".join(f"{c} binary" for c in kinds))
+    known = own.join(best.select("comp", F.coalesce("weight", F.lit(float("inf"))).alias("most")), "comp")
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))
+    asked = packed(known.where("last < most")).select(*(F.col(c).alias(f"q_{c}") for c in kinds)).withColumn("part", every)
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                t = {c: np.frombuffer(row[c], k) for c, k in kinds.items()}
+                q = {c: np.frombuffer(row[f"q_{c}"], k) for c, k in kinds.items()}
+                x, y = t["x"].reshape(len(t["pid"]), -1), q["x"].reshape(len(q["pid"]), -1)
+                sizes = (x**2).sum(1)
+                out = []
+                for i in range(0, len(y), 256):
+                    part, core = y[i : i + 256], q["core"][i : i + 256]
+                    own_sizes = (part**2).sum(1)
+                    rough = own_sizes[:, None] + sizes[None] - 2 * part @ x.T
+                    rough = np.maximum(np.maximum(rough, (core**2)[:, None]), (t["core"] ** 2)[None])
+                    rough[q["comp"][i : i + 256, None] == t["comp"][None]] = np.inf
+                    edge = rough.min(1)
+                    for j in np.flatnonzero(np.isfinite(edge)):  # all that may be lightest after exact distances
+                        some = np.flatnonzero(rough[j] <= edge[j] + 1e-9 * (1 + edge[j] + own_sizes[j] + sizes.max()))
+                        weight = np.maximum(np.maximum(np.sqrt(((x[some] - part[j]) ** 2).sum(1)), core[j]), t["core"][some])
+                        me = q["pid"][i + j]
+                        u, v = np.minimum(me, t["pid"][some]), np.maximum(me, t["pid"][some])
+                        k = np.lexsort((v, u, weight))[0]
+                        if weight[k] < q["most"][i + j]:
+                            out.append((q["comp"][i + j], weight[k], u[k], v[k]))
+                comp, weight, u, v = zip(*out) if out else ((), (), (), ())
+                yield pa.RecordBatch.from_arrays([pa.array(comp, pa.int64()), pa.array(weight, pa.float64()), pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["comp", "weight", "u", "v"])
+
+    found = packed(known).join(asked, "part").drop("part").mapInArrow(search, "comp long, weight double, u long, v long")
+    return found.groupBy("comp").agg(F.min(F.struct("weight", "u", "v")).alias("e"))
+
+
 def density_cut(pts: DataFrame, forest: DataFrame, epsilon: float, min_cluster_size: int) -> DataFrame:
     """Clusters of the forest without edges over ``epsilon``; points of smaller ones are -1."""
     return labels_by_size(components(pts, forest.where(F.col("weight") <= epsilon).select("u", "v")), min_cluster_size)

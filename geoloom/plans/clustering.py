@@ -366,8 +366,8 @@ SELECT e.u, e.v, """ + ", ".join(f"coalesce({c}, 0) AS {c}" for c in [*(f"h1_{i}
 FROM edges e LEFT JOIN b1 ON b1.u = e.u AND b1.v = e.v LEFT JOIN b2 ON b2.u = e.u AND b2.v = e.v, gs""", (*(f"g_{c}" for c in br.GLOBAL), "length_ratio", "log_dim")),
     "bridge_mlp": (lambda b: br.bridge_classifier(br.bridge_features(b.edges, 64), br.keep_or_prune(b.edges, b.pts)), None, ("probability",)),
     "cost_gate": (lambda b: rc.cost_gate(b.edges, b.pred, nb.core_distance(b.near, 15)), None, ("cost",)),
-    "mst_weight": (lambda b: de.spanning_forest(b.pts, de.mutual_reachability(b.near, 10)).agg(F.count("*").alias("n_edges"), F.sum("weight").alias("weight")), None, ("weight",)),
-    "hdbscan_cut": (lambda b: de.density_cut(b.pts, de.spanning_forest(b.pts, de.mutual_reachability(b.near, 10)), 1.3, 10), None, ()),
+    "mst_weight": (lambda b: de.spanning_tree(b.pts, b.near, 10).agg(F.count("*").alias("n_edges"), F.sum("weight").alias("weight")), None, ("weight",)),
+    "hdbscan_cut": (lambda b: de.density_cut(b.pts, de.spanning_tree(b.pts, b.near, 10), 1.3, 10), None, ()),
     "edge_redundancy": (lambda b: pr.edge_redundancy(b.edges, gr.components(b.pts, b.edges), 3), None, ()),
     "redundancy_prune": (lambda b: pr.redundancy_prune(pr.edge_redundancy(b.edges, gr.components(b.pts, b.edges), 3), 3, 1, 0.99), None, ()),
     "vertex_cut": (lambda b: pr.vertex_cut(b.edges, gr.components(b.pts, b.edges), most=2, min_points=10, fraction=0.05), None, ()),

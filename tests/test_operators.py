@@ -164,6 +164,27 @@ def test_spanning_forest_matches_prim(spark):
     assert len(rows) == 29 and abs(sum(r.weight for r in rows) - total) < 1e-9
 
 
+@pytest.mark.parametrize("detour", [False, True])
+def test_spanning_tree_joins_packed_groups(spark, detour):
+    # neighbours are all of the own group; with the detour the neighbour graph is whole by heavier edges only
+    rng = np.random.default_rng(6)
+    p = np.r_[rng.normal(0, 0.01, (12, 2)), np.zeros((8, 2)), rng.normal(0, 0.01, (12, 2)) + [1, 0]]
+    if detour:
+        p = np.r_[p, [(0.5 + 0.4 * np.cos(a), 4 + np.sin(a)) for a in np.linspace(0, 6, 4)]]
+    pts = point_table(spark, p)
+    rows = density.spanning_tree(pts, nb.knn(pts, 6), 3).collect()
+    d = np.sqrt(((p[:, None] - p[None]) ** 2).sum(2))
+    core = np.sort(d, 1)[:, 3]
+    w = np.maximum(d, np.maximum(core[:, None], core[None]))
+    inside, total = {0}, 0.0
+    while len(inside) < len(p):
+        weight, j = min((w[i, j], j) for i in inside for j in set(range(len(p))) - inside)
+        inside.add(j)
+        total += weight
+    assert len(rows) == len(p) - 1 and abs(sum(r.weight for r in rows) - total) < 1e-9
+    assert connected_components(spark.createDataFrame(rows)).where("component = 0").count() == len(p)
+
+
 def test_metrics(spark):
     same = spark.createDataFrame([(i, i % 3, i % 3) for i in range(12)], "pid long, y long, label long")
     assert ev.adjusted_rand(same).first().ari == 1

@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
-
-LONGEST = 200_000  # characters of a text that a model is fitted on
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,18 +19,22 @@ def fold(modulus: int, doc_id: str = "doc_id") -> Column:
     return F.crc32(F.col(doc_id).cast("string")) % modulus
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, learnable: Column, most: int) -> DataFrame:
-    """At most ``most`` labelled documents of each class, as ``text, y``.
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, learnable: Column, most: dict[int, int], most_bytes: int) -> DataFrame:
+    """At most ``most[y]`` labelled documents of each class y, 0 and 1, as ``text, y``, of ``most_bytes`` characters in all.
 
-    The choice follows a hash of the id, so it is the same on every run. Only
-    ids are ranked; texts are fetched by a join with that bounded list.
+    The choice follows a hash of the id, so it is the same on every run; texts of
+    any length are learned from, as long as they fit into what their class has left
+    of its half of ``most_bytes`` when it is their turn. Only ids are ranked; texts
+    are fetched by a join with that bounded list.
     Rows with a null id or label are left out, repeated labels count once and so
-    do documents of one id (the least text, the greater label). Texts of over
-    LONGEST characters aren't learned from, which bounds the sample in bytes.
+    do documents of one id (the least text, the greater label).
     """
     y = F.col(label).cast("int")
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), y.alias("y")).where(learnable & F.col("y").isNotNull()).distinct()
-    some = [known.where(F.col("y") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most) for c in (0, 1)]
+    some = [known.where(F.col("y") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most[c]) for c in (0, 1)]
     picked = some[0].unionByName(some[1])
-    rows = texts(docs).where(F.length("text") <= LONGEST).join(F.broadcast(picked), "doc_id")
-    return rows.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("y").alias("y")).select("text", "y")
+    rows = texts(docs).where(F.length("text") <= most_bytes // 2).join(F.broadcast(picked), "doc_id")
+    rows = rows.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("y").alias("y"))
+    # a window over the bounded list
+    so_far = F.sum(F.length("text")).over(Window.partitionBy("y").orderBy(F.xxhash64("doc_id"), "doc_id"))
+    return rows.withColumn("so_far", so_far).where(F.col("so_far") <= most_bytes // 2).select("text", "y")

@@ -106,28 +106,29 @@ def isotonic(x: np.ndarray, ones: np.ndarray, mass: np.ndarray) -> tuple[np.ndar
 
 
 def _sums(rows: DataFrame, part, width: int) -> np.ndarray:
-    """Adds up what ``part(statistics, labels)`` gives for each slice, per partition and then by a grouped sum."""
+    """Adds up what ``part(statistics, labels)`` gives for each slice, per partition and then by a sum of each place."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(width)
         for batch in slices(batches):
             total += part(statistics(*utf8(batch.column(0))), batch.column(1).to_numpy(zero_copy_only=False).astype(float))
-        yield pa.RecordBatch.from_arrays([pa.array([0]), pa.array([total.tobytes()], pa.binary())], ["k", "v"])
+        if total.any():
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(width)), pa.array(total)], ["place", "v"])
 
-    def add(key, t):
-        return pa.table({"k": pa.array([0]), "v": pa.array([sum(np.frombuffer(x.as_py()) for x in t.column("v")).tobytes()], pa.binary())})
+    # the sums of `width` places, whatever the rows: each partition sends one number for a place
+    got = rows.select("text", "y").mapInArrow(scan, "place long, v double").groupBy("place").agg(F.sum("v").alias("v")).toPandas()
+    out = np.zeros(width)
+    out[got["place"].to_numpy(int)] = got["v"].to_numpy(float)
+    return out
 
-    got = rows.select("text", "y").mapInArrow(scan, "k long, v binary").groupBy("k").applyInArrow(add, "k long, v binary").collect()
-    return np.frombuffer(got[0]["v"]) if got else np.zeros(width)
 
-
-def fit(docs: DataFrame, labels: DataFrame, most: int = 8_000, ridge: float = 1e-3, gamma: float = 0.02, seed: int = 11) -> KernelModel:
-    """Fit on at most ``most`` labelled documents of each class outside the held-out fold (crc32 of the id mod 3 is 1).
+def fit(docs: DataFrame, labels: DataFrame, most: int = 8_000, most_bytes: int = 256 << 20, ridge: float = 1e-3, gamma: float = 0.02, seed: int = 11) -> KernelModel:
+    """Fit on at most ``most`` labelled documents of each class outside the held-out fold (crc32 of the id mod 3 is 1), ``most_bytes`` of text in all.
 
     Classes are weighted to the shares that all labels show. With labels of one
     class only, every score is that class; without labels it is 0.5.
     """
-    rows = labelled_sample(docs, labels, "quality", fold(3) != 1, most)
+    rows = labelled_sample(docs, labels, "quality", fold(3) != 1, {0: most, 1: most}, most_bytes)
     known = labels.where((fold(3) != 1) & F.col("quality").isin(0, 1)).agg(F.avg(F.col("quality").cast("double"))).first()[0]
     rows = materialise(rows, "quality_sample")
     d = statistics(np.zeros(0, np.uint8), np.zeros(2, np.int64)).shape[1]
@@ -164,7 +165,11 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = 8_000, ridge: float = 1e
 
 
 def quality_scores(docs: DataFrame, model: KernelModel) -> DataFrame:
-    """``doc_id, score, raw`` of every whole text; a null or empty text is scored as one without characters."""
+    """``doc_id, score, raw`` of every whole text.
+
+    A null or empty text is scored as one without characters. Repeated rows and
+    texts of equal statistics get equal scores. An empty table gives no rows.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # FEATURES * 20 numbers
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

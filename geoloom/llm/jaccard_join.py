@@ -41,6 +41,7 @@ PAIRWISE = 4  # lists up to this size are compared in full at once
 SIGNATURE = 256  # bits
 HUB_PAIRS = 100  # pairs of one set that one copy of it serves
 BLOOM_WORDS = 1 << 16
+FIRST_ASKED = 4  # partners that a set asks for in the first round over open lists; eight times as many in each later one
 
 
 def _sets(batch: pa.RecordBatch, k: int):
@@ -124,19 +125,19 @@ def _entries(batch: pa.RecordBatch, k: int, percent: int, hot: np.ndarray, count
     length = n[rows] - (-(-percent * n[rows] // 100)) + 1
     rank = np.empty(len(hot), np.int64)
     rank[np.argsort(counts, kind="stable")] = np.arange(len(hot))
-    out = np.zeros(int(length.sum()), ENTRY)
-    first = 0
-    for r, p, sig in zip(rows.tolist(), length.tolist(), signature):
-        own = tokens[at[r] : at[r + 1]]
-        if len(hot):
-            where = np.searchsorted(hot, own)
-            known = hot[np.minimum(where, len(hot) - 1)] == own
-            if known.any():
-                late = own[known][np.argsort(rank[where[known]], kind="stable")]
-                own = np.r_[own[~known], late]
-        part = out[first : first + p]
-        part["token"], part["set"], part["n"], part["pos"], part["sig"] = own[:p], ids[r].astype(np.int64), len(own), np.arange(p), sig
-        first += p
+    # the order within a set: by hash, the shingles that are known to be frequent last, by their frequency
+    of = np.repeat(np.arange(len(rows)), n[rows])
+    own = _rows_of(tokens, at, rows)
+    late = np.full(len(own), -1)
+    if len(hot):
+        where = np.minimum(np.searchsorted(hot, own), len(hot) - 1)
+        late = np.where(hot[where] == own, rank[where], -1)
+    order = np.lexsort((late, of)) if (late >= 0).any() else np.arange(len(own))
+    place = np.arange(len(own)) - np.repeat(np.cumsum(n[rows]) - n[rows], n[rows])
+    take = place < length[of]
+    out = np.zeros(int(take.sum()), ENTRY)
+    of = of[take]
+    out["token"], out["set"], out["n"], out["pos"], out["sig"] = own[order][take], ids[rows].view(np.int64)[of], n[rows][of], place[take], signature[of]
     return out
 
 
@@ -148,15 +149,15 @@ def _blocked(entries: np.ndarray, hot: np.ndarray, counts: np.ndarray) -> np.nda
     blocks = -(-counts[counts > HOT_BLOCK] // HOT_BLOCK)
     where = np.minimum(np.searchsorted(long, entries["token"]), len(long) - 1)
     known = long[where] == entries["token"]
-    out = [entries[~known]]
-    for e, b in zip(entries[known], blocks[where[known]]):
-        own = int(mix(np.array([e["set"]]).view(np.uint64))[0] % np.uint64(b))
-        other = np.arange(b)
-        cell = (np.minimum(own, other) * b + np.maximum(own, other)).astype(np.uint64)
-        copy = np.repeat(e, b)
-        copy["token"] = mix(e["token"] + cell * np.uint64(0x9E3779B97F4A7C15))
-        out.append(copy)
-    return np.concatenate(out)
+    own = entries[known]
+    b = blocks[where[known]]
+    mine = (mix(own["set"].astype(np.int64).view(np.uint64)) % b.astype(np.uint64)).astype(np.int64)
+    of = np.repeat(np.arange(len(own)), b)
+    other = np.arange(len(of)) - np.repeat(np.cumsum(b) - b, b)
+    cell = (np.minimum(mine[of], other) * b[of] + np.maximum(mine[of], other)).astype(np.uint64)
+    copies = own[of]
+    copies["token"] = mix(copies["token"] + cell * np.uint64(0x9E3779B97F4A7C15))
+    return np.concatenate([entries[~known], copies])
 
 
 def _needed(n: np.ndarray, m: np.ndarray, percent: int) -> np.ndarray:
@@ -165,6 +166,11 @@ def _needed(n: np.ndarray, m: np.ndarray, percent: int) -> np.ndarray:
     return np.where(100 * np.minimum(n, m) >= percent * np.maximum(n, m), room, -1)
 
 
+def _most_room(n: np.ndarray, percent: int) -> np.ndarray:
+    """The largest symmetric difference to any set that is similar to one of this size."""
+    return n.astype(np.int64) * (100 - percent) // percent
+
+
 def _passes(a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
     room = _needed(a["n"].astype(np.int64), b["n"].astype(np.int64), percent)
     ok = (a["pos"] + b["pos"] <= room) & (a["set"] != b["set"])
@@ -208,8 +214,7 @@ def _first_pairs(percent: int):
         for i in np.flatnonzero(sizes > PAIRWISE):
             own = e[cuts[i] : cuts[i + 1]]
             # a set that comes too late for the earliest position has no partner here: skip the rest
-            room = own["n"].astype(np.int64) * 2 * (100 - percent) // percent + 2
-            own = own[own["pos"].astype(np.int64) + own["pos"][0] <= room]
+            own = own[own["pos"].astype(np.int64) + own["pos"][0] <= _most_room(own["n"], percent)]
             if len(own) < 2:
                 continue
             ok = np.flatnonzero(_passes(np.broadcast_to(own[0], len(own) - 1), own[1:], percent)) + 1
@@ -222,97 +227,120 @@ def _first_pairs(percent: int):
     return pairs
 
 
-def _later_pairs(percent: int):
+def _wide_passes(wide: list[bytes], x: np.ndarray, y: np.ndarray, room: np.ndarray) -> np.ndarray:
+    """Which pairs of sets differ in no more bits than they have room for; the larger signature is folded to the smaller one's size."""
+    ok = np.zeros(len(x), bool)
+    used, at = np.unique(np.r_[x, y], return_inverse=True)
+    x, y = at[: len(x)], at[len(x) :]
+    level = np.log2([len(wide[i]) for i in used]).astype(int)
+    both = np.minimum(level[x], level[y])
+    rows, own = None, np.zeros(0, int)
+    for one in range(int(level.max()), int(level.min()) - 1, -1):
+        if rows is not None:
+            rows = rows[:, : 1 << one] ^ rows[:, 1 << one :]
+        new = np.flatnonzero(level == one)
+        fresh = np.frombuffer(b"".join(wide[used[i]] for i in new), np.uint8).reshape(len(new), 1 << one)
+        rows = fresh if rows is None else np.concatenate([rows, fresh])
+        own = np.r_[own, new]
+        place = np.empty(len(used), int)
+        place[own] = np.arange(len(own))
+        some = np.flatnonzero(both == one)
+        for part in np.array_split(some, max(1, (len(some) << one) >> 22)):
+            differ = (rows[place[x[part]]] ^ rows[place[y[part]]]).view(np.uint64)
+            ok[part] = np.bitwise_count(differ).sum(1) <= room[part]
+    return ok
+
+
+def _open_pairs(percent: int, quota: int | None):
     def pairs(key, table):
-        """Pairs of a long list whose sets are still in different components."""
-        e = np.concatenate([np.frombuffer(x.as_py(), ENTRY) for x in table.column("entry")])
-        comp = np.array(table.column("comp").to_pylist(), np.int64)
+        """Pairs of different components in long lists, ``quota`` of each set at most; the last row tells whether a set had more."""
+        sets, comps = table.column("set").to_numpy(), table.column("comp").to_numpy()
+        lists = [np.frombuffer(b"".join(x), ENTRY) for x in table.column("entries").to_pylist()]
+        wide = table.column("wide").to_pylist()
+        e = np.concatenate(lists)
+        of = np.repeat(np.arange(len(sets)), [len(x) for x in lists])
         order = np.lexsort((e["set"], e["n"], e["pos"], e["token"]))
-        e, comp = e[order], comp[order]
+        e, of = e[order], of[order]
         cuts = np.flatnonzero(np.r_[True, e["token"][1:] != e["token"][:-1], True])
-        a, b = [e["set"][:0]], [e["set"][:0]]
-        for i, j in zip(cuts[:-1], cuts[1:]):
-            own, c = e[i:j], comp[i:j]
+        a, b, more = [sets[:0]], [sets[:0]], False
+        for i, j in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+            own, c, back = e[i:j], comps[of[i:j]], of[i:j]
             if (c == c[0]).all():
                 continue
-            pos = own["pos"].astype(np.int64)
-            room = own["n"].astype(np.int64) * 2 * (100 - percent) // percent + 2
-            for x in range(len(own) - 1):
-                stop = int(np.searchsorted(pos, room[x] - pos[x], "right"))  # the list ascends by position
-                rest = np.flatnonzero(c[x + 1 : stop] != c[x]) + x + 1
-                if len(rest):
-                    rest = rest[_passes(np.broadcast_to(own[x], len(rest)), own[rest], percent)]
-                    a.append(np.full(len(rest), own["set"][x]))
-                    b.append(own["set"][rest])
-        return _pair_table(np.concatenate(a), np.concatenate(b), []).drop_columns(["entries"])
-
-    return pairs
-
-
-def _all_pairs(percent: int):
-    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Every pair of a long list that the bounds allow; the pivot's were in the first pairs. One block of rows at a time."""
-        for batch in batches:
-            for own in (np.frombuffer(x, ENTRY) for x in batch.column(0).to_pylist()):
-                pos = own["pos"].astype(np.int64)
-                room = own["n"].astype(np.int64) * 2 * (100 - percent) // percent + 2
-                a, b, waiting = [], [], 0
-                for x in range(1, len(own)):
-                    rest = np.arange(x + 1, int(np.searchsorted(pos, room[x] - pos[x], "right")))  # the list ascends by position
-                    rest = rest[_passes(np.broadcast_to(own[x], len(rest)), own[rest], percent)]
-                    a.append(np.full(len(rest), own["set"][x]))
-                    b.append(own["set"][rest])
-                    waiting += len(rest)
-                    if waiting and (waiting > 100_000 or x == len(own) - 1):
-                        a, b = np.concatenate(a), np.concatenate(b)
-                        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
-                        a, b, waiting = [], [], 0
+            pos, n, sig = own["pos"].astype(np.int64), own["n"].astype(np.int64), own["sig"]
+            stops = np.searchsorted(pos, _most_room(n, percent) - pos, "right")  # the list ascends by position
+            first = 0
+            while first < len(own) - 1:
+                last = min(len(own) - 1, first + max(1, 1_000_000 // len(own)))  # rows of one block of comparisons
+                stop = int(stops[first:last].max())
+                x, y = np.arange(first, last), np.arange(first + 1, max(stop, first + 1))
+                row, col = np.nonzero((y > x[:, None]) & (y < stops[x][:, None]) & (c[y] != c[x][:, None]))
+                x, y, first = x[row], y[col], last
+                room = _needed(n[x], n[y], percent)
+                keep = pos[x] + pos[y] <= room
+                x, y, room = x[keep], y[keep], room[keep]
+                keep = np.bitwise_count(sig[x] ^ sig[y]).sum(1) <= room
+                x, y, room = x[keep], y[keep], room[keep]
+                if not len(x):
+                    continue
+                keep = _wide_passes(wide, back[x], back[y], room)
+                x, y = x[keep], y[keep]
+                if quota is not None and len(x):
+                    nth = np.arange(len(x)) - np.searchsorted(x, x)
+                    more |= bool((nth >= quota).any())
+                    x, y = x[nth < quota], y[nth < quota]
+                a.append(own["set"][x])
+                b.append(own["set"][y])
+        out = _pair_table(np.concatenate(a), np.concatenate(b), []).drop_columns(["entries"])
+        return pa.concat_tables([out, pa.table({"a": pa.array([None], pa.int64()), "b": pa.array([None], pa.int64())})]) if more else out
 
     return pairs
 
 
 def _wide_signature(own: np.ndarray) -> bytes:
-    """Parity of at least twice as many bits as the set has shingles, a power of two of them."""
-    bits = max(64, 1 << int(2 * len(own) - 1).bit_length())
+    """Parity of at least as many bits as the set has shingles, a power of two of them."""
+    bits = max(64, 1 << int(len(own) - 1).bit_length())
     return np.packbits((np.bincount((own >> np.uint64(11)).astype(np.int64) & (bits - 1), minlength=bits) & 1).astype(np.uint8)).tobytes()
 
 
-def _needed_sets(docs: DataFrame, pairs: DataFrame, k: int, wide: bool) -> DataFrame:
-    """``s, n`` and the whole set (``tokens``), or its wide signature, of the sets in ``pairs`` and of few others.
+def _sets_of(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
+    """``s, n``, the whole set (``tokens``) and its wide signature (``wide``) of the set ids ``s`` in ``ids``.
 
-    Sets are made again from the texts; a Bloom filter of bounded size keeps back
-    nearly all that no pair needs.
+    Sets are made again from the texts, in one pass; a Bloom filter of bounded size
+    keeps back nearly all that aren't asked for, and a join the rest.
     """
-    bits = BLOOM_WORDS * 64
-    places = lambda c: (F.pmod(F.xxhash64(c), F.lit(bits)), F.pmod(F.xxhash64(c, F.lit(1)), F.lit(bits)))
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("s")).distinct()
-    words = (
-        ids.select(F.explode(F.array(*places("s"))).alias("bit"))
-        .groupBy(F.floor(F.col("bit") / 64).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit % 64 as int))")).alias("mask"))
-    )
-    sent = words.toPandas()  # BLOOM_WORDS rows at most
-    bloom = np.zeros(BLOOM_WORDS, np.int64)
-    bloom[sent["word"].to_numpy(np.int64)] = sent["mask"].to_numpy(np.int64)
+    bits = np.uint64(BLOOM_WORDS * 64)
+
+    def places(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        h = mix(ids.view(np.uint64))
+        return h % bits, mix(h) % bits
+
+    def masks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bloom = np.zeros(BLOOM_WORDS, np.uint64)
+        for batch in batches:
+            for place in places(batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)):
+                np.bitwise_or.at(bloom, (place >> np.uint64(6)).astype(np.int64), np.uint64(1) << (place & np.uint64(63)))
+        some = np.flatnonzero(bloom)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(bloom[some].view(np.int64))], ["word", "mask"])
+
+    sent = ids.select("s").mapInArrow(masks, "word long, mask long").groupBy("word").agg(F.bit_or("mask").alias("mask")).toPandas()  # BLOOM_WORDS rows at most
+    bloom = np.zeros(BLOOM_WORDS, np.uint64)
+    bloom[sent["word"].to_numpy(np.int64)] = sent["mask"].to_numpy(np.int64).view(np.uint64)
     shared = docs.sparkSession.sparkContext.broadcast(bloom)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bloom = shared.value
         for batch in slices(batches):
             tokens, at, n, ids = _sets(batch, k)
             rows = _distinct(ids)
-            value = [_wide_signature(tokens[at[r] : at[r + 1]]) if wide else tokens[at[r] : at[r + 1]].tobytes() for r in rows]
-            yield pa.RecordBatch.from_arrays([pa.array(ids[rows].view(np.int64)), pa.array(n[rows].astype(np.int64)), pa.array(value, pa.binary())], ["s", "n", "tokens"])
-
-    def only_needed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits_set = shared.value
-        for batch in batches:
-            p, q = (batch.column(i).to_numpy() for i in (3, 4))
-            keep = pa.array(((bits_set[p // 64] >> (p % 64)) & (bits_set[q // 64] >> (q % 64)) & 1).astype(bool))
-            yield pa.RecordBatch.from_arrays([batch.column(i).filter(keep) for i in range(3)], ["s", "n", "tokens"])
+            seen = [(bloom[(place >> np.uint64(6)).astype(np.int64)] >> (place & np.uint64(63))) & np.uint64(1) == 1 for place in places(ids[rows])]
+            rows = rows[seen[0] & seen[1]]
+            own = [tokens[at[r] : at[r + 1]] for r in rows]
+            yield pa.RecordBatch.from_arrays([pa.array(ids[rows].view(np.int64)), pa.array(n[rows].astype(np.int64)), pa.array([x.tobytes() for x in own], pa.binary()), pa.array(list(map(_wide_signature, own)), pa.binary())], ["s", "n", "tokens", "wide"])
 
-    sets = texts(docs).mapInArrow(scan, "s long, n long, tokens binary")
-    p, q = places("s")
-    sets = sets.select("s", "n", "tokens", p.alias("p"), q.alias("q")).mapInArrow(only_needed, "s long, n long, tokens binary")
-    return sets.groupBy("s").agg(F.first("n").alias("n"), F.first("tokens").alias("tokens"))
+    sets = texts(docs).mapInArrow(scan, "s long, n long, tokens binary, wide binary")
+    asked = sets.join(ids.hint("merge"), "s", "left_semi")
+    return materialise(asked.groupBy("s").agg(F.first("n").alias("n"), F.first("tokens").alias("tokens"), F.first("wide").alias("wide")), "asked_sets")
 
 
 def _both_sides(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -340,26 +368,7 @@ def _both_sides(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return none.union(one).union(both)
 
 
-def _sieved(docs: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame:
-    """The pairs whose wide signatures, a thirtieth of the sets, allow them to be similar."""
-
-    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            room = _needed(batch.column(2).to_numpy(), batch.column(3).to_numpy(), percent)
-            ok = np.zeros(batch.num_rows, bool)
-            for i, (x, y) in enumerate(zip(batch.column(4), batch.column(5))):
-                x, y = (np.frombuffer(v.as_py(), np.uint8) for v in (x, y))
-                while len(x) > len(y):
-                    x = x[: len(x) // 2] ^ x[len(x) // 2 :]
-                while len(y) > len(x):
-                    y = y[: len(y) // 2] ^ y[len(y) // 2 :]
-                ok[i] = int(np.bitwise_count(x ^ y).sum()) <= room[i]
-            yield pa.RecordBatch.from_arrays([c.filter(pa.array(ok)) for c in batch.columns[:2]], ["a", "b"])
-
-    return _both_sides(pairs, _needed_sets(docs, pairs, k, True)).mapInArrow(keep, "a long, b long")
-
-
-def _verified(docs: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame:
+def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs of set ids whose whole sets are similar enough."""
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -372,7 +381,7 @@ def _verified(docs: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFr
                 ok[i] = 100 * common >= percent * (len(x) + len(y) - common)
             yield pa.RecordBatch.from_arrays([c.filter(pa.array(ok)) for c in batch.columns[:2]], ["a", "b"])
 
-    return _both_sides(pairs, _needed_sets(docs, pairs, k, False)).mapInArrow(keep, "a long, b long")
+    return _both_sides(pairs, sets).mapInArrow(keep, "a long, b long")
 
 
 def similar_sets(docs: DataFrame, k: int, percent: int, full: bool = False) -> tuple[DataFrame, DataFrame]:
@@ -402,27 +411,40 @@ def similar_sets(docs: DataFrame, k: int, percent: int, full: bool = False) -> t
     index = texts(docs).mapInArrow(send, "grp int, entries binary")
     found = materialise(index.groupBy("grp").applyInArrow(_first_pairs(percent), "a long, b long, entries binary"), "first_pairs")
     first = found.where("entries is null").select("a", "b").distinct()
-    links = materialise(_verified(docs, first, k, percent), "links")
-
-    if full:
-        rest = found.where("entries is not null").select("entries").repartition(groups, F.xxhash64("entries")).mapInArrow(_all_pairs(percent), "a long, b long")
-        rest = materialise(rest.distinct().join(first, ["a", "b"], "left_anti"), "later_pairs")
-        more = _verified(docs, materialise(_sieved(docs, rest, k, percent), "sieved_pairs"), k, percent)
-        return own, materialise(links.union(more), "all_links")
 
     def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A list's entries; a longer list than was counted on as pairs of blocks."""
         for batch in batches:
             for x in batch.column(0).to_pylist():
                 e = np.frombuffer(x, ENTRY)
-                yield pa.RecordBatch.from_arrays([pa.array(e["token"].astype(np.uint64).view(np.int64)), pa.array(e["set"].astype(np.int64)), pa.array([r.tobytes() for r in e], pa.binary())], ["token", "set", "entry"])
-
-    open_lists = found.where("entries is not null").select("entries").mapInArrow(unpack, "token long, set long, entry binary")
-    labels = connected_components(links, "a", "b").select(F.col("node").alias("set"), "component")
-    labelled = open_lists.join(labels, "set", "left").select("token", F.coalesce("component", "set").alias("comp"), "entry")
-    rest = labelled.groupBy(F.pmod(F.xxhash64("token"), F.lit(groups)).alias("grp")).applyInArrow(_later_pairs(percent), "a long, b long")
-    rest = materialise(rest.distinct(), "later_pairs")
-    more = _verified(docs, materialise(_sieved(docs, rest, k, percent), "sieved_pairs"), k, percent)
-    return own, materialise(links.union(more), "all_links")
+                if len(e) > 3 * HOT_BLOCK:  # a pair of blocks has twice HOT_BLOCK
+                    e = _blocked(e, e["token"][:1], np.array([len(e)]))
+                for part in (e[i : i + 50_000] for i in range(0, len(e), 50_000)):
+                    yield pa.RecordBatch.from_arrays([pa.array(part["token"].astype(np.uint64).view(np.int64)), pa.array(part["set"].astype(np.int64)), pa.array([r.tobytes() for r in part], pa.binary())], ["token", "set", "entry"])
+
+    lists = materialise(found.where("entries is not null").select("entries").mapInArrow(unpack, "token long, set long, entry binary"), "open_lists")
+    asked = first.select(F.explode(F.array("a", "b")).alias("s")).union(lists.select("set")).distinct()
+    sets = _sets_of(docs, materialise(asked, "asked"), k)
+    links = materialise(_verified(first, sets, percent), "links")
+    tried, quota = first, None if full else FIRST_ASKED
+    while True:
+        if full:
+            open_now = lists.withColumn("comp", F.col("set"))
+        else:
+            # a list without a second component has no more to tell
+            labels = connected_components(links, "a", "b").select(F.col("node").alias("set"), "component")
+            labelled = lists.join(labels.hint("merge"), "set", "left").withColumn("comp", F.coalesce("component", "set")).drop("component")
+            several = labelled.groupBy("token").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("token")
+            open_now = labelled.join(several.hint("merge"), "token", "left_semi")
+        by_set = open_now.groupBy(F.pmod(F.xxhash64("token"), F.lit(groups)).alias("grp"), "set").agg(F.first("comp").alias("comp"), F.collect_list("entry").alias("entries"))
+        given = by_set.join(sets.select(F.col("s").alias("set"), "wide").hint("merge"), "set")
+        asked = materialise(given.groupBy("grp").applyInArrow(_open_pairs(percent, quota), "a long, b long"), "open_pairs")
+        fresh = materialise(asked.where("a is not null").distinct().join(tried.hint("merge"), ["a", "b"], "left_anti"), "fresh_pairs")
+        if fresh.limit(1).count():
+            links = materialise(links.union(_verified(fresh, sets, percent)), "links")
+        if quota is None or not asked.where("a is null").limit(1).count():
+            return own, links
+        tried, quota = materialise(tried.union(fresh), "tried_pairs"), quota * 8
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, count_links: bool = True) -> DataFrame:

@@ -303,8 +303,8 @@ def _wide_signature(own: np.ndarray) -> bytes:
     return np.packbits((np.bincount((own >> np.uint64(11)).astype(np.int64) & (bits - 1), minlength=bits) & 1).astype(np.uint8)).tobytes()
 
 
-def _sets_of(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
-    """``s, n``, the whole set (``tokens``) and its wide signature (``wide``) of the set ids ``s`` in ``ids``.
+def _sets_of(docs: DataFrame, ids: DataFrame, k: int, wide: bool = False) -> DataFrame:
+    """``s, n`` and the whole set (``tokens``), or its wide signature, of the set ids ``s`` in ``ids``.
 
     Sets are made again from the texts, in one pass; a Bloom filter of bounded size
     keeps back nearly all that aren't asked for, and a join the rest.
@@ -336,11 +336,12 @@ def _sets_of(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
             seen = [(bloom[(place >> np.uint64(6)).astype(np.int64)] >> (place & np.uint64(63))) & np.uint64(1) == 1 for place in places(ids[rows])]
             rows = rows[seen[0] & seen[1]]
             own = [tokens[at[r] : at[r + 1]] for r in rows]
-            yield pa.RecordBatch.from_arrays([pa.array(ids[rows].view(np.int64)), pa.array(n[rows].astype(np.int64)), pa.array([x.tobytes() for x in own], pa.binary()), pa.array(list(map(_wide_signature, own)), pa.binary())], ["s", "n", "tokens", "wide"])
+            value = [_wide_signature(x) if wide else x.tobytes() for x in own]
+            yield pa.RecordBatch.from_arrays([pa.array(ids[rows].view(np.int64)), pa.array(n[rows].astype(np.int64)), pa.array(value, pa.binary())], ["s", "n", "tokens"])
 
-    sets = texts(docs).mapInArrow(scan, "s long, n long, tokens binary, wide binary")
+    sets = texts(docs).mapInArrow(scan, "s long, n long, tokens binary")
     asked = sets.join(ids.hint("merge"), "s", "left_semi")
-    return materialise(asked.groupBy("s").agg(F.first("n").alias("n"), F.first("tokens").alias("tokens"), F.first("wide").alias("wide")), "asked_sets")
+    return materialise(asked.groupBy("s").agg(F.first("n").alias("n"), F.first("tokens").alias("tokens")), "asked_sets")
 
 
 def _both_sides(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -368,8 +369,9 @@ def _both_sides(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return none.union(one).union(both)
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _verified(docs: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame:
     """The pairs of set ids whose whole sets are similar enough."""
+    sets = _sets_of(docs, pairs.select(F.explode(F.array("a", "b")).alias("s")).distinct(), k)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -423,10 +425,8 @@ def similar_sets(docs: DataFrame, k: int, percent: int, full: bool = False) -> t
                     yield pa.RecordBatch.from_arrays([pa.array(part["token"].astype(np.uint64).view(np.int64)), pa.array(part["set"].astype(np.int64)), pa.array([r.tobytes() for r in part], pa.binary())], ["token", "set", "entry"])
 
     lists = materialise(found.where("entries is not null").select("entries").mapInArrow(unpack, "token long, set long, entry binary"), "open_lists")
-    asked = first.select(F.explode(F.array("a", "b")).alias("s")).union(lists.select("set")).distinct()
-    sets = _sets_of(docs, materialise(asked, "asked"), k)
-    links = materialise(_verified(first, sets, percent), "links")
-    tried, quota = first, None if full else FIRST_ASKED
+    links = materialise(_verified(docs, first, k, percent), "links")
+    tried, quota, wide = first, None if full else FIRST_ASKED, None
     while True:
         if full:
             open_now = lists.withColumn("comp", F.col("set"))
@@ -436,12 +436,14 @@ def similar_sets(docs: DataFrame, k: int, percent: int, full: bool = False) -> t
             labelled = lists.join(labels.hint("merge"), "set", "left").withColumn("comp", F.coalesce("component", "set")).drop("component")
             several = labelled.groupBy("token").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("token")
             open_now = labelled.join(several.hint("merge"), "token", "left_semi")
+        if wide is None:  # lists only shrink
+            wide = _sets_of(docs, materialise(open_now.select(F.col("set").alias("s")).distinct(), "open_sets"), k, True)
         by_set = open_now.groupBy(F.pmod(F.xxhash64("token"), F.lit(groups)).alias("grp"), "set").agg(F.first("comp").alias("comp"), F.collect_list("entry").alias("entries"))
-        given = by_set.join(sets.select(F.col("s").alias("set"), "wide").hint("merge"), "set")
+        given = by_set.join(wide.select(F.col("s").alias("set"), F.col("tokens").alias("wide")).hint("merge"), "set")
         asked = materialise(given.groupBy("grp").applyInArrow(_open_pairs(percent, quota), "a long, b long"), "open_pairs")
         fresh = materialise(asked.where("a is not null").distinct().join(tried.hint("merge"), ["a", "b"], "left_anti"), "fresh_pairs")
         if fresh.limit(1).count():
-            links = materialise(links.union(_verified(fresh, sets, percent)), "links")
+            links = materialise(links.union(_verified(docs, fresh, k, percent)), "links")
         if quota is None or not asked.where("a is null").limit(1).count():
             return own, links
         tried, quota = materialise(tried.union(fresh), "tried_pairs"), quota * 8

@@ -14,6 +14,18 @@ def texts(docs: DataFrame, *more: str) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), *more)
 
 
+def unused(docs: DataFrame, *names: str) -> list[str]:
+    """The names, lengthened where ``docs`` has such a column, in any case."""
+    own = {c.lower() for c in docs.columns}
+    out = []
+    for name in names:
+        while name.lower() in own:
+            name += "_"
+        own.add(name.lower())
+        out.append(name)
+    return out
+
+
 def fold(modulus: int, doc_id: str = "doc_id") -> Column:
     """crc32 of the id as text, modulo ``modulus``; null for a null id."""
     return F.crc32(F.col(doc_id).cast("string")) % modulus

@@ -1,8 +1,10 @@
 """Secrets in text: fixed patterns, and Markov models for strings that no pattern names.
 
 Two character models of order one, one of random strings and one of ordinary
-identifiers, give every candidate token a log-likelihood ratio per character; a
-token whose ratio passes the threshold is reported as kind ``markov``.
+identifiers, give every token of 16 or more characters a log-likelihood ratio per
+character; a token whose ratio passes the threshold is reported as kind ``markov``.
+Both models are trained on labelled samples, and samples that they weren't trained
+on set the threshold.
 """
 
 from __future__ import annotations
@@ -17,6 +19,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from geoloom.llm.corpus import table, texts
 from geoloom.llm.text import slices
+from geoloom.sources.shared import materialise
 
 # fixed values: the base patterns, in the order of kinds
 KINDS = ("assign", "access", "hex")
@@ -27,6 +30,7 @@ HEX = r"[0-9a-f]+"
 _ASSIGN = re.compile(ASSIGN, re.IGNORECASE | re.ASCII)
 _ACCESS = re.compile(ACCESS)
 _HEX = re.compile(r"[0-9a-f]{32,}")  # as greedy runs of HEX that are long enough
+TOKEN = 16  # characters of a token that the models are asked about
 _TOKEN = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
 _WORD = re.compile(r"[A-Za-z0-9+/_=-]{4,}")
 
@@ -47,37 +51,41 @@ class MarkovPair:
     """Log transition probabilities over byte values of random and of ordinary strings."""
 
     ratio: np.ndarray  # (256, 256): log P(random) - log P(ordinary); row 0 stands for the start
-    threshold: float = 0.35
+    threshold: float
 
-    def score(self, token: str) -> float:
-        b = np.frombuffer(token.encode(), np.uint8)
-        return float(self.ratio[np.r_[np.uint8(0), b[:-1]], b].mean()) if len(b) else 0.0
+    def scores(self, tokens: list[str]) -> np.ndarray:
+        """Mean log-likelihood ratio of each (non-empty) token."""
+        flat, at = joined(tokens)
+        return np.add.reduceat(self.ratio[flat[:-1], flat[1:]] * (flat[1:] != 0), at).astype(float) / np.diff(np.r_[at, len(flat) - 1] - np.arange(len(at) + 1)) if len(tokens) else np.zeros(0)
+
+
+def joined(tokens: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes of the tokens with a zero before and after each, and the place of each one's leading zero."""
+    flat = np.frombuffer(("\0" + "\0".join(tokens) + "\0").encode("ascii", "replace"), np.uint8)
+    return flat, np.flatnonzero(flat == 0)[:-1]
 
 
 def pair_counts(samples: DataFrame) -> DataFrame:
-    """``label, counts``: transition counts of the labelled strings, summed over partitions.
+    """``label, pair, n``: how often a pair of neighbouring characters (256 * first + second) stands in the labelled strings.
 
-    ``samples`` has ``value string, label int`` (1: random). Two rows come back, or
-    fewer where a label has no sample; null and empty values count nothing.
+    ``samples`` has ``value string, label int`` (1: random). Each partition sends
+    its sums, 65,536 rows a label at most. Null and empty values count nothing.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((2, 65536), np.int64)
         for batch in batches:
-            for value, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                if value and label in (0, 1):
-                    b = np.frombuffer(b"\0" + value.encode(), np.uint8).astype(np.int64)
-                    total[label] += np.bincount(b[:-1] * 256 + b[1:], minlength=65536) if len(b) > 4096 else 0
-                    if len(b) <= 4096:
-                        np.add.at(total[label], b[:-1] * 256 + b[1:], 1)
-        yield pa.RecordBatch.from_pydict({"label": pa.array([0, 1], pa.int32()), "counts": pa.array([x.tobytes() for x in total], pa.binary())})
+            labels = np.array(batch.column(1).to_pylist(), object)
+            for label in (0, 1):
+                some = [v for v in batch.column(0).filter(pa.array(labels == label)).to_pylist() if v]
+                if some:
+                    flat = joined(some)[0].astype(np.int64)
+                    total[label] += np.bincount(flat[:-1] * 256 + flat[1:], minlength=65536)
+        total[:, ::256] = 0  # the end of a string tells nothing
+        label, pair = np.nonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(label.astype(np.int32)), pa.array(pair.astype(np.int32)), pa.array(total[label, pair])], ["label", "pair", "n"])
 
-    def add(key, t):
-        total = sum(np.frombuffer(x.as_py(), np.int64) for x in t.column("counts"))
-        return pa.table({"label": pa.array([key[0].as_py()], pa.int32()), "counts": pa.array([total.tobytes()], pa.binary())})
-
-    schema = "label int, counts binary"
-    return samples.select("value", "label").mapInArrow(count, schema).groupBy("label").applyInArrow(add, schema)
+    return samples.select("value", "label").mapInArrow(count, "label int, pair int, n long").groupBy("label", "pair").agg(F.sum("n").alias("n"))
 
 
 #: Characters of random strings in general; samples of them complete what the corpus shows.
@@ -86,34 +94,69 @@ ALPHABETS = (
     "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789",
     "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789",
     "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/",
+    "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz",
 )
 
 
-def train(samples: DataFrame, threshold: float = 0.35) -> MarkovPair:
-    """Fit both models with add-half smoothing on labelled strings.
+def train(samples: DataFrame, held_out: DataFrame | None = None, false_share: float = 0.0005) -> MarkovPair:
+    """Fit both models with add-half smoothing on labelled strings, and the threshold on others.
 
-    Without samples of a label its model is uniform over printable characters.
+    The threshold is the least at which no more than ``false_share`` of the ordinary
+    strings of ``held_out`` (``value, label``, collected: pass a bounded sample; only
+    strings of TOKEN characters and more count) would be reported, or where their mean
+    and that of the random ones meet half-way, if that is higher. Without samples of
+    a label its model is uniform over printable characters.
     """
-    counts = np.zeros((2, 256, 256))
-    for row in pair_counts(samples).collect():  # two rows of 0.5 MB
-        counts[row["label"]] += np.frombuffer(row["counts"], np.int64).reshape(256, 256)
+    counts = np.zeros((2, 256 * 256))
+    got = pair_counts(samples).toPandas()  # 2 * 65,536 rows at most
+    counts[got["label"].to_numpy(int), got["pair"].to_numpy(int)] = got["n"].to_numpy(float)
+    counts = counts.reshape(2, 256, 256)
     letters = np.zeros(256)
     letters[33:127] = 0.5
     logs = np.log((counts + letters) / (counts + letters).sum(2, keepdims=True).clip(1e-9) + 1e-12)
-    return MarkovPair((logs[1] - logs[0]).clip(-8, 8).astype(np.float32), threshold)
+    ratio = (logs[1] - logs[0]).clip(-8, 8).astype(np.float32)
+    model = MarkovPair(ratio, 0.35)
+    rows = [] if held_out is None else [r for r in held_out.collect() if r["value"] and len(r["value"]) >= TOKEN]
+    ordinary, random = (model.scores(sorted(r["value"] for r in rows if r["label"] == label)) for label in (0, 1))
+    if len(ordinary) and len(random):
+        model = MarkovPair(ratio, float(max(np.quantile(ordinary, 1 - false_share), (ordinary.mean() + random.mean()) / 2)))
+    return model
+
+
+def drawn_samples(words: list[str], n: int, seed: int) -> list[tuple[str, int]]:
+    """``n`` random strings (label 1) and as many identifiers that are built from words, counters, dates, rules of one sign and ids of digits (label 0)."""
+    rng = np.random.default_rng(seed)
+    words = words or ["name", "value", "index", "section", "introduction", "result"]
+    random = ["".join(rng.choice(list(ALPHABETS[i % len(ALPHABETS)]), int(rng.integers(TOKEN, 65)))) for i in range(n)]
+
+    def digits(least: int, most: int) -> str:
+        """A counter: few digits that tell, after zeros."""
+        size = int(rng.integers(least, most + 1))
+        return str(rng.integers(0, 10 ** min(size, int(rng.integers(1, 8))))).zfill(size)
+
+    def word() -> str:
+        return words[int(rng.integers(len(words)))]
 
+    def one(kind: int) -> str:
+        sep = "_-/="[int(rng.integers(4))]
+        day = f"{rng.integers(1970, 2040)}{sep}{rng.integers(1, 13):02d}{sep}{rng.integers(1, 29):02d}"
+        return (
+            sep.join(word() for _ in range(int(rng.integers(2, 6)))), f"{word()}{sep}{word()}{sep}{digits(1, 12)}", f"{word()}{digits(1, 4)}{sep}{word()}{digits(1, 4)}",
+            f"{word()}{sep}{day}{sep}{digits(2, 6)}", "".join(word().capitalize() for _ in range(int(rng.integers(2, 6)))), f"{word().upper()}{sep}{word().upper()}{sep}{digits(1, 6)}",
+            digits(TOKEN, 24) if rng.random() < 0.7 else "-=_/+"[int(rng.integers(5))] * int(rng.integers(TOKEN, 80)), "-".join(str(rng.integers(0, 10**min(x, 18))).zfill(x) for x in (8, 4, 4, 4, 12)),
+        )[kind]
 
-def corpus_samples(docs: DataFrame, most: int = 20_000, seed: int = 7) -> DataFrame:
-    """Labelled strings for :func:`train`.
+    return [(x, 1) for x in random] + [(one(i % 8), 0) for i in range(n)]
 
-    Random ones (label 1) are drawn uniformly over :data:`ALPHABETS`, ``most // 10``
-    strings of 16 to 64 characters; ordinary ones (label 0) are the corpus's own
-    identifiers of four and more characters outside base matches, from at most
-    about ``most`` documents, picked by a hash of the id.
+
+def corpus_samples(docs: DataFrame, most: int = 20_000) -> DataFrame:
+    """The corpus's own identifiers for :func:`train`.
+
+    ``value, label`` (0), once for each value, of the tokens of four and more characters outside base
+    matches in about ``most`` documents, picked by a hash of the id; tokens of
+    TOKEN and more characters that hold a digit are left out, since secrets are among
+    them; :func:`drawn_samples` stands for such.
     """
-    spark = docs.sparkSession
-    rng = np.random.default_rng(seed)
-    random = ["".join(rng.choice(list(ALPHABETS[i % len(ALPHABETS)]), int(rng.integers(16, 65)))) for i in range(max(1, most // 10))]
     every = max(1, -(-docs.count() // most))
     some = texts(docs).where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(every)) == 0)
 
@@ -121,11 +164,27 @@ def corpus_samples(docs: DataFrame, most: int = 20_000, seed: int = 7) -> DataFr
         for batch in slices(batches):
             out = []
             for text in batch.column(0).to_pylist():
-                spans = base_spans(text)
-                out += [m[0] for m in _WORD.finditer(text) if not any(s < m.end() and m.start() < e for s, _, e in spans) and not any(c.isdigit() for c in m[0])]
+                spans, last = base_spans(text), 0
+                for start, _, end in [*spans, (len(text), 0, len(text))]:
+                    out += [w for w in _WORD.findall(text[last:start]) if len(w) < TOKEN or not any(map(str.isdigit, w))]
+                    last = max(last, end)
+            out = sorted(set(out))
             yield pa.RecordBatch.from_pydict({"value": pa.array(out, pa.string()), "label": pa.array([0] * len(out), pa.int32())})
 
-    return some.select("text").mapInArrow(ordinary, "value string, label int").union(spark.createDataFrame([(x, 1) for x in random], "value string, label int"))
+    return some.select("text").mapInArrow(ordinary, "value string, label int").distinct()
+
+
+def fit(docs: DataFrame, most: int = 20_000, drawn: int = 4_000, held_out: int = 8_000) -> MarkovPair:
+    """Both models from the corpus's identifiers and drawn strings; the threshold from ``held_out`` long strings of either kind."""
+    spark = docs.sparkSession
+    found = materialise(corpus_samples(docs, most), "identifiers")
+    plain = found.where(F.length("value").between(4, 12) & F.col("value").rlike("^[A-Za-z]+$")).select(F.lower("value").alias("w")).distinct()
+    words = sorted(r["w"] for r in plain.orderBy(F.xxhash64("w"), "w").limit(500).collect())
+    last = F.pmod(F.xxhash64("value", F.lit(1)), F.lit(5)) == 0  # never trained on
+    made = lambda n, seed: spark.createDataFrame(drawn_samples(words, n, seed), "value string, label int")
+    learned = found.where(~last).select("value", "label").union(made(drawn, 7))
+    check = found.where(last & (F.length("value") >= TOKEN)).orderBy(F.xxhash64("value"), "value").limit(held_out).select("value", "label").union(made(held_out // 4, 8))
+    return train(learned, check)
 
 
 def find_secrets(docs: DataFrame, model: MarkovPair) -> DataFrame:
@@ -133,20 +192,25 @@ def find_secrets(docs: DataFrame, model: MarkovPair) -> DataFrame:
 
     Returns ``doc_id`` and ``found``, an array of (start, kind, end) in code
     points, sorted by start, then kind. Kinds 0 to 2 are the base patterns; kind
-    3 is a token of 16 or more characters with both a letter and a digit that overlaps no base
-    match and whose ratio passes the model's threshold. Null and empty texts give
-    an empty array; rows that repeat are each reported.
+    3 is a token of TOKEN or more characters that overlaps no base match and whose
+    ratio passes the model's threshold. Null and empty texts give an empty array;
+    rows that repeat are each reported, with equal results; a long text is read
+    whole. An empty table gives no rows.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # 0.3 MB
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for batch in slices(batches):
-            out = []
-            for text in batch.column(1).to_pylist():
-                spans = base_spans(text)
-                more = [(m.start(), 3, m.end()) for m in _TOKEN.finditer(text) if any(c.isdigit() for c in m[0]) and any(c.isalpha() for c in m[0]) and not any(s < m.end() and m.start() < e for s, _, e in spans) and model.score(m[0]) >= model.threshold]
-                out.append([{"start": s, "kind": k, "end": e} for s, k, e in sorted(spans + more)])
+            spans, tokens = [], []  # tokens: (row, start, end)
+            for row, text in enumerate(batch.column(1).to_pylist()):
+                own = base_spans(text)
+                spans.append(own)
+                tokens += [(row, m.start(), m.end(), m[0]) for m in _TOKEN.finditer(text) if not any(s < m.end() and m.start() < e for s, _, e in own)]
+            for (row, start, end, _), score in zip(tokens, model.scores([t[3] for t in tokens])):
+                if score >= model.threshold:
+                    spans[row].append((start, 3, end))
+            out = [[{"start": s, "kind": k, "end": e} for s, k, e in sorted(own)] for own in spans]
             kind = pa.list_(pa.struct([("start", pa.int64()), ("kind", pa.int32()), ("end", pa.int64())]))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, kind)], ["doc_id", "found"])
 
@@ -155,7 +219,7 @@ def find_secrets(docs: DataFrame, model: MarkovPair) -> DataFrame:
 
 def op1_secrets(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    found = find_secrets(docs, train(corpus_samples(docs)))
+    found = find_secrets(docs, fit(docs))
     name = lambda x: F.concat_ws(":", F.element_at(F.array(*map(F.lit, (*KINDS, "markov"))), x["kind"] + 1), x["start"], x["end"])
     base = F.filter("found", lambda x: x["kind"] < 3)
     n = lambda k: F.size(F.filter("found", lambda x: x["kind"] == k)).cast("long")

@@ -23,7 +23,7 @@ from geoloom.sources.shared import materialise
 MARGINS = ("source", "lang", "topic")
 FEW_CELLS = 50_000  # up to so many, cells are raked in one partition and broadcast; beyond, both are shuffled
 TOLERANCE = 1e-12  # largest relative miss of a margin at which raking ends
-ROUNDS = 8  # raked between two looks at the margins
+ROUNDS = 4  # raked between two looks at the margins
 SIGNS = "#&*%$|!"
 
 
@@ -42,7 +42,7 @@ def n_tokens(text: Column) -> Column:
 def smoothed_shares(cells: DataFrame, margin: str, power: float) -> DataFrame:
     """Target shares of a margin: its token shares to a power, normalised. Power 0 makes them equal."""
     by = cells.groupBy(margin).agg(F.pow(F.sum("tokens").cast("double"), F.lit(power)).alias("s"))
-    return by.crossJoin(F.broadcast(by.agg(F.sum("s").alias("all")))).select(margin, (F.col("s") / F.col("all")).alias("share"))
+    return by.select(margin, (F.col("s") / F.lit(by.agg(F.sum("s")).first()[0] or 1.0)).alias("share"))
 
 
 def rake(cells: DataFrame, targets: dict[str, DataFrame], tolerance: float = TOLERANCE, most_rounds: int = 400) -> DataFrame:
@@ -55,26 +55,25 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], tolerance: float = TOL
     end at ``most_rounds``, and :func:`reached_shares` shows the rest. An empty table
     stays empty.
     """
-    total = cells.agg(F.sum("tokens").cast("double").alias("total"))
-    out = cells.crossJoin(F.broadcast(total)).withColumn("weight", F.col("tokens").cast("double"))
-    for margin, target in targets.items():  # a margin's values number far fewer than the cells
+    n, total = cells.agg(F.count("*"), F.coalesce(F.sum("tokens").cast("double"), F.lit(0.0))).first()
+    few = n <= FEW_CELLS
+    out = cells.withColumn("weight", F.col("tokens").cast("double"))
+    for margin, target in targets.items():
         known = target.join(cells.select(margin).distinct(), margin)
-        known = known.crossJoin(F.broadcast(known.agg(F.sum("share").alias("all")))).select(margin, (F.col("share") / F.col("all")).alias(f"share_{margin}"))
-        out = out.join(known, margin, "left").fillna(0.0, [f"share_{margin}"])
-    out = materialise(out, "cells")
-    few = out.count() <= FEW_CELLS
+        share = (F.col("share") / F.lit(known.agg(F.sum("share")).first()[0] or 1.0)).alias(f"share_{margin}")
+        out = out.join(known.select(margin, share), margin, "left").fillna(0.0, [f"share_{margin}"])
 
     def sums(margin: str) -> Column:
         return F.sum("weight").over(Window.partitionBy(margin))
 
-    missed = [F.abs(sums(m) / F.col("total") - F.col(f"share_{m}")) / F.col(f"share_{m}") for m in targets]
+    missed = [F.abs(sums(m) / F.lit(total) - F.col(f"share_{m}")) / F.col(f"share_{m}") for m in targets]
     targeted = reduce(lambda a, b: a & b, [F.col(f"share_{m}") > 0 for m in targets])
     for _ in range(0, most_rounds, ROUNDS):
         out = out.drop("missed")
         out = out.coalesce(1) if few else out  # one partition needs no shuffle for a window
         for _ in range(ROUNDS):
             for margin in targets:
-                out = out.withColumn("weight", F.when(sums(margin) > 0, F.col("weight") * F.col(f"share_{margin}") * F.col("total") / sums(margin)).otherwise(F.lit(0.0)))
+                out = out.withColumn("weight", F.coalesce(F.col("weight") * F.col(f"share_{margin}") * F.lit(total) / F.nullif(sums(margin), F.lit(0.0)), F.lit(0.0)))
         out = materialise(out.withColumn("missed", F.when(targeted, F.greatest(*missed, F.lit(0.0)))), "raked")
         miss = out.agg(F.max("missed")).first()[0]
         if miss is None or miss <= tolerance:
@@ -129,12 +128,13 @@ def sample_to_targets(docs: DataFrame, powers: dict[str, float] | None = None, r
     cells = materialise(mix_cells(docs), "mix_cells")
     raked = rake(cells, {m: smoothed_shares(cells, m, p) for m, p in powers.items()})
     rate = feasible_rate(raked) if rate is None else rate
+    few = raked.count() <= FEW_CELLS
     if "topic" not in docs.columns:
         docs = docs.withColumn("topic", form_topic(F.col("text")))
     docs = docs.withColumn("n_tokens", n_tokens(F.col("text")))
     inner = dict(zip(MARGINS, unused(docs, *(f"_{m}" for m in MARGINS))))
     cell = raked.select(*(F.col(m).alias(c) for m, c in inner.items()), F.round(F.least(F.lit(1.0), F.lit(rate) * F.col("weight") / F.col("tokens")), 9).alias("probability"))
-    cell = F.broadcast(cell) if cell.count() <= FEW_CELLS else cell
+    cell = F.broadcast(cell) if few else cell.hint("merge")
     both = docs.join(cell, [F.coalesce(F.col(m).cast("string"), F.lit("(none)")) == F.col(c) for m, c in inner.items()])
     return both.where((F.col("n_tokens") > 0) & (uniform(F.col("doc_id"), F.col("text"), seed) < F.col("probability"))).drop(*inner.values())
 

@@ -41,7 +41,7 @@ WINDOW, STRIDE = 96, 72  # characters of a window that is scored
 SHORT, STEP = 32, 20  # of a window that is trained on
 BASE, HARD = 30_000, 80_000  # bytes of ordinary content: of any windows, and of those that looked toxic
 ROUNDS = 3
-POOL = 15_000  # ordinary windows that a round measures
+POOL = 30_000  # ordinary windows that a round measures
 SAVINGS = (2, 3, 4, 5, 6, 8)  # bytes; a document's evidence is how many of its windows save as much
 _CONTROL = {i: " " for i in range(32)}
 _WORDS = re.compile(r"[^\W\d_]+")
@@ -192,7 +192,7 @@ def _fit_size(halves: list[list[str]], pool: list[bytes], check: list[str], base
     return _loss(weights, x, y, share), CompressionModel(final, ordinary, weights)
 
 
-def train(sample: list[tuple[str, int]], share: float | None = None, sizes: tuple[int, ...] = (8_000, 3_000), seed: int = 3) -> CompressionModel:
+def train(sample: list[tuple[str, int]], share: float | None = None, sizes: tuple[int, ...] = (8_000,), seed: int = 3) -> CompressionModel:
     """Fit on labelled texts, of which a bounded number is given; of the toxic dictionary's ``sizes`` the one that calibrates best stays.
 
     ``share`` is class 1's share of all labels, where the sample doesn't show it.
@@ -207,11 +207,16 @@ def train(sample: list[tuple[str, int]], share: float | None = None, sizes: tupl
     if len(toxic) < 2 or len(ordinary) < 2:
         return CompressionModel(b"", b"", np.array([9.0 if len(toxic) > len(ordinary) else -9.0]))
     learned = ordinary[len(ordinary) // 3 :]
-    base_windows = [w for t in learned for w in windows(t, WINDOW, WINDOW)]
-    pool = [w for t in learned for w in windows(t, SHORT, STEP)]
-    rng.shuffle(base_windows)
-    rng.shuffle(pool)
-    base = _content(base_windows[:60_000], BASE, 32)
+
+    def some_windows(size: int, step: int, most: int) -> list[bytes]:
+        """Windows of all the ordinary texts, about ``most`` by chance, in random order."""
+        share = most / max(1, sum(max(1, len(t) // step) for t in learned))
+        out = [w for t in learned for w in windows(t, size, step) if share >= 1 or rng.random() < share]
+        rng.shuffle(out)
+        return out
+
+    base = _content(some_windows(WINDOW, WINDOW, 60_000), BASE, 32)
+    pool = some_windows(SHORT, STEP, 10 * POOL)
     fits = [_fit_size([toxic[::2], toxic[1::2]], pool, ordinary[: len(ordinary) // 3], base, size, share or len(toxic) / len(sample)) for size in sizes]
     return min(fits, key=lambda f: f[0])[1]
 
@@ -250,7 +255,7 @@ def without_toxic(docs: DataFrame, model: CompressionModel, threshold: float = 0
     return docs.mapInArrow(keep, docs.schema)
 
 
-def fit(docs: DataFrame, labels: DataFrame, most: int = 500, ordinary: int = 5, most_bytes: int = 48 << 20) -> CompressionModel:
+def fit(docs: DataFrame, labels: DataFrame, most: int = 800, ordinary: int = 3, most_bytes: int = 32 << 20) -> CompressionModel:
     """Train outside the held-out fold (crc32 of the id mod 4 is 2).
 
     The sample is at most ``most`` toxic documents and ``ordinary`` times as many

@@ -29,7 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from geoloom.llm.corpus import table, texts
+from geoloom.llm.corpus import table, texts, unused
 from geoloom.llm.text import mix, shingle_sets, slices, utf8
 from geoloom.operators.components import connected_components
 from geoloom.sources.shared import materialise
@@ -480,7 +480,8 @@ def one_of_each(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
 
     The one of the smallest ``doc_id`` stays (null ids last, then by a hash of the
     text). Texts without words are no duplicates of each other and all stay.
-    Rows of equal id and text count as one row, and one stays.
+    Rows of equal id and text count as one row, and one stays. Long texts are read
+    whole, other columns stay whatever their names, an empty table gives no rows.
     """
     own, links = similar_sets(docs, k, percent)
     labels = connected_components(links, "a", "b").select(F.col("node").alias("set_id"), "component")
@@ -488,10 +489,11 @@ def one_of_each(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     best = own.where("set_id <> 0").groupBy("set_id").agg(F.min(place).alias("best"))
     best = best.join(labels, "set_id", "left").groupBy(F.coalesce("component", "set_id").alias("class")).agg(F.min("best").alias("best"))
     stay = best.select("best.id", "best.key").union(own.where("set_id = 0").select("doc_id", "row_key")).distinct()
-    stay = materialise(stay.select(F.col("id").alias("_id"), F.col("key").alias("_key")), "stay")
-    left = docs.withColumn("_own", F.col("doc_id").cast("long")).withColumn("_text", F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))))
-    on = F.col("_own").eqNullSafe(F.col("_id")) & (F.col("_text") == F.col("_key"))
-    return left.join(stay.hint("shuffle_hash"), on, "left_semi").dropDuplicates(["_own", "_text"]).drop("_own", "_text")
+    doc, text, id_, key = unused(docs, "_own", "_text", "_id", "_key")
+    stay = materialise(stay.select(F.col("id").alias(id_), F.col("key").alias(key)), "stay")
+    left = docs.withColumn(doc, F.col("doc_id").cast("long")).withColumn(text, F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))))
+    on = F.col(doc).eqNullSafe(F.col(id_)) & (F.col(text) == F.col(key))
+    return left.join(stay.hint("shuffle_hash"), on, "left_semi").dropDuplicates([doc, text]).drop(doc, text)
 
 
 def op5_jaccard_join(spark, sf_dir: str) -> DataFrame:

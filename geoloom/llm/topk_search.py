@@ -1,20 +1,24 @@
 """Exact top-k by inner product: a KD-tree in every shard.
 
 A shard's vectors are split at medians of their widest dimension until leaves are
-small; every node keeps its tight bounding box. For a query, a box bounds all
-inner products in it from above. Nodes are taken best first, and a node whose
-bound is below the query's k-th score so far is left with all below it. The k-th
-score is propagated: queries carry the one that their first shard gave them into
-all other shards.
-
-Scores are integers; products are exact in double precision while they stay
-below 2**53, and int64 is used where they may not.
+small; every node keeps its tight bounding box. A shard's tree is built once and
+kept as a table. For a query, a box bounds all inner products in it from above.
+Nodes are taken best first, and a node whose bound is below the query's k-th score
+so far is left with all below it. The k-th score is propagated: queries visit the
+shards in turns, first one, then FOLLOW times as many in each later turn, and carry
+the k-th score of all shards so far into the next turn.
+
+Scores are integers of 64 bits. Where sizes show that a product's partial sums stay
+below 2**52, they are worked out in double precision, else in integers; bounds are
+widened by what double precision may lose.
 """
 
 from __future__ import annotations
 
 import heapq
+import io
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -26,76 +30,98 @@ from geoloom.sources.shared import materialise
 LEAF = 128
 SHARD = 8_192  # vectors of one tree
 BLOCK = 1_024  # queries that meet a shard at once
+FOLLOW = 4  # how many times as many shards each turn visits
 
 
+@dataclass
 class KDTree:
-    """Median splits with tight bounding boxes over integer vectors."""
-
-    def __init__(self, ids: np.ndarray, x: np.ndarray):
-        order = np.argsort(ids, kind="stable")
-        self.ids, self.x = ids[order], x[order]
-        self.places = np.arange(len(ids))
-        self.low, self.high, self.children, self.span = [], [], [], []
-        self._split(0, len(ids))
-        self.low, self.high = np.array(self.low), np.array(self.high)
-        self.exact = np.float64 if len(x) == 0 or np.abs(x).max() ** 2 * max(1, x.shape[1]) < 2.0**52 else np.int64
-
-    def _split(self, i: int, j: int) -> int:
-        node = len(self.span)
-        own = self.x[self.places[i:j]]
-        self.low.append(own.min(0))
-        self.high.append(own.max(0))
-        self.span.append((i, j))
-        self.children.append(())
-        wide = int(np.argmax(self.high[node] - self.low[node]))
-        if j - i > LEAF and self.high[node][wide] > self.low[node][wide]:
-            half = (j - i) // 2
-            self.places[i:j] = self.places[i:j][np.argpartition(own[:, wide], half, kind="introselect")]
-            self.children[node] = (self._split(i, i + half), self._split(i + half, j))
-        return node
+    """Median splits with tight bounding boxes over integer vectors, a node's vectors side by side."""
+
+    ids: np.ndarray
+    x: np.ndarray  # in the order of the leaves
+    low: np.ndarray
+    high: np.ndarray
+    span: np.ndarray  # first vector and the one after the last, by node
+    children: np.ndarray  # of a node; 0, 0 for a leaf
+
+    @staticmethod
+    def build(ids: np.ndarray, x: np.ndarray) -> KDTree:
+        places = np.argsort(ids, kind="stable")
+        low, high, children, span = [], [], [], []
+
+        def split(i: int, j: int) -> int:
+            node = len(span)
+            own = x[places[i:j]]
+            low.append(own.min(0))
+            high.append(own.max(0))
+            span.append((i, j))
+            children.append((0, 0))
+            wide = int(np.argmax(np.r_[high[node].astype(float) - low[node], -1.0]))  # the last place stands for vectors without components
+            if j - i > LEAF and wide < x.shape[1] and high[node][wide] > low[node][wide]:
+                half = (j - i) // 2
+                places[i:j] = places[i:j][np.argpartition(own[:, wide], half, kind="introselect")]
+                children[node] = (split(i, i + half), split(i + half, j))
+            return node
+
+        split(0, len(ids))
+        return KDTree(ids[places], x[places], np.array(low), np.array(high), np.array(span), np.array(children))
+
+    def to_bytes(self) -> bytes:
+        out = io.BytesIO()
+        small = np.int32 if not self.x.size or np.abs(self.x.astype(float)).max() < 2**31 - 1 else np.int64
+        np.savez(out, ids=self.ids, x=self.x.astype(small), low=self.low.astype(small), high=self.high.astype(small), span=self.span, children=self.children)
+        return out.getvalue()
+
+    @staticmethod
+    def from_bytes(data: bytes) -> KDTree:
+        with np.load(io.BytesIO(data)) as z:
+            return KDTree(*(z[c] for c in ("ids", "x", "low", "high", "span", "children")))
 
     def bounds(self, q: np.ndarray) -> np.ndarray:
-        """Upper bounds of q · x over every node's box, for each query."""
+        """Upper bounds of q · x over every node's box, for each query, no lower than the true ones."""
+        low, high = self.low.T.astype(float), self.high.T.astype(float)
         up, down = np.maximum(q, 0).astype(float), np.minimum(q, 0).astype(float)
-        return up @ self.high.T.astype(float) + down @ self.low.T.astype(float)
+        lost = (np.abs(q).astype(float) @ np.maximum(np.abs(low), np.abs(high))) * 1e-12
+        return up @ high + down @ low + lost + 0.5
 
     def search(self, own: np.ndarray, q: np.ndarray, k: int, floor: np.ndarray) -> Iterator[tuple[int, list[tuple[int, int]]]]:
         """For each query the k best (score, id) that reach its floor; ties go to smaller ids."""
         bounds = self.bounds(q)
+        most = np.abs(np.r_[self.low[0], self.high[0]].astype(float)).max(initial=0.0)
         for n in range(len(q)):
             best: list[tuple[int, int]] = []  # (score, -id), the worst first
             heap = [(-bounds[n, 0], 0)]
-            vector = q[n].astype(self.exact)
+            kind = np.float64 if np.abs(q[n].astype(float)).sum() * most < 2.0**52 else np.int64
+            vector = q[n].astype(kind)
             while heap:
                 bound, node = heapq.heappop(heap)
-                least = max(floor[n], best[0][0] if len(best) == k else floor[n])
-                if -bound < least - 0.5:
+                least = max(int(floor[n]), best[0][0]) if len(best) == k else int(floor[n])
+                if -bound < least:
                     break
-                if self.children[node]:
+                if self.children[node][1]:
                     for child in self.children[node]:
-                        if bounds[n, child] >= least - 0.5:
-                            heapq.heappush(heap, (-bounds[n, child], child))
+                        if bounds[n, child] >= least:
+                            heapq.heappush(heap, (-bounds[n, child], int(child)))
                     continue
                 i, j = self.span[node]
-                some = self.places[i:j]
-                scores = (self.x[some].astype(self.exact) @ vector).astype(np.int64)
-                ids = self.ids[some]
+                scores = (self.x[i:j].astype(kind) @ vector).astype(np.int64)
+                ids = self.ids[i:j]
                 fit = np.flatnonzero((scores >= least) & (ids != own[n]))
                 if len(fit) > k:  # all that reach the k-th best of this leaf, ties included
                     fit = fit[scores[fit] >= np.partition(scores[fit], -k)[-k]]
-                for s, i in zip(scores[fit].tolist(), ids[fit].tolist()):
+                for s, c in zip(scores[fit].tolist(), ids[fit].tolist()):
                     if len(best) < k:
-                        heapq.heappush(best, (s, -i))
-                    elif (s, -i) > best[0]:
-                        heapq.heapreplace(best, (s, -i))
-            yield n, [(s, -i) for s, i in best]
+                        heapq.heappush(best, (s, -c))
+                    elif (s, -c) > best[0]:
+                        heapq.heapreplace(best, (s, -c))
+            yield n, [(s, -c) for s, c in best]
 
 
 def whole_numbers(embedding: Column, scale: int = 1024) -> Column:
-    """floor(scale * x) of every component; null for a vector that is null, empty or holds a null or non-finite number."""
+    """floor(scale * x) of every component; null for a vector that is null or holds a null or non-finite number."""
     x = F.transform(embedding, lambda v: v.cast("double"))
     bad = F.exists(x, lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")))
-    return F.when(embedding.isNotNull() & (F.size(embedding) > 0) & ~F.coalesce(bad, F.lit(True)), F.transform(x, lambda v: F.floor(v * scale)))
+    return F.when(embedding.isNotNull() & ~F.coalesce(bad, F.lit(True)), F.transform(x, lambda v: F.floor(v * scale)))
 
 
 def top_k(vectors: DataFrame, queries: Column, k: int = 10) -> DataFrame:
@@ -107,7 +133,8 @@ def top_k(vectors: DataFrame, queries: Column, k: int = 10) -> DataFrame:
     lengths never meet. Returns ``query_id, rank, vec_id, score``.
 
     Shards and query blocks are dealt by hashes of the id; blocks of queries meet
-    all shards, and each meeting gives k rows a query at most.
+    all shards, and each meeting gives k rows a query at most. Scores have to fit into
+    64 bits. Vectors without components score 0 with each other. An empty table gives no rows.
     """
     spark = vectors.sparkSession
     vectors = vectors.where("vec_id is not null and v is not null").select("vec_id", "v", F.size("v").alias("d"))
@@ -116,51 +143,58 @@ def top_k(vectors: DataFrame, queries: Column, k: int = 10) -> DataFrame:
     if blocks * shards < spark.sparkContext.defaultParallelism:
         blocks = max(blocks, min(asked // 16 + 1, -(-spark.sparkContext.defaultParallelism // shards)))
 
-    def pack(key, t):
-        ids = t.column("vec_id").to_numpy()
-        x = np.array(t.column("v").to_pylist(), np.int64)
-        return pa.table({"part": pa.array([key[0].as_py()], pa.int64()), "d": pa.array([key[1].as_py()], pa.int32()), "ids": pa.array([ids.astype(np.int64).tobytes()], pa.binary()), "x": pa.array([x.tobytes()], pa.binary())})
+    lowest = np.iinfo(np.int64).min
 
-    schema = "part long, d int, ids binary, x binary"
-    dealt = lambda df, parts, salt: df.withColumn("part", F.pmod(F.xxhash64("vec_id", F.lit(salt)), F.lit(parts)))
-    trees = materialise(dealt(vectors, shards, 1).groupBy("part", "d").applyInArrow(pack, schema), "shards")
+    def matrix(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        v = t.column("v").combine_chunks()
+        return t.column("vec_id").to_numpy().astype(np.int64), np.asarray(v.flatten().to_numpy(zero_copy_only=False), np.int64).reshape(len(v), -1)
+
+    def plant(key, t):
+        tree = KDTree.build(*matrix(t))
+        return pa.table({"part": pa.array([key[0].as_py()], pa.int64()), "d": pa.array([key[1].as_py()], pa.int32()), "tree": pa.array([tree.to_bytes()], pa.binary())})
+
+    def block_up(key, t):
+        """A block of queries and the k-th scores that they have, the lowest number where they have none."""
+        ids, x = matrix(t)
+        floor = t.column("least").fill_null(lowest).to_numpy().astype(np.int64)
+        return pa.table({"block": pa.array([key[0].as_py()], pa.int64()), "d": pa.array([key[1].as_py()], pa.int32()), "q_ids": pa.array([ids.tobytes()], pa.binary()), "q": pa.array([x.tobytes()], pa.binary()), "floor": pa.array([floor.tobytes()], pa.binary())})
+
+    dealt = lambda df, parts, salt: F.pmod(F.xxhash64("vec_id", F.lit(salt)), F.lit(parts))
+    trees = materialise(vectors.withColumn("part", dealt(vectors, shards, 1)).groupBy("part", "d").applyInArrow(plant, "part long, d int, tree binary"), "shards")
     # repeated query rows ask once
-    asking = materialise(dealt(vectors.where(queries).dropDuplicates(["vec_id", "v"]), blocks, 2).groupBy("part", "d").applyInArrow(pack, schema), "query_blocks")
+    asking = vectors.where(queries).dropDuplicates(["vec_id", "v"])
+    asking = materialise(asking.withColumn("block", dealt(asking, blocks, 2)), "queries")
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, tree = None, None
         for batch in batches:
-            for ids, x, q_ids, q, floor in zip(*(batch.column(c).to_pylist() for c in ("ids", "x", "q_ids", "q", "floor"))):
-                ids, own = np.frombuffer(ids, np.int64), np.frombuffer(q_ids, np.int64)
-                tree = KDTree(ids, np.frombuffer(x, np.int64).reshape(len(ids), -1))
-                least = np.frombuffer(floor, np.float64) if floor else np.full(len(own), -np.inf)
-                rows = [(int(own[i]), c, s) for i, found in tree.search(own, np.frombuffer(q, np.int64).reshape(len(own), -1), k, least) for s, c in found]
+            for data, q_ids, q, floor in zip(*(batch.column(c).to_pylist() for c in ("tree", "q_ids", "q", "floor"))):
+                if data is not last and data != last:
+                    last, tree = data, KDTree.from_bytes(data)
+                own = np.frombuffer(q_ids, np.int64)
+                found = tree.search(own, np.frombuffer(q, np.int64).reshape(len(own), -1), k, np.frombuffer(floor, np.int64))
+                rows = [(int(own[i]), c, s) for i, best in found for s, c in best]
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)] if rows else [pa.array([], pa.int64())] * 3, ["query_id", "vec_id", "score"])
 
-    def meet(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
-        both = left.join(right, on).select("ids", "x", "q_ids", "q", "floor")
-        return both.repartition(max(1, shards * blocks)).mapInArrow(answer, "query_id long, vec_id long, score long")
-
-    sides = asking.select(F.col("part").alias("block"), "d", F.col("ids").alias("q_ids"), F.col("x").alias("q"))
-    # the first shard of a block gives its queries a k-th score to start from
-    first = sides.withColumn("part", F.pmod(F.col("block"), F.lit(shards))).withColumn("floor", F.lit(None).cast("binary"))
-    seen = materialise(meet(trees, first, ["part", "d"]), "first_answers")
-    kth = seen.groupBy("query_id").agg(F.count("*").alias("n"), F.min("score").alias("least")).where(F.col("n") >= k)
-
-    def floors(key, t):
-        own = np.frombuffer(t.column("q_ids")[0].as_py(), np.int64)
-        got = {i: s for i, s in zip(t.column("query_id").to_pylist(), t.column("least").to_pylist()) if i is not None}
-        floor = np.array([got.get(i, -np.inf) for i in own.tolist()], np.float64)
-        return pa.table({"block": pa.array([key[0].as_py()], pa.int64()), "d": pa.array([key[1].as_py()], pa.int32()), "floor": pa.array([floor.tobytes()], pa.binary())})
-
-    named = sides.select("block", "d", "q_ids").join(
-        dealt(vectors.where(queries).dropDuplicates(["vec_id", "v"]), blocks, 2).join(kth.withColumnRenamed("query_id", "vec_id"), "vec_id").select(F.col("part").alias("block"), "d", F.col("vec_id").alias("query_id"), F.col("least").cast("double").alias("least")),
-        ["block", "d"], "left",
-    )
-    floor = named.groupBy("block", "d").applyInArrow(floors, "block long, d int, floor binary")
-    rest = sides.join(floor, ["block", "d"]).withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long")))).where(F.col("part") != F.pmod(F.col("block"), F.lit(shards)))
-    found = seen.union(meet(trees, rest, ["part", "d"])) if shards > 1 else seen
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    best, first, many = None, 0, 1
+    while first < shards:
+        last = min(shards, first + many)
+        if best is None:
+            known = asking.withColumn("least", F.lit(None).cast("long"))
+        else:
+            kth = best.where(F.col("rank") == k).select(F.col("query_id").alias("vec_id"), F.col("score").alias("least"))
+            known = asking.join(kth, "vec_id", "left")
+        sides = known.groupBy("block", "d").applyInArrow(block_up, "block long, d int, q_ids binary, q binary, floor binary")
+        # blocks start at different shards
+        turns = sides.withColumn("part", F.explode(F.sequence(F.lit(first).cast("long"), F.lit(last - 1).cast("long"))))
+        turns = turns.withColumn("part", F.pmod(F.col("part") + F.col("block"), F.lit(shards)))
+        both = trees.join(turns.hint("merge"), ["part", "d"]).select("tree", "q_ids", "q", "floor")
+        found = both.repartition(max(1, (last - first) * blocks)).mapInArrow(answer, "query_id long, vec_id long, score long")
+        found = found if best is None else found.union(best.select("query_id", "vec_id", "score"))
+        best = materialise(found.withColumn("rank", rank).where(F.col("rank") <= k), "best")
+        first, many = last, many * FOLLOW
+    return (best if best is not None else asking.select(F.col("vec_id").alias("query_id"), F.lit(0).alias("rank"), "vec_id", F.lit(0).cast("long").alias("score")).limit(0)).select("query_id", "rank", "vec_id", "score")
 
 
 def op6_topk(spark, sf_dir: str) -> DataFrame:
@@ -171,9 +205,9 @@ def op6_topk(spark, sf_dir: str) -> DataFrame:
 OP6_SQL = """
 WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
-  WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
 ), s AS (
-  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2])) AS BIGINT) AS score
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(coalesce(list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2])), 0) AS BIGINT) AS score
   FROM v q JOIN v c ON q.vec_id % 100 = 0 AND q.vec_id <> c.vec_id AND len(q.v) = len(c.v)
 ), r AS (
   SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s

@@ -6,7 +6,8 @@ that a passage of an item's length lies whole in one window and is a fixed part
 of it; MinHash then sees a similarity that doesn't sink with the document's
 length. Signatures are one-permutation MinHashes: ``BINS`` bins under each of
 ``HASHES`` hash functions, a collision in any bin makes a candidate. A passage that
-holds a whole item escapes with a probability under 1e-7.
+holds a whole item of several shingles escapes with a probability under 1e-7, one
+of a single shingle with about 5e-6.
 
 Candidates are verified on whole sets of shingles. A window's signature is only
 worked out in bins where one of its shingles is an item's minimum: elsewhere it
@@ -150,7 +151,7 @@ def contained_items(docs: DataFrame, items: DataFrame, k: int = 5, percent: int
     Returns ``doc_id, item_id, n_common, n_item``. An item of fewer than k words
     counts as one shingle, its word sequence; one without words or without an id is
     never found. Null and empty texts hold nothing. Repeated documents are each
-    reported, repeated items once.
+    reported, repeated items once. Long texts are read whole, an empty table gives no rows.
     """
     spark = docs.sparkSession
     parts = []

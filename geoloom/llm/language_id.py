@@ -23,7 +23,6 @@ WIDTHS = (2, 3, 4)
 EMBED, FILTERS = 8, 12  # dimensions of a byte, filters of each width
 REACH = max(WIDTHS)
 STRIDE = LENGTH - REACH + 1  # every run of REACH bytes stands in one window
-MOST_LANGUAGES = 200
 
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
@@ -117,13 +116,15 @@ def train(x: np.ndarray, y: np.ndarray, languages: list[str], rounds: int = 6, s
     return net
 
 
-def training_windows(docs: DataFrame, learnable: Column, most: int, each: int = 4) -> tuple[np.ndarray, np.ndarray, list[str]]:
+def training_windows(docs: DataFrame, learnable: Column, most: int, each: int = 4, most_languages: int = 10_000) -> tuple[np.ndarray, np.ndarray, list[str]]:
     """Windows of about ``most`` documents of each language, ``each`` at most from one, evenly spread.
 
-    Documents are chosen by a hash of the id; equal windows count once. Languages are the MOST_LANGUAGES most frequent labels.
+    Documents are chosen by a hash of the id; equal windows count once. ``most``, ``each``
+    and ``most_languages`` (the most frequent labels, more than there are language codes)
+    bound the sample that a model is fitted on.
     """
     known = docs.where(learnable & F.col("lang").isNotNull())
-    counts = known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES)
+    counts = known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(most_languages)
     share = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < F.lit(float(1 << 20)) * F.lit(most) / F.col("n")
     some = texts(known, "lang").join(F.broadcast(counts), "lang").where(share).select("text", "lang")
 
@@ -147,6 +148,8 @@ def languages_of(docs: DataFrame, net: ByteNetwork | None) -> DataFrame:
 
     A document's distribution is the mean over its windows. A text without a
     letter (null and empty ones too) is ``und`` with score 1; without a network all others are ``und`` with score 0.
+    Of languages that tie the one first in the alphabet is named. Repeated rows get equal results, long
+    texts are read whole, an empty table gives no rows.
     """
     shared = docs.sparkSession.sparkContext.broadcast(net)  # about 5,000 numbers
 

@@ -13,12 +13,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; a temporary one where it is unset (local tests)."""
+    """The folder of ``spark.checkpoint.dir``; a temporary one where it is unset and all runs in one process (local tests)."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         jvm_dir = spark.sparkContext._jsc.sc().getCheckpointDir()
         if jvm_dir.isDefined():
             return jvm_dir.get()
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and every executor share")
         folder = "file://" + tempfile.mkdtemp(prefix="spark-geoloom-")
         spark.sparkContext.setCheckpointDir(folder)
         folder = spark.sparkContext._jsc.sc().getCheckpointDir().get()

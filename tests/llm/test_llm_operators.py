@@ -66,6 +66,38 @@ def test_substring_dedup_brute_force(spark, odd):
     assert substring_dedup.without_repeats(odd.limit(0)).count() == 0
 
 
+def test_suffix_tree_maximal_repeats():
+    rng = np.random.default_rng(7)
+    rows = [rng.integers(0, 2, n).tolist() for n in (0, 1, 5, 30, 41)] + [rng.integers(0, 9, 60).tolist()]
+    rows += [rows[3][4:25] + rows[4][:9], rows[5], [1] * 20]
+    firsts = np.cumsum([0, *map(len, rows)])
+    symbols = np.array([x for r in rows for x in r], np.uint64)
+    at = {int(firsts[i]) + p: (i, p) for i, r in enumerate(rows) for p in range(len(r))}
+    for depth in (1, 3, 4, 6, 13):
+        places = {}
+        for i, r in enumerate(rows):
+            for p in range(len(r)):
+                for q in range(p + depth, len(r) + 1):
+                    places.setdefault(tuple(r[p:q]), []).append((i, p))
+        want = {}
+        for text, found in places.items():
+            sides = [{rows[i][p - 1] if p else (i, p) for i, p in found}, {rows[i][p + len(text)] if p + len(text) < len(rows[i]) else (i, p) for i, p in found}]
+            if len(found) > 1 and min(map(len, sides)) > 1:
+                want[text] = sorted(found)
+        tree = substring_dedup.SuffixTree(symbols, firsts, depth)
+        before = np.r_[-1, symbols[:-1].astype(np.int64)]
+        before[firsts[:-1][firsts[:-1] < len(symbols)]] = -1
+        got = {}
+        for size, leaves in tree.maximal_repeats(before):
+            i, p = at[int(leaves[0])]
+            got[tuple(rows[i][p : p + size])] = sorted(at[int(x)] for x in leaves)
+        assert got == want
+        owner = np.repeat(np.arange(len(rows)) // 2, np.diff(firsts))
+        for leaf, size in zip(tree.leaves.tolist(), tree.earlier(owner).tolist()):
+            i, p = at[leaf]
+            assert size == max((len(t) for t, f in places.items() if (i, p) in f and min(j // 2 for j, _ in f) < i // 2), default=0)
+
+
 def brute_classes(rows, k, percent):
     low = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
     sets = []

@@ -158,7 +158,10 @@ def _pieces(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, mark: int) -
     """The pieces of ``data``, each followed by ``mark``, and where they start."""
     sizes = ends - starts + 1
     at = np.r_[0, np.cumsum(sizes)]
-    out = np.append(data, np.uint8(mark))[np.minimum(np.arange(at[-1]) + np.repeat(starts - at[:-1], sizes), len(data))]
+    kind = np.int32 if max(at[-1], len(data)) < 1 << 30 else np.int64
+    place = np.repeat((starts - at[:-1]).astype(kind), sizes)
+    place += np.arange(at[-1], dtype=kind)
+    out = np.take(data, place, mode="clip")
     out[at[1:] - 1] = mark
     return out, at
 
@@ -193,14 +196,14 @@ def _sender(window: int, group: np.ndarray, parts: np.ndarray):
             order = np.argsort(to, kind="stable")
             some, to, last = some[order], to[order], w.places[go[tails[order]]] + window - 1
             spaced, at = _pieces(w.data, w.starts, w.ends, 0x20)
-            lines, rows = _pieces(spaced, at[w.places[some]], at[last + 1] - 1, 0x0A)
+            begin, end = at[w.places[some]], at[last + 1] - 1
             cuts = np.flatnonzero(np.r_[True, to[1:] != to[:-1], True])
             for i, j in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
                 doc = ids[owner[some[i:j]]]
                 heads = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]])
                 wide = doc[-1] - doc[0] < 0 or doc[-1] - doc[0] >= 1 << 31  # differences of ids beyond four bytes
                 c = b"8" + doc[heads].tobytes() if wide else _ints(doc[heads] - doc[0])
-                out.append((1, int(to[i]), name, pack.compress(lines[rows[i] : rows[j]].tobytes()), _ints(w.places[some[i:j]]), c, doc[:1].tobytes() + _ints(heads)))
+                out.append((1, int(to[i]), name, pack.compress(_pieces(spaced, begin[i:j], end[i:j], 0x0A)[0].tobytes()), _ints(w.places[some[i:j]]), c, doc[:1].tobytes() + _ints(heads)))
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), (pa.int32(), pa.int32(), pa.string(), *[pa.binary()] * 4))], ["kind", "grp", "slice", "a", "b", "c", "d"])
 
     return send
@@ -350,7 +353,7 @@ def _returned(window: int):
     return gather
 
 
-def repeated_runs(docs: DataFrame, window: int = 13, group_size: int = 1_500_000, least_groups: int = 96) -> DataFrame:
+def repeated_runs(docs: DataFrame, window: int = 13, group_size: int = 1_000_000, least_groups: int = 96) -> DataFrame:
     """Word runs of each document that earlier documents hold too.
 
     ``docs`` has ``doc_id, text``. Returns ``doc_id, row_key, runs``: for each

@@ -1,12 +1,13 @@
 """Planar Delaunay triangulation in tiles.
 
-The plane is cut into square tiles. Each tile triangulates its own points and a
-halo around it; a triangle whose circumcircle lies inside what the tile saw is
-final and is kept by the tiles that own its corners. Points all of whose
-triangles are final are done. The others (the hull, and wide gaps) are few; the
-missing triangles have only such corners, so they are among the triangles of
-these points alone, from which those are kept whose circumcircle holds no point
-of any tile.
+The plane is cut into square tiles, so small that the fullest one stays within
+bounds. Each tile triangulates its own points and a halo around it; a triangle
+whose circumcircle lies inside what the tile saw is final and is kept by the
+tiles that own its corners. Points all of whose triangles are final are done.
+The others (the hull, wide gaps, thin regions beside dense ones) go into the next
+round with larger tiles: a missing triangle has only such corners, so it is among
+the triangles of these points alone. The last few meet in one task. What rounds
+after the first find is kept if its circumcircle holds no point of any tile.
 
 Points are moved by a billionth of the extent, by a hash of their id, so that
 co-circular points are triangulated alike in every tile; triangles that are flat
@@ -120,11 +121,45 @@ def delaunay(points: DataFrame, tile_points: int = TILE_POINTS) -> DataFrame:
     n = box[4]
     if n < 3:
         return points.sparkSession.createDataFrame([], "a long, b long, c long")
-    side = max(((box[2] - box[0]) * (box[3] - box[1]) * tile_points / n) ** 0.5, max(box[2] - box[0], box[3] - box[1]) * tile_points / n, 1e-12)
-    halo = side / 2
-    span = max(box[2] - box[0], box[3] - box[1])
+    wide_, high = box[2] - box[0], box[3] - box[1]
+    span = max(wide_, high, 1e-12)
+    side = max((wide_ * high * tile_points / n) ** 0.5, span * tile_points / n, 1e-12)
     shift = lambda salt: (F.pmod(F.xxhash64("pid", F.lit(salt)), F.lit(1 << 20)) / (1 << 20) - 0.5) * F.lit(1e-9 * span)
     points = points.withColumns({"jx": F.col("px") + shift(1), "jy": F.col("py") + shift(2)})
+    cell = lambda size: [F.floor((F.col(c) - low) / size).alias(t) for c, low, t in (("px", box[0], "tx"), ("py", box[1], "ty"))]
+    while side > 1e-7 * span and points.groupBy(*cell(side)).count().agg(F.max("count")).first()[0] > 4 * tile_points:
+        side /= 4
+
+    found = materialise(_tiled(points, box, side), "triangles")
+    final, rest, later = found.where("b is not null").distinct(), points, []
+    open_ = found.where("b is null").select(F.col("a").alias("pid"))
+    while True:
+        rest = materialise(open_.join(rest, "pid"), "open_points")
+        left = rest.count()
+        side = max(4 * side, (wide_ * high * tile_points / max(left, 1)) ** 0.5)
+        if left <= 4 * tile_points or side > span:
+            break
+        more = materialise(_tiled(rest, box, side), "triangles")
+        later.append(more.where("b is not null"))
+        open_ = more.where("b is null").select(F.col("a").alias("pid"))
+
+    def remaining(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(list(batches))
+        t = bowyer_watson(_moved(table))
+        s = np.sort(table.column("pid").to_numpy()[t[_solid(table, t)]], axis=1) if len(t) else np.zeros((0, 3), int)
+        yield pa.RecordBatch.from_pandas(pd.DataFrame({"a": s[:, 0], "b": s[:, 1], "c": s[:, 2]}), preserve_index=False)
+
+    # a few tiles' points, or the hull of all of them
+    wide = rest.coalesce(1).mapInArrow(remaining, "a long, b long, c long")
+    for more in later:
+        wide = wide.union(more)
+    wide = wide.distinct().join(final, ["a", "b", "c"], "left_anti")
+    return materialise(final.union(_empty_circles(wide, points, box, n, tile_points)), "delaunay")
+
+
+def _tiled(points: DataFrame, box, side: float) -> DataFrame:
+    """The final triangles that tiles of this size find, and rows with only ``a`` for points with others."""
+    halo = side / 2
     place = lambda c, low, shift: F.floor((F.col(c) - low + shift) / side)
     near = [F.struct(place("px", box[0], i * halo).alias("tx"), place("py", box[1], j * halo).alias("ty")) for i in (-1, 0, 1) for j in (-1, 0, 1)]
     seen = points.withColumn("tile", F.explode(F.array_distinct(F.array(*near)))).select("pid", "px", "py", "jx", "jy", "tile.tx", "tile.ty")
@@ -132,10 +167,10 @@ def delaunay(points: DataFrame, tile_points: int = TILE_POINTS) -> DataFrame:
     def triangulate(key, table):
         tx, ty = (k.as_py() for k in key)
         ids, p = table.column("pid").to_numpy(), np.c_[table.column("px").to_numpy(), table.column("py").to_numpy()]
-        t, mid, r = _triangles(_moved(table))
+        own = (np.floor((p[:, 0] - box[0]) / side) == tx) & (np.floor((p[:, 1] - box[1]) / side) == ty)
+        t, mid, r = _triangles(_moved(table)) if own.any() else (np.zeros((0, 3), int), np.zeros((0, 2)), np.zeros(0))
         low = np.array([box[0] + tx * side, box[1] + ty * side])
         inside = ((mid - r[:, None] > low - halo) & (mid + r[:, None] < low + side + halo)).all(1)
-        own = (np.floor((p[:, 0] - box[0]) / side) == tx) & (np.floor((p[:, 1] - box[1]) / side) == ty)
         # corners of triangles that aren't final are open
         open_ = np.zeros(len(ids), bool)
         open_[np.unique(t[~inside])] = True
@@ -153,28 +188,37 @@ def delaunay(points: DataFrame, tile_points: int = TILE_POINTS) -> DataFrame:
             "a": pa.array([*some[:, 0].tolist(), *rest.tolist()], pa.int64()), "b": pa.array([*some[:, 1].tolist(), *null], pa.int64()), "c": pa.array([*some[:, 2].tolist(), *null], pa.int64()),
         })
 
-    found = materialise(seen.groupBy("tx", "ty").applyInArrow(triangulate, "a long, b long, c long"), "triangles")
-    final = found.where("b is not null").distinct()
-    rest = found.where("b is null").select(F.col("a").alias("pid")).join(points, "pid")
+    return seen.groupBy("tx", "ty").applyInArrow(triangulate, "a long, b long, c long")
 
-    def remaining(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = pa.Table.from_batches(list(batches))
-        ids = table.column("pid").to_numpy()
-        t, mid, r = _triangles(_moved(table))
-        keep = _solid(table, t)
-        t, mid, r = t[keep], mid[keep], r[keep]
-        s = np.sort(ids[t], axis=1) if len(t) else np.zeros((0, 3), int)
-        yield pa.RecordBatch.from_pandas(pd.DataFrame({"a": s[:, 0], "b": s[:, 1], "c": s[:, 2], "mx": mid[:, 0], "my": mid[:, 1], "r": r}), preserve_index=False)
-
-    # open points are of the order of the tiles' outline where tiles are filled evenly
-    wide = materialise(rest.select("pid", "px", "py", "jx", "jy").coalesce(1).mapInArrow(remaining, "a long, b long, c long, mx double, my double, r double"), "wide_triangles")
-    wide = wide.join(final, ["a", "b", "c"], "left_anti")
-    held = (
-        wide.join(points, (F.col("jx") > F.col("mx") - F.col("r")) & (F.col("jx") < F.col("mx") + F.col("r")))
-        .where((F.pow(F.col("jx") - F.col("mx"), 2) + F.pow(F.col("jy") - F.col("my"), 2) < F.pow("r", 2) * (1 - 1e-13)) & ~F.col("pid").isin(F.col("a"), F.col("b"), F.col("c")))
-        .select("a", "b", "c").distinct()
-    )
-    return materialise(final.union(wide.join(held, ["a", "b", "c"], "left_anti").select("a", "b", "c")), "delaunay")
+
+def _empty_circles(triangles: DataFrame, points: DataFrame, box, n: int, tile_points: int) -> DataFrame:
+    """The triangles whose circumcircle holds no point.
+
+    One point of each of at most 32 x 32 cells rules most circles out; the rest
+    are compared with the points of the smaller cells that they touch.
+    """
+    span = max(box[2] - box[0], box[3] - box[1], 1e-12)
+    for c in "abc":
+        triangles = triangles.join(points.select(F.col("pid").alias(c), F.col("jx").alias(f"{c}x"), F.col("jy").alias(f"{c}y")), c)
+    bx, by, cx, cy = F.col("bx") - F.col("ax"), F.col("by") - F.col("ay"), F.col("cx") - F.col("ax"), F.col("cy") - F.col("ay")
+    d, bb, cc = 2 * (bx * cy - by * cx), bx * bx + by * by, cx * cx + cy * cy
+    d = F.when(d != 0, d)
+    circles = triangles.select("a", "b", "c", "ax", "ay", ((cy * bb - by * cc) / d).alias("ux"), ((bx * cc - cx * bb) / d).alias("uy")).where("ux is not null")
+    circles = materialise(circles.select("a", "b", "c", (F.col("ax") + F.col("ux")).alias("mx"), (F.col("ay") + F.col("uy")).alias("my"), (F.col("ux") * F.col("ux") + F.col("uy") * F.col("uy")).alias("r2")), "circles")
+    within = (F.pow(F.col("jx") - F.col("mx"), 2) + F.pow(F.col("jy") - F.col("my"), 2) < F.col("r2") * (1 - 1e-13)) & ~F.col("pid").isin(F.col("a"), F.col("b"), F.col("c"))
+    at = lambda c, low, size: F.floor((F.col(c) - low) / size)
+    few = points.groupBy(at("jx", box[0], span / 31).alias("gx"), at("jy", box[1], span / 31).alias("gy")).agg(F.min_by(F.struct("pid", "jx", "jy"), "pid").alias("p")).select("p.*")
+    circles = materialise(circles.join(F.broadcast(few), within, "left_anti"), "circles")
+    size = span / min(1024, max(1, int((n / tile_points) ** 0.5)))
+    last = int(span / size) + 1  # moved points may lie a little outside the box
+    reach = F.sqrt("r2") * (1 + 1e-9)
+    to = lambda m, low: [F.greatest(F.least(F.floor((F.col(m) + k * reach - low) / size), F.lit(last)), F.lit(-1)) for k in (-1, 1)]
+    touching = circles.withColumn("gx", F.explode(F.sequence(*to("mx", box[0])))).withColumn("gy", F.explode(F.sequence(*to("my", box[1]))))
+    gap = lambda m, g, low: F.greatest(F.lit(0.0), F.col(g) * size + low - F.col(m), F.col(m) - (F.col(g) + 1) * size - low)
+    touching = touching.where(F.pow(gap("mx", "gx", box[0]), 2) + F.pow(gap("my", "gy", box[1]), 2) <= F.col("r2") * (1 + 1e-9))
+    celled = points.select("pid", "jx", "jy", at("jx", box[0], size).alias("gx"), at("jy", box[1], size).alias("gy"))
+    held = touching.join(celled, ["gx", "gy"]).where(within).select("a", "b", "c").distinct()
+    return circles.join(held, ["a", "b", "c"], "left_anti").select("a", "b", "c")
 
 
 def triangle_sides(triangles: DataFrame) -> DataFrame:

@@ -41,6 +41,16 @@ def test_delaunay_is_whole_and_empty(spark, tile):
     assert len(p) - len(sides) + len(triangles) == 1  # Euler
 
 
+def test_delaunay_of_a_dense_spot_in_a_sparse_plane(spark):
+    rng = np.random.default_rng(8)
+    p = np.r_[rng.random((150, 2)), 0.3 + 1e-3 * rng.random((120, 2)), [0.8, 0.1] + 0.02 * rng.normal(size=(130, 2))]
+    flat = po.plane(point_table(spark, p))
+    triangles = {(r.a, r.b, r.c) for r in dl.delaunay(flat, 12).collect()}
+    assert triangles == {(r.a, r.b, r.c) for r in dl.delaunay(flat, 10_000).collect()}
+    empty_circles(p, triangles)
+    assert len(p) - len({s for t in triangles for s in itertools.combinations(t, 2)}) + len(triangles) == 1
+
+
 def test_delaunay_degenerate(spark):
     line = point_table(spark, [(i, 2 * i) for i in range(5)])
     assert dl.delaunay(po.plane(line)).count() == 0

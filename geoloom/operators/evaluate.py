@@ -78,17 +78,19 @@ def log_factorial(n):
     return F.when(n < 20, small).otherwise(series)
 
 
-def adjusted_information(pred: DataFrame) -> DataFrame:
+def adjusted_information(pred: DataFrame, block: int = 4096) -> DataFrame:
     """One row ``ami``: mutual information adjusted for chance, by the arithmetic mean of the entropies.
 
     The expectation is summed over all overlaps that a pair of class sizes
-    allows; pairs of equal sizes are summed once.
+    allows, in blocks; pairs of equal sizes are summed once.
     """
     t = contingency(pred)
     rows = t.groupBy("y").agg(F.sum("n").alias("a")).groupBy("a").agg(F.count("*").alias("na"))
     cols = t.groupBy("label").agg(F.sum("n").alias("b")).groupBy("b").agg(F.count("*").alias("nb"))
     sizes = rows.join(cols).crossJoin(F.broadcast(t.agg(F.sum("n").alias("m"))))
-    each = sizes.withColumn("n", F.explode(F.sequence(F.greatest(F.lit(1), F.col("a") + F.col("b") - F.col("m")), F.least("a", "b"))))
+    sizes = sizes.withColumns({"low": F.greatest(F.lit(1), F.col("a") + F.col("b") - F.col("m")), "high": F.least("a", "b")})
+    blocks = sizes.withColumn("low", F.explode(F.sequence("low", "high", F.lit(block).cast("long"))))
+    each = blocks.withColumn("n", F.explode(F.sequence("low", F.least(F.col("low") + (block - 1), F.col("high")))))
     f = log_factorial
     a, b, m, n = (F.col(c) for c in "abmn")
     log_p = f(a) + f(b) + f(m - a) + f(m - b) - f(m) - f(n) - f(a - n) - f(b - n) - f(m - a - b + n)

@@ -151,6 +151,36 @@ def frozen_growth_round(edges: DataFrame, labels: DataFrame, limit: float, proje
     return each.withColumn("r", F.row_number().over(order)).where("r = 1").select(F.col("outer").alias("pid"), F.col("comp").alias("label"), "ratio_o", "ratio_p")
 
 
+def frozen_growth(edges: DataFrame, labels: DataFrame, limit: float, projected: float) -> DataFrame:
+    """Rounds of :func:`frozen_growth_round` until no cluster claims a point; each round measures the clusters anew.
+
+    Returns ``pid, label, round``: the round in which a point was claimed, 0 where
+    it kept its label. Clusters never merge.
+    """
+    edges = materialise(edges.select("u", "v", "len_o", "len_p"), "edges")
+    state = labels.select("pid", F.col("label").cast("long"), F.lit(0).alias("round"))
+    for number in count(1):  # every round but the last assigns a point
+        won = materialise(frozen_growth_round(edges, state, limit, projected).select("pid", F.col("label").alias("to")), "claims")
+        if not won.limit(1).count():
+            return state
+        state = materialise(state.join(won, "pid", "left").select("pid", F.coalesce("to", "label").alias("label"), F.when(F.col("to").isNotNull(), F.lit(number)).otherwise(F.col("round")).alias("round")), "frozen")
+
+
+def growth_added_points(pts: DataFrame, labels: DataFrame, large: DataFrame, state: DataFrame) -> DataFrame:
+    """``pid, comp`` of points outside the large seed components (``labels, large``) that growth (``state``) brought into one of theirs."""
+    final = components(pts, state.where("seed or accepted").select("u", "v"))
+    started = labels.join(large.select("comp"), "comp", "left_semi").select("pid")
+    active = final.join(started, "pid", "left_semi").select("comp").distinct()
+    return final.join(active, "comp", "left_semi").join(started, "pid", "left_anti").select("pid", "comp")
+
+
+def removable_edges(state: DataFrame, added: DataFrame) -> DataFrame:
+    """Edges that a cut may remove: accepted ones, and restored ones that touch a point which growth added."""
+    at = lambda c: added.select(F.col("pid").alias(c), F.lit(True).alias(f"_{c}"))
+    touched = F.coalesce("_u", "_v", F.lit(False))
+    return state.join(at("u"), "u", "left").join(at("v"), "v", "left").where(F.col("accepted") | F.col("restored") & touched).select("u", "v")
+
+
 def dominant_cluster(edges: DataFrame, labels: DataFrame) -> DataFrame:
     """Noise points most of whose clustered neighbours are of one cluster: more than half; ties to the smaller."""
     half = half_edges(edges)
@@ -164,12 +194,18 @@ def dominant_cluster(edges: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def outlier_merge(edges: DataFrame, pts: DataFrame, labels: DataFrame, limit: float) -> DataFrame:
-    """Labels after noise points joined their dominant cluster, if their nearest member is within median + limit * IQR of its edges."""
+    """Labels after noise points joined their dominant cluster, if their nearest member is within median + limit * IQR of its edges.
+
+    Points within reach differ by no more than that in their distance from the
+    origin, so they meet in equal or neighbouring shells of the cluster.
+    """
     own = labels.select("pid", F.col("label").alias("comp"))
     stats = internal_stats(edges, own).where("comp >= 0").select(F.col("comp").alias("label"), (F.col("med_o") + limit * floored(F.col("q75_o") - F.col("q25_o"))).alias("reach"))
+    shell = lambda x: F.floor(F.sqrt(F.aggregate(F.transform(x, lambda v: v * v), F.lit(0.0), lambda z, v: z + v)) / (F.greatest("reach", F.lit(1e-12)) * (1 + 1e-9)))
     voted = dominant_cluster(edges, labels).join(stats, "label").join(pts.select("pid", "x"), "pid")
-    members = labels.where("label >= 0").join(pts.select("pid", F.col("x").alias("mx")), "pid").select("label", "mx")
-    near = voted.join(members, "label").groupBy("pid", "label", "reach").agg(F.min(distance(F.col("x"), F.col("mx"))).alias("near"))
+    voted = voted.withColumn("shell", F.explode(F.array(*(shell("x") + F.lit(i) for i in (-1, 0, 1)))))
+    members = labels.join(stats, "label").join(pts.select("pid", F.col("x").alias("mx")), "pid").select("label", shell("mx").alias("shell"), "mx")
+    near = voted.join(members, ["label", "shell"]).groupBy("pid", "label", "reach").agg(F.min(distance(F.col("x"), F.col("mx"))).alias("near"))
     joined = near.where("near <= reach").select("pid", F.col("label").alias("to"))
     return labels.join(joined, "pid", "left").select("pid", F.coalesce("to", "label").alias("label"))
 

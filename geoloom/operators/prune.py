@@ -201,11 +201,16 @@ def without_points(edges: DataFrame, cut: DataFrame) -> DataFrame:
 
 
 def contracted(edges: DataFrame, labels: DataFrame) -> DataFrame:
-    """Edges between components as one weighted edge a pair: ``cu, cv, capacity``."""
+    """Edges between components as one weighted edge a pair: ``cu, cv, capacity``; :func:`node_weights` has the nodes."""
     pair = labelled_edges(edges.select("u", "v"), labels).where("cu <> cv")
     return pair.groupBy(F.least("cu", "cv").alias("cu"), F.greatest("cu", "cv").alias("cv")).agg(F.count("*").alias("capacity"))
 
 
+def node_weights(labels: DataFrame) -> DataFrame:
+    """``comp, weight``: the number of points that a contracted node stands for."""
+    return labels.groupBy("comp").agg(F.count("*").alias("weight"))
+
+
 def _min_cut(capacity: dict[int, dict[int, int]], s: int, t: int) -> tuple[int, set[int]]:
     rest = {x: dict(y) for x, y in capacity.items()}
     total = 0

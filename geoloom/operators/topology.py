@@ -143,6 +143,23 @@ def triangle_edge_ratio(triangles: DataFrame, retained: DataFrame, labels: DataF
     return inside.groupBy("comp").agg(F.count("*").alias("e")).join(whole, "comp", "left").select("comp", (F.coalesce("t", F.lit(0)) / F.greatest("e", F.lit(1))).alias("ratio"))
 
 
+def edges_within(edges: DataFrame, labels: DataFrame, passed: DataFrame) -> DataFrame:
+    """Edges both ends of which lie in components that passed a gate (``comp``)."""
+    inside = labels.join(passed.select("comp"), "comp", "left_semi").select("pid")
+    return edges.select("u", "v").join(inside.withColumnRenamed("pid", "u"), "u", "left_semi").join(inside.withColumnRenamed("pid", "v"), "v", "left_semi")
+
+
+def triangle_gate(edges: DataFrame, labels: DataFrame, ratio: DataFrame, least: float) -> DataFrame:
+    """Edges between points of components with at least ``least`` triangles an edge; a component without a ratio has 0."""
+    every = labels.select("comp").distinct().join(ratio, "comp", "left")
+    return edges_within(edges, labels, every.where(F.coalesce("ratio", F.lit(0.0)) >= least))
+
+
+def hull_skip(ratios: DataFrame, threshold: float) -> DataFrame:
+    """``comp, hull_ratio, skipped``: components whose hull ratio reaches the threshold are left alone; 0 turns that off."""
+    return ratios.withColumn("skipped", F.lit(threshold > 0) & (F.col("hull_ratio") >= threshold))
+
+
 def eligible(labels: DataFrame, moments: DataFrame, shape: DataFrame, ratio: DataFrame, m2_max: float, shape_min: float, ratio_min: float) -> DataFrame:
     """Points of components that pass the gates: weighted moment below, shape score and triangle ratio at least; a missing measure fails."""
     ok = (

@@ -14,10 +14,19 @@ K, LIMIT, MIN_EDGES = 50, 0.5, 2
 
 
 class Clustering:
-    """The tables that the stages share, each made once when first asked for."""
+    """The tables that the stages share, each made once when first asked for.
 
-    def __init__(self, spark: SparkSession, sf_dir: str):
-        self.spark, self.dir = spark, sf_dir
+    ``edge_set`` is ``gabriel`` or ``delaunay`` (all of its edges); ``projection``
+    is ``plane`` (the first two features) or ``pca`` (of standardised features).
+    """
+
+    def __init__(self, spark: SparkSession, sf_dir: str, edge_set: str = "gabriel", projection: str = "plane"):
+        if edge_set not in ("gabriel", "delaunay") or projection not in ("plane", "pca"):
+            raise ValueError(f"unknown edge set or projection: {edge_set}, {projection}")
+        self.spark, self.dir, self.edge_set, self.projection = spark, sf_dir, edge_set, projection
+
+    def on_all_edges(self, projection: str = "plane") -> Clustering:
+        return Clustering(self.spark, self.dir, "delaunay", projection)
 
     @cached_property
     def pts(self) -> DataFrame:
@@ -25,7 +34,7 @@ class Clustering:
 
     @cached_property
     def flat(self) -> DataFrame:
-        return po.plane(self.pts)
+        return po.plane(self.pts) if self.projection == "plane" else materialise(po.principal_plane(po.standardize(self.pts)), "plane")
 
     @cached_property
     def triangles(self) -> DataFrame:
@@ -33,6 +42,8 @@ class Clustering:
 
     @cached_property
     def edges(self) -> DataFrame:
+        if self.edge_set == "delaunay":
+            return self.all_edges
         return materialise(ed.measured(dl.gabriel_edges(self.flat, self.triangles), self.pts, self.flat), "edges")
 
     @cached_property
@@ -75,17 +86,36 @@ class Clustering:
     def pred(self) -> DataFrame:
         return materialise(gr.final_prediction(self.labels, self.seed, MIN_EDGES), "pred")
 
+    @cached_property
+    def growth(self) -> DataFrame:
+        return gr.sequential_growth(self.edges, self.pts, self.seed, MIN_EDGES, 1.6, 2.8, 2.0)
+
+    @cached_property
+    def added(self) -> DataFrame:
+        return gr.growth_added_points(self.pts, self.labels, self.large, self.growth)
+
     @cached_property
     def truth(self) -> DataFrame:
         return self.pred.join(self.pts.select("pid", "y"), "pid")
 
 
+def grown_labels(b: Clustering, limit: float = 1.6, projected: float = 2.8, restore: float | None = 2.0, mode: str = "real", min_edges: int = MIN_EDGES, outliers: float | None = None) -> DataFrame:
+    """Labels after the seeds: growth, components of what is retained, noise, and the outlier merge if it has a limit.
+
+    Returns ``pid, label`` (-1: noise).
+    """
+    state = gr.sequential_growth(b.edges, b.pts, b.seed, min_edges, limit, projected, restore, mode)
+    kept = materialise(state.where("seed or accepted or restored" if mode == "real" else "seed or accepted").select("u", "v").join(b.edges, ["u", "v"]), "retained")
+    labels = materialise(gr.final_prediction(gr.components(b.pts, kept.select("u", "v")), kept, min_edges), "grown")
+    return labels if outliers is None else gr.outlier_merge(kept, b.pts, labels, outliers)
+
+
 def cluster_labels(b: Clustering) -> DataFrame:
     """The whole plan: seeds, growth with restoration, interior restoration, vertex cuts, noise, cost-gate reclaim.
 
     Returns ``pid, label, cost`` (-1: noise; cost of a reclaimed point's path).
     """
-    state = gr.sequential_growth(b.edges, b.pts, b.seed, MIN_EDGES, 1.6, 2.8, 2.0)
+    state = b.growth
     grown = state.where("seed or accepted or restored").select("u", "v").join(b.edges, ["u", "v"])
     labels = materialise(gr.components(b.pts, grown.select("u", "v")), "grown_comp")
     back = gr.restored(b.edges, labels, b.seed, 2.0)
@@ -327,6 +357,7 @@ SELECT * FROM fc WHERE cost <= 15""", ("cost",)),
     "contracted_graph": (
         lambda b: pr.contracted(b.edges, b.labels),
         SEED_SQL + " SELECT least(cu, cv) AS cu, greatest(cu, cv) AS cv, count(*) AS capacity FROM le WHERE cu <> cv GROUP BY 1, 2", ()),
+    "contracted_nodes": (lambda b: pr.node_weights(b.labels), SEED_SQL + " SELECT comp, count(*) AS weight FROM labels GROUP BY comp", ()),
     "short_path_bridges": (
         lambda b: pr.short_path_bridges(b.edges, 4),
         """, h1 AS (SELECT e.u, e.v, h.dst AS p FROM edges e JOIN half h ON h.src = e.u WHERE h.dst <> e.v),
@@ -417,7 +448,18 @@ SELECT r.u, r.v, CASE WHEN d > 2 THEN 1 - (n - CAST(uv AS INTEGER) - CAST(vu AS
         lambda b: tp.component_shape(b.triangles, tp.triangle_areas(b.triangles, b.pts, b.flat), tp.triangle_support(b.triangles, b.all_edges, b.all_edges, b.labels), b.all_edges), None,
         ("area_o", "area_p", "rim_o", "rim_p", "shape_o", "shape_p")),
     "project_pca": (lambda b: po.principal_plane(b.pts), None, ("px", "py")),
-    "sequential_growth": (lambda b: gr.sequential_growth(b.edges, b.pts, b.seed, MIN_EDGES, 1.6, 2.8, 2.0), None, ()),
+    "sequential_growth": (lambda b: b.growth, None, ()),
+    "growth_added_points": (lambda b: b.added, None, ()),
+    "retained_edges": (lambda b: b.growth.where("seed or accepted or restored").select("u", "v"), None, ()),
+    "removable_edges": (lambda b: gr.removable_edges(b.growth, b.added), None, ()),
+    "frozen_growth": (lambda b: gr.frozen_growth(b.edges, b.pred, 3.0, 3.0), None, ()),
+    "triangle_gate": (lambda b: tp.triangle_gate(b.all_edges, b.labels, tp.triangle_edge_ratio(b.triangles, b.all_edges, b.labels), 0.1), None, ()),
+    "hull_skip": (lambda b: tp.hull_skip(tp.hull_ratio(b.edges, tp.outer_hull(b.triangles, b.all_edges, b.edges), gr.components(b.pts, b.edges)), 0.5), None, ("hull_ratio",)),
+    "all_edges_hard_gate": (lambda b: b.on_all_edges().seeds.select("u", "v", "allowed", "is_seed"), None, ()),
+    "all_edges_growth": (lambda b: b.on_all_edges().growth, None, ()),
+    "all_edges_restored": (lambda b: (lambda w: gr.restored(w.edges, w.labels, w.seed, 2.0))(b.on_all_edges()), None, ()),
+    "all_edges_grown_labels": (lambda b: grown_labels(b.on_all_edges(), outliers=1.0), None, ()),
+    "pca_grown_labels": (lambda b: grown_labels(b.on_all_edges("pca"), outliers=1.0), None, ()),
 }
 
 

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from geoloom.functions.vectors import clipped, floored, open_space, robust_ratio
-from geoloom.operators import bridges, delaunay as dl, density, edges as ed, evaluate as ev, growth as gr, neighbors as nb, points as po, prune as pr, reclaim as rc
+from geoloom.operators import bridges, delaunay as dl, density, edges as ed, evaluate as ev, growth as gr, neighbors as nb, points as po, prune as pr, reclaim as rc, topology as tp
 from geoloom.operators.components import connected_components
 
 
@@ -143,6 +143,124 @@ def test_growth_goes_on_after_200_rounds(spark, monkeypatch):
     assert len(out) == n and all(r.seed or r.accepted for r in out) and max(r["round"] for r in out) == n - 1
 
 
+def quarters(x):
+    return np.percentile(x, [25, 50, 75])
+
+
+def brute_growth(edges, points, seeds, min_edges, limit, projected, restore):
+    """Flags of each edge by the definition: frozen statistics, all of a round at once."""
+    parent = {p: p for p in points}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    def join(u, v):
+        a, b = sorted((find(u), find(v)))
+        parent[b] = a
+
+    for u, v in seeds:
+        join(u, v)
+    inside = {}
+    for u, v in seeds:
+        inside[find(u)] = inside.get(find(u), 0) + 1
+    active = {c for c, n in inside.items() if n > min_edges}
+    large = {p for p in points if find(p) in active}
+    accepted, back = set(), set()
+    while True:
+        reference = seeds | accepted | back
+        stats = {}
+        for c in {find(p) for p in points}:
+            own = [e for e in reference if find(e[0]) == find(e[1]) == c]
+            if own:
+                stats[c] = quarters([edges[e][0] for e in own]), quarters([edges[e][1] for e in own])
+        new, again = set(), set()
+        for e, (o, f) in edges.items():
+            a, b = find(e[0]), find(e[1])
+            for c in {a, b} & active if a != b else ():
+                (_, m, q), (_, pm, pq) = stats[c]
+                if (o - m) / max(q - m, 1e-12) < limit and (f - pm) / max(pq - pm, 1e-12) < projected:
+                    new.add(e)
+            if a == b and a in active and e not in reference and o <= stats[a][0][1] + restore * max(stats[a][0][2] - stats[a][0][0], 1e-12):
+                again.add(e)
+        if new <= accepted and again <= back:
+            added = {p for p in points if p not in large and find(p) in {find(x) for x in large}}
+            return accepted, back, added
+        accepted, back = accepted | new, back | again
+        for u, v in new:
+            join(u, v)
+        active = {find(c) for c in active}
+
+
+def brute_frozen(edges, label, limit, projected):
+    label, rounds, number = dict(label), {}, 0
+    while True:
+        number += 1
+        best = {}
+        for c in {x for x in label.values() if x >= 0}:
+            touch = [e for e in edges if c in (label[e[0]], label[e[1]])]
+            if not touch:
+                continue
+            (_, m, q), (_, pm, pq) = quarters([edges[e][0] for e in touch]), quarters([edges[e][1] for e in touch])
+            for e in touch:
+                outer = next((y for x, y in (e, e[::-1]) if label[x] == c and label[y] < 0), None)
+                o, f = (edges[e][0] - m) / max(q - m, 1e-12), (edges[e][1] - pm) / max(pq - pm, 1e-12)
+                if outer is not None and o < limit and f < projected:
+                    best[outer] = min(best.get(outer, ((np.inf,), 0)), ((max(o / limit, f / projected), o, f, *e, c), c))
+        if not best:
+            return label, rounds
+        for p, (_, c) in best.items():
+            label[p], rounds[p] = c, number
+
+
+def test_growth_on_all_delaunay_edges_by_brute_force(spark):
+    rng = np.random.default_rng(11)
+    p = np.r_[rng.normal(0, 1, (30, 2)), rng.normal(6, 0.6, (25, 2)), rng.uniform(-4, 10, (25, 2))]
+    flat = po.plane(point_table(spark, p))
+    edges = ed.measured(dl.edges_from_triangles(dl.delaunay(flat)), point_table(spark, np.c_[p, np.sin(p[:, 0])]), flat).collect()
+    lengths = {(r.u, r.v): (r.len_o, r.len_p) for r in edges}
+    cut = np.median([r.len_o for r in edges]) * 0.8
+    seeds = {e for e, (o, _) in lengths.items() if o < cut}
+    table = spark.createDataFrame([(*e, *x) for e, x in lengths.items()], "u long, v long, len_o double, len_p double")
+    pts = spark.range(len(p)).select(F.col("id").alias("pid"))
+    seed = table.where(F.col("len_o") < cut)
+    state = spark.createDataFrame(gr.sequential_growth(table, pts, seed, 2, 4.0, 5.0, 1.0).toPandas())
+    accepted, back, added = brute_growth(lengths, range(len(p)), seeds, 2, 4.0, 5.0, 1.0)
+    rows = state.collect()
+    assert {(r.u, r.v) for r in rows if r.accepted} == accepted and {(r.u, r.v) for r in rows if r.restored} == back
+    labels = gr.components(pts, seed.select("u", "v"))
+    large = gr.component_counts(labels, seed).where("n_edges > 2")
+    got = gr.growth_added_points(pts, labels, large, state)
+    assert {r.pid for r in got.collect()} == added and added
+    removable = {(r.u, r.v) for r in gr.removable_edges(state, got).collect()}
+    assert removable == accepted | {e for e in back if set(e) & added} and removable <= {(r.u, r.v) for r in rows if r.seed or r.accepted or r.restored}
+
+    label = {r.pid: r.label for r in gr.final_prediction(labels, seed, 2).collect()}
+    want, rounds = brute_frozen(lengths, label, 2.0, 2.5)
+    frozen = gr.frozen_growth(table, spark.createDataFrame(list(label.items()), "pid long, label long"), 2.0, 2.5).collect()
+    assert {r.pid: r.label for r in frozen} == want and {r.pid: r.round for r in frozen if r["round"]} == rounds and max(rounds.values()) > 1
+
+
+def test_gates_and_node_weights(spark):
+    labels = spark.createDataFrame([(0, 0), (1, 0), (2, 0), (3, 3), (4, 3), (5, 5)], "pid long, comp long")
+    e = edge_table(spark, [(0, 1), (1, 2), (0, 2), (3, 4), (2, 3)])
+    ratio = tp.triangle_edge_ratio(spark.createDataFrame([(0, 1, 2)], "a long, b long, c long"), e, labels)
+    pairs = lambda t: {(r.u, r.v) for r in t.collect()}
+    assert pairs(tp.triangle_gate(e, labels, ratio, 1 / 3)) == {(0, 1), (1, 2), (0, 2)}
+    assert len(pairs(tp.triangle_gate(e, labels, ratio, 0.0))) == 5 and not pairs(tp.triangle_gate(e, labels, ratio, 0.5))
+    ratios = spark.createDataFrame([(0, 0.4), (3, float("inf"))], "comp long, hull_ratio double")
+    assert {r.comp: r.skipped for r in tp.hull_skip(ratios, 0.5).collect()} == {0: False, 3: True}
+    assert not any(r.skipped for r in tp.hull_skip(ratios, 0.0).collect())
+    assert {r.comp: r.weight for r in pr.node_weights(labels).collect()} == {0: 3, 3: 2, 5: 1}
+
+
+def test_adjusted_information_in_blocks(spark):
+    pred = spark.createDataFrame([(i % 3 if i % 5 else 0, i % 2) for i in range(60)], "y long, label long")
+    values = [ev.adjusted_information(pred, block).first().ami for block in (1, 7, 4096)]
+    assert max(values) - min(values) < 1e-12
+
+
 def test_restoration_limits(spark):
     e = edge_table(spark, [(0, 1), (1, 2), (0, 2)], [1.0, 1.0, 5.0])
     labels = spark.createDataFrame([(0, 0), (1, 0), (2, 0)], "pid long, comp long")

@@ -146,7 +146,7 @@ def triangle_edge_ratio(triangles: DataFrame, retained: DataFrame, labels: DataF
 def edges_within(edges: DataFrame, labels: DataFrame, passed: DataFrame) -> DataFrame:
     """Edges both ends of which lie in components that passed a gate (``comp``)."""
     inside = labels.join(passed.select("comp"), "comp", "left_semi").select("pid")
-    return edges.select("u", "v").join(inside.withColumnRenamed("pid", "u"), "u", "left_semi").join(inside.withColumnRenamed("pid", "v"), "v", "left_semi")
+    return edges.select("u", "v").join(inside.withColumnRenamed("pid", "u"), "u", "left_semi").join(inside.withColumnRenamed("pid", "v"), "v", "left_semi").select("u", "v")
 
 
 def triangle_gate(edges: DataFrame, labels: DataFrame, ratio: DataFrame, least: float) -> DataFrame:

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
+from geoloom.sources.shared import materialise
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -50,3 +52,31 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, learnable: C
     # a window over the bounded list
     so_far = F.sum(F.length("text")).over(Window.partitionBy("y").orderBy(F.xxhash64("doc_id"), "doc_id"))
     return rows.withColumn("so_far", so_far).where(F.col("so_far") <= most_bytes // 2).select("text", "y")
+
+
+def numbered(rows: DataFrame, *order: str) -> DataFrame:
+    """``rows``, written, with ``place``: their position from 0 in the order of the columns, nulls first.
+
+    Rows are dealt by ranges and counted by range, so no task holds them all; only
+    one count a range comes together. Rows that tie in all columns of the order get
+    places of their own. An empty table stays empty.
+    """
+    dealt = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id())
+    dealt = materialise(dealt, "ordered").withColumns({"_range": F.shiftright("_at", 33), "_in": F.col("_at").bitwiseAND((1 << 33) - 1)})
+    # one row a range
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = dealt.groupBy("_range").agg(F.count("*").alias("_n")).select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    return dealt.join(F.broadcast(starts), "_range").withColumn("place", F.col("_start") + F.col("_in")).drop("_range", "_in", "_at", "_start")
+
+
+def looked_up(rows: DataFrame, keyed: DataFrame, key: str, n: str, total: int) -> DataFrame:
+    """``rows`` joined with ``keyed``, which has each ``key`` once and in ``n`` how many rows have it (dropped).
+
+    Keys of over a thousandth of ``total`` rows, fewer than a thousand, are
+    broadcast; the rest is joined by a shuffle in which no key is frequent.
+    ``rows`` is read twice, so it should be a written table.
+    """
+    often = F.col(n) * 1000 > total
+    hot = F.broadcast(keyed.where(often).drop(n))
+    rest = rows.join(F.broadcast(keyed.where(often).select(key)), key, "left_anti").join(keyed.where(~often).drop(n), key)
+    return rows.join(hot, key).unionByName(rest)

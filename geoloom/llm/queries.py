@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from geoloom.llm import decontaminate, jaccard_join, language_id, mixing, pii, quality, secrets, substring_dedup, topk_search, toxicity
+from geoloom.llm import decontaminate, jaccard_join, language_id, merkle, mixing, pii, quality, secrets, substring_dedup, topk_search, toxicity
 
 QUERIES = {
     "op1_secrets": secrets.op1_secrets,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_decontamination": decontaminate.op8_decontamination,
     "op9_language_id": language_id.op9_language_id,
     "op10_mixing": mixing.op10_mixing,
+    "op12_merkle": merkle.op12_merkle,
 }
 
 ORACLES = {
@@ -23,4 +24,5 @@ ORACLES = {
     "op6_topk": topk_search.OP6_SQL,
     "op8_decontamination": decontaminate.OP8_SQL,
     "op10_mixing": mixing.OP10_SQL,
+    "op12_merkle": merkle.OP12_SQL,
 }

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from geoloom.llm import decontaminate, jaccard_join, language_id, merkle, mixing, pii, quality, secrets, substring_dedup, topk_search, toxicity
+from geoloom.llm import decontaminate, jaccard_join, language_id, merkle, mixing, pii, quality, secrets, simhash, substring_dedup, topk_search, toxicity, whitening
 
 QUERIES = {
     "op1_secrets": secrets.op1_secrets,
@@ -15,7 +15,9 @@ QUERIES = {
     "op8_decontamination": decontaminate.op8_decontamination,
     "op9_language_id": language_id.op9_language_id,
     "op10_mixing": mixing.op10_mixing,
+    "op11_whitening": whitening.op11_whitening,
     "op12_merkle": merkle.op12_merkle,
+    "op13_simhash": simhash.op13_simhash,
 }
 
 ORACLES = {

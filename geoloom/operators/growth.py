@@ -6,7 +6,7 @@ from itertools import count
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from geoloom.functions.vectors import distance, floored, quartiles, robust_ratio
+from geoloom.functions.vectors import clipped, distance, floored, quartiles, robust_ratio
 from geoloom.operators.components import connected_components
 from geoloom.operators.neighbors import half_edges
 from geoloom.sources.shared import materialise
@@ -48,18 +48,24 @@ def _stats(grouped) -> DataFrame:
 
 
 def boundary(edges: DataFrame, labels: DataFrame, active: DataFrame) -> DataFrame:
-    """Each edge between components once for every active component at its ends: ``comp`` scores it, ``outer`` is across."""
+    """Each edge between components once for every active component at its ends: ``comp`` scores it, ``outer`` is across, with its end ``outer_pid``."""
     between = labelled_edges(edges, labels).where("cu <> cv")
-    sides = F.array(F.struct(F.col("cu").alias("comp"), F.col("cv").alias("outer")), F.struct(F.col("cv").alias("comp"), F.col("cu").alias("outer")))
-    return between.withColumn("s", F.explode(sides)).select("u", "v", "len_o", "len_p", "s.comp", "s.outer").join(active.select("comp"), "comp", "left_semi")
+    side = lambda c, d: F.struct(F.col(f"c{c}").alias("comp"), F.col(f"c{d}").alias("outer"), F.col(d).alias("outer_pid"))
+    sides = between.withColumn("s", F.explode(F.array(side("u", "v"), side("v", "u"))))
+    return sides.select("u", "v", "len_o", "len_p", "s.comp", "s.outer", "s.outer_pid").join(active.select("comp"), "comp", "left_semi")
 
 
-def growth_scores(edges: DataFrame, labels: DataFrame, active: DataFrame, reference: DataFrame) -> DataFrame:
-    """Boundary edges with their ratios to the scoring component's internal reference edges."""
-    stats = internal_stats(reference, labels)
-    return boundary(edges, labels, active).join(stats, "comp").select(
-        "u", "v", "comp", "outer", robust_ratio(F.col("len_o"), F.col("med_o"), F.col("q75_o")).alias("ratio_o"), robust_ratio(F.col("len_p"), F.col("med_p"), F.col("q75_p")).alias("ratio_p")
-    )
+def growth_scores(edges: DataFrame, labels: DataFrame, active: DataFrame, reference: DataFrame, q25: DataFrame | None = None) -> DataFrame:
+    """Boundary edges with their ratios to the scoring component's internal reference edges.
+
+    With each point's ``q25`` also ``ratio_q``: that of the outer end, on the same scale.
+    """
+    each = boundary(edges, labels, active).join(internal_stats(reference, labels), "comp")
+    ratios = [robust_ratio(F.col("len_o"), F.col("med_o"), F.col("q75_o")).alias("ratio_o"), robust_ratio(F.col("len_p"), F.col("med_p"), F.col("q75_p")).alias("ratio_p")]
+    if q25 is not None:
+        each = each.join(q25.select(F.col("pid").alias("outer_pid"), "q25"), "outer_pid")
+        ratios.append(robust_ratio(F.col("q25"), F.col("med_o"), F.col("q75_o")).alias("ratio_q"))
+    return each.select("u", "v", "comp", "outer", "outer_pid", *ratios)
 
 
 def gate_classes(scores: DataFrame, limit: float, projected: float) -> DataFrame:
@@ -82,39 +88,84 @@ def restored(edges: DataFrame, labels: DataFrame, seeds: DataFrame, limit: float
     return inside.join(internal_stats(seeds, labels), "comp").where(F.col("len_o") <= F.col("med_o") + limit * floored(F.col("q75_o") - F.col("q25_o"))).select("u", "v")
 
 
+def seed_restoration(edges: DataFrame, labels: DataFrame, active: DataFrame, seeds: DataFrame, limit: float) -> DataFrame:
+    """``u, v`` of edges inside the large seed components (``active``) that are within the limit of their seeds' scale: what is restored before growth."""
+    large = labels.join(active.select("comp"), "comp", "left_semi").select("pid")
+    inner = edges.join(large.withColumnRenamed("pid", "u"), "u", "left_semi")
+    return restored(inner, labels, seeds, limit)
+
+
 def sequential_growth(edges: DataFrame, pts: DataFrame, seeds: DataFrame, min_edges: int, limit: float, projected: float, restore: float | None = None, mode: str = "real") -> DataFrame:
     """Grow seed components until no edge is accepted or restored.
 
-    Per round, statistics are frozen: active components (more than ``min_edges``
-    seed edges, or merged with one) score their boundary edges against their
-    reference edges, all that pass are accepted at once, and components that
-    accepted edges join become one. With ``restore``, edges inside a component
-    within that limit of the current scale join the reference (``real`` and
-    ``virtual`` modes; in ``real`` they also join the result).
+    With ``restore``, edges inside the large seed components (more than
+    ``min_edges`` seed edges) and within that limit of their seeds' scale are
+    restored first, in every mode; they are part of the reference and the result.
+
+    Per round, statistics are frozen: active components (large ones, or merged
+    with one) score their boundary edges against their reference edges, all that
+    pass are accepted at once, and components that accepted edges join become
+    one. In the modes ``real`` and ``virtual``, edges inside an active component
+    and within the limit of the current scale join the reference as well, for
+    the next round; in ``real`` they also join the result. ``seed_only`` stops
+    at what was restored first.
+
+    Returns of all edges ``u, v, seed, accepted, restored`` (the three are the
+    result) ``, virtual`` (in the reference only) and ``round``, in which growth
+    first accepted or restored an edge (0: never, or before). One written table a round.
+    """
+    return _grown(edges, pts, seeds, min_edges, limit, projected, restore, mode)[0]
+
+
+def growth_history(edges: DataFrame, pts: DataFrame, seeds: DataFrame, min_edges: int, limit: float, projected: float, restore: float | None, mode: str, q25: DataFrame, recall: DataFrame) -> DataFrame:
+    """How each edge was scored when growth first saw it at a boundary.
 
-    Returns ``u, v, seed, accepted, restored`` of all edges and ``round``, in which
-    an edge was first accepted or restored (0: never). One written table a round.
+    Returns ``u, v, round`` (from 1) ``, comp`` (of both active sides the smaller
+    component) ``, ratio_o, ratio_p, ratio_q`` (the outer end's q25 on that scale)
+    ``, outer_recall`` and ``shown_o, shown_q``, clipped to 0 to 2. An edge that no
+    active component ever bordered on has no row. Rows are only ever added: a
+    round adds the edges that have none yet.
     """
+    history = _grown(edges, pts, seeds, min_edges, limit, projected, restore, mode, q25)[1]
+    at = recall.select(F.col("pid").alias("outer_pid"), F.col("recall").alias("outer_recall"))
+    shown = {"shown_o": clipped(F.col("ratio_o")), "shown_q": clipped(F.col("ratio_q"))}
+    return history.join(at, "outer_pid", "left").withColumns(shown).select("u", "v", "round", "comp", "ratio_o", "ratio_p", "ratio_q", "outer_recall", *shown)
+
+
+def _grown(edges: DataFrame, pts: DataFrame, seeds: DataFrame, min_edges: int, limit: float, projected: float, restore: float | None, mode: str, q25: DataFrame | None = None) -> tuple[DataFrame, DataFrame | None]:
+    """The state of all edges and, with ``q25``, their first scores."""
     if mode not in ("real", "virtual", "seed_only"):
         raise ValueError(f"unknown restoration mode: {mode}")
     labels = materialise(components(pts, seeds.select("u", "v")), "comp")
-    active = component_counts(labels, seeds).where(F.col("n_edges") > min_edges).select("comp")
-    state = edges.select("u", "v", "len_o", "len_p").join(seeds.select("u", "v", F.lit(True).alias("seed")), ["u", "v"], "left").withColumns({"seed": F.coalesce("seed", F.lit(False)), "accepted": F.lit(False), "restored": F.lit(False), "round": F.lit(0)})
-    state, active = materialise(state, "growth"), materialise(active, "active")
+    active = materialise(component_counts(labels, seeds).where(F.col("n_edges") > min_edges).select("comp"), "active")
+    state = edges.select("u", "v", "len_o", "len_p").join(seeds.select("u", "v", F.lit(True).alias("seed")), ["u", "v"], "left")
+    if restore is None:
+        state = state.withColumn("restored", F.lit(False))
+    else:
+        first = seed_restoration(edges.select("u", "v", "len_o", "len_p"), labels, active, seeds, restore).withColumn("restored", F.lit(True))
+        state = state.join(first, ["u", "v"], "left")
+    flag = lambda c: F.coalesce(F.col(c), F.lit(False))
+    state = state.withColumns({"seed": flag("seed"), "restored": flag("restored"), "accepted": F.lit(False), "virtual": F.lit(False), "round": F.lit(0)})
+    state, history = materialise(state, "growth"), None
     for number in count(1):  # flags are only ever set, so a round without a new one comes
-        reference = state.where("seed or accepted or restored")
-        new = accepted(growth_scores(state, labels, active, reference), limit, projected).withColumn("_a", F.lit(True))
-        out = state.join(new, ["u", "v"], "left")
+        reference = state.where("seed or accepted or restored or virtual")
+        scores = growth_scores(state, labels, active, reference, q25)
+        if q25 is not None:
+            scores = materialise(scores, "growth_scores")
+            seen = scores.groupBy("u", "v").agg(F.min_by(F.struct("comp", "outer_pid", "ratio_o", "ratio_p", "ratio_q"), "comp").alias("s")).select("u", "v", F.lit(number).alias("round"), "s.*")
+            history = materialise(seen if history is None else history.unionByName(seen.join(history, ["u", "v"], "left_anti")), "growth_history")
+        out = state.join(accepted(scores, limit, projected).withColumn("_a", F.lit(True)), ["u", "v"], "left")
         if restore is not None and mode != "seed_only":
-            back = restored(state, labels, reference, restore)
-            inside = labelled_edges(back, labels).join(active.withColumnRenamed("comp", "cu"), "cu", "left_semi").select("u", "v").withColumn("_r", F.lit(True))
-            out = out.join(inside, ["u", "v"], "left")
+            back = labelled_edges(restored(state, labels, reference, restore), labels)
+            out = out.join(back.join(active.withColumnRenamed("comp", "cu"), "cu", "left_semi").select("u", "v", F.lit(True).alias("_r")), ["u", "v"], "left")
         else:
             out = out.withColumn("_r", F.lit(None).cast("boolean"))
-        fresh = F.coalesce(F.col("_a"), F.lit(False)) & ~F.col("accepted") | F.coalesce(F.col("_r"), F.lit(False)) & ~F.col("restored")
-        state = materialise(out.select("u", "v", "len_o", "len_p", "seed", (F.col("accepted") | F.coalesce("_a", F.lit(False))).alias("accepted"), (F.col("restored") | F.coalesce("_r", F.lit(False))).alias("restored"), F.when(fresh & (F.col("round") == 0), F.lit(number)).otherwise(F.col("round")).alias("round"), fresh.alias("_new")), "growth")
+        kind = "virtual" if mode == "virtual" else "restored"
+        fresh = flag("_a") & ~F.col("accepted") | flag("_r") & ~F.col(kind)
+        other = "restored" if kind == "virtual" else "virtual"
+        state = materialise(out.select("u", "v", "len_o", "len_p", "seed", (F.col("accepted") | flag("_a")).alias("accepted"), (F.col(kind) | flag("_r")).alias(kind), other, F.when(fresh & (F.col("round") == 0), F.lit(number)).otherwise(F.col("round")).alias("round"), fresh.alias("_new")), "growth")
         if not state.where("_new").limit(1).count():
-            return state.select("u", "v", "seed", "accepted", "restored", "round")
+            return state.select("u", "v", "seed", "accepted", "restored", "virtual", "round"), history
         state = state.drop("_new")
         pairs = labelled_edges(state.where("accepted"), labels).where("cu <> cv").select(F.col("cu").alias("u"), F.col("cv").alias("v")).distinct()
         merged = connected_components(pairs).select(F.col("node").alias("comp"), F.col("component").alias("to"))
@@ -122,15 +173,23 @@ def sequential_growth(edges: DataFrame, pts: DataFrame, seeds: DataFrame, min_ed
         active = materialise(active.join(merged, "comp", "left").select(F.coalesce("to", "comp").alias("comp")).distinct(), "active")
 
 
+def interior_restoration(edges: DataFrame, pts: DataFrame, seeds: DataFrame, state: DataFrame, limit: float | None) -> DataFrame:
+    """``u, v`` of edges that growth's result (``state``) leaves out and that lie inside one of its components, within the limit of its seeds' scale."""
+    result = state.where("seed or accepted or restored").select("u", "v")
+    labels = materialise(components(pts, result), "grown_comp")
+    return restored(edges, labels, seeds, limit).join(result, ["u", "v"], "left_anti")
+
+
 def boundary_scores(edges: DataFrame, pts: DataFrame, labels: DataFrame, large: DataFrame, q25: DataFrame, recall: DataFrame) -> DataFrame:
-    """Per boundary edge of a large component the most lenient side: its ratio against all incident edges, and the outer ends' least q25 and recall."""
-    stats = incident_stats(edges, labels)
-    sided = labelled_edges(edges, labels).where("cu <> cv")
-    sides = F.array(F.struct(F.col("cu").alias("comp"), F.col("v").alias("outer")), F.struct(F.col("cv").alias("comp"), F.col("u").alias("outer")))
-    each = sided.withColumn("s", F.explode(sides)).select("u", "v", "len_o", "s.comp", "s.outer").join(large.select("comp"), "comp", "left_semi")
-    each = each.join(stats, "comp").withColumn("ratio", robust_ratio(F.col("len_o"), F.col("med_o"), F.col("q75_o")))
-    each = each.join(q25.select(F.col("pid").alias("outer"), "q25"), "outer").join(recall.select(F.col("pid").alias("outer"), "recall"), "outer")
-    return each.groupBy("u", "v").agg(F.min_by("comp", F.struct("ratio", "comp")).alias("comp"), F.min("ratio").alias("ratio"), F.min("q25").alias("outer_q25"), F.min("recall").alias("outer_recall"))
+    """Per boundary edge of a large component the most lenient side and its ratio against all incident edges.
+
+    ``outer_q25`` is the outer end's q25 as a ratio on the scoring component's
+    scale, ``outer_recall`` its recall; each is the least of the sides.
+    """
+    each = boundary(edges, labels, large).join(incident_stats(edges, labels), "comp")
+    each = each.join(q25.select(F.col("pid").alias("outer_pid"), "q25"), "outer_pid").join(recall.select(F.col("pid").alias("outer_pid"), "recall"), "outer_pid")
+    each = each.withColumns({"ratio": robust_ratio(F.col("len_o"), F.col("med_o"), F.col("q75_o")), "ratio_q": robust_ratio(F.col("q25"), F.col("med_o"), F.col("q75_o"))})
+    return each.groupBy("u", "v").agg(F.min_by("comp", F.struct("ratio", "comp")).alias("comp"), F.min("ratio").alias("ratio"), F.min("ratio_q").alias("outer_q25"), F.min("recall").alias("outer_recall"))
 
 
 def frozen_growth_round(edges: DataFrame, labels: DataFrame, limit: float, projected: float) -> DataFrame:
@@ -174,11 +233,14 @@ def growth_added_points(pts: DataFrame, labels: DataFrame, large: DataFrame, sta
     return final.join(active, "comp", "left_semi").join(started, "pid", "left_anti").select("pid", "comp")
 
 
-def removable_edges(state: DataFrame, added: DataFrame) -> DataFrame:
-    """Edges that a cut may remove: accepted ones, and restored ones that touch a point which growth added."""
-    at = lambda c: added.select(F.col("pid").alias(c), F.lit(True).alias(f"_{c}"))
-    touched = F.coalesce("_u", "_v", F.lit(False))
-    return state.join(at("u"), "u", "left").join(at("v"), "v", "left").where(F.col("accepted") | F.col("restored") & touched).select("u", "v")
+def removable_edges(state: DataFrame, interior: DataFrame, added: DataFrame, layer: DataFrame | None = None) -> DataFrame:
+    """Edges that a cut may remove: accepted ones, and edges of the interior restoration that touch a point which growth added.
+
+    With a boundary ``layer`` (``u, v``) only those in it.
+    """
+    touched = interior.join(added.select(F.col("pid").alias("u")), "u", "left_semi").union(interior.join(added.select(F.col("pid").alias("v")), "v", "left_semi").select("u", "v"))
+    out = state.where("accepted").select("u", "v").union(touched.select("u", "v")).distinct()
+    return out if layer is None else out.join(layer.select("u", "v"), ["u", "v"], "left_semi")
 
 
 def dominant_cluster(edges: DataFrame, labels: DataFrame) -> DataFrame:
@@ -193,14 +255,17 @@ def dominant_cluster(edges: DataFrame, labels: DataFrame) -> DataFrame:
     return best.where(F.col("n") * 2 > F.col("all")).select(F.col("src").alias("pid"), "label", "n")
 
 
-def outlier_merge(edges: DataFrame, pts: DataFrame, labels: DataFrame, limit: float) -> DataFrame:
+def outlier_merge(edges: DataFrame, kept: DataFrame, pts: DataFrame, labels: DataFrame, limit: float) -> DataFrame:
     """Labels after noise points joined their dominant cluster, if their nearest member is within median + limit * IQR of its edges.
 
+    All ``edges`` vote for a point's cluster, since its own may have been left out
+    for good reason; a cluster's scale is that of the ``kept`` edges inside it, and
+    a cluster without any takes no point.
     Points within reach differ by no more than that in their distance from the
     origin, so they meet in equal or neighbouring shells of the cluster.
     """
     own = labels.select("pid", F.col("label").alias("comp"))
-    stats = internal_stats(edges, own).where("comp >= 0").select(F.col("comp").alias("label"), (F.col("med_o") + limit * floored(F.col("q75_o") - F.col("q25_o"))).alias("reach"))
+    stats = internal_stats(kept, own).where("comp >= 0").select(F.col("comp").alias("label"), (F.col("med_o") + limit * floored(F.col("q75_o") - F.col("q25_o"))).alias("reach"))
     shell = lambda x: F.floor(F.sqrt(F.aggregate(F.transform(x, lambda v: v * v), F.lit(0.0), lambda z, v: z + v)) / (F.greatest("reach", F.lit(1e-12)) * (1 + 1e-9)))
     voted = dominant_cluster(edges, labels).join(stats, "label").join(pts.select("pid", "x"), "pid")
     voted = voted.withColumn("shell", F.explode(F.array(*(shell("x") + F.lit(i) for i in (-1, 0, 1)))))

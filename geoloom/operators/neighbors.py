@@ -75,10 +75,10 @@ def selectivity(pts: DataFrame, edges: DataFrame, near: DataFrame) -> DataFrame:
 
 
 def recall(first: DataFrame, second: DataFrame, k: int) -> DataFrame:
-    """Per point the share of its k nearest in one space that are among those in the other."""
+    """Per point the share of its k nearest in one space, or of all others if there are fewer, that are among those in the other."""
     a, b = (n.where(F.col("rank") <= k).select("pid", "nid") for n in (first, second))
-    both = a.join(b, ["pid", "nid"]).groupBy("pid").agg((F.count("*") / k).alias("recall"))
-    return a.select("pid").distinct().join(both, "pid", "left").fillna(0.0, ["recall"])
+    found = a.join(b.withColumn("hit", F.lit(1)), ["pid", "nid"], "left")
+    return found.groupBy("pid").agg((F.count("hit") / F.count("*")).alias("recall"))
 
 
 def core_distance(near: DataFrame, k: int) -> DataFrame:

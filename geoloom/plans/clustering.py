@@ -11,6 +11,8 @@ from geoloom.operators import bridges as br, delaunay as dl, density as de, edge
 from geoloom.sources.shared import materialise
 
 K, LIMIT, MIN_EDGES = 50, 0.5, 2
+#: Limits of growth (original, projected) and restoration at which the seeds of ``embeddings``, few and tight, do grow.
+GROW, RESTORE = (12.0, 6.0), 5.0
 
 
 class Clustering:
@@ -88,7 +90,25 @@ class Clustering:
 
     @cached_property
     def growth(self) -> DataFrame:
-        return gr.sequential_growth(self.edges, self.pts, self.seed, MIN_EDGES, 1.6, 2.8, 2.0)
+        return materialise(gr.sequential_growth(self.edges, self.pts, self.seed, MIN_EDGES, *GROW, RESTORE), "growth_state")
+
+    @cached_property
+    def restored_first(self) -> DataFrame:
+        return gr.seed_restoration(self.edges, self.labels, self.large, self.seed, RESTORE)
+
+    @cached_property
+    def interior(self) -> DataFrame:
+        return materialise(gr.interior_restoration(self.edges, self.pts, self.seed, self.growth, None), "interior")
+
+    @cached_property
+    def kept_inside(self) -> DataFrame:
+        """Result of growth with the interior restoration."""
+        grown = self.growth.where("seed or accepted or restored").select("u", "v").union(self.interior)
+        return materialise(grown.join(self.edges.select("u", "v", "len_o", "len_p"), ["u", "v"]), "kept_inside")
+
+    @cached_property
+    def recall10(self) -> DataFrame:
+        return nb.recall(self.near, self.near_flat, 10)
 
     @cached_property
     def added(self) -> DataFrame:
@@ -99,15 +119,15 @@ class Clustering:
         return self.pred.join(self.pts.select("pid", "y"), "pid")
 
 
-def grown_labels(b: Clustering, limit: float = 1.6, projected: float = 2.8, restore: float | None = 2.0, mode: str = "real", min_edges: int = MIN_EDGES, outliers: float | None = None) -> DataFrame:
+def grown_labels(b: Clustering, limit: float = GROW[0], projected: float = GROW[1], restore: float | None = RESTORE, mode: str = "real", min_edges: int = MIN_EDGES, outliers: float | None = None) -> DataFrame:
     """Labels after the seeds: growth, components of what is retained, noise, and the outlier merge if it has a limit.
 
     Returns ``pid, label`` (-1: noise).
     """
     state = gr.sequential_growth(b.edges, b.pts, b.seed, min_edges, limit, projected, restore, mode)
-    kept = materialise(state.where("seed or accepted or restored" if mode == "real" else "seed or accepted").select("u", "v").join(b.edges, ["u", "v"]), "retained")
+    kept = materialise(state.where("seed or accepted or restored").select("u", "v").join(b.edges, ["u", "v"]), "retained")
     labels = materialise(gr.final_prediction(gr.components(b.pts, kept.select("u", "v")), kept, min_edges), "grown")
-    return labels if outliers is None else gr.outlier_merge(kept, b.pts, labels, outliers)
+    return labels if outliers is None else gr.outlier_merge(b.edges, kept, b.pts, labels, outliers)
 
 
 def cluster_labels(b: Clustering) -> DataFrame:
@@ -118,7 +138,7 @@ def cluster_labels(b: Clustering) -> DataFrame:
     state = b.growth
     grown = state.where("seed or accepted or restored").select("u", "v").join(b.edges, ["u", "v"])
     labels = materialise(gr.components(b.pts, grown.select("u", "v")), "grown_comp")
-    back = gr.restored(b.edges, labels, b.seed, 2.0)
+    back = gr.restored(b.edges, labels, b.seed, RESTORE)
     retained = materialise(grown.select("u", "v").union(back).distinct().join(b.edges.select("u", "v", "len_o", "len_p"), ["u", "v"]), "retained")
     cut = materialise(pr.vertex_cut(retained, labels, most=2, min_points=10, fraction=0.2), "cut_points")
     retained = pr.without_points(retained, cut)
@@ -181,6 +201,9 @@ ma AS (SELECT y, sum(n) AS ny FROM tab GROUP BY y), mb AS (SELECT label, sum(n)
 plabel AS (SELECT pid, label FROM pred),
 pe AS (SELECT e.u, e.v, e.len_o, e.len_p, a.label AS cu, b.label AS cv FROM edges e JOIN plabel a ON a.pid = u JOIN plabel b ON b.pid = v)"""
 
+PRE_SQL = """,
+pre AS MATERIALIZED (SELECT le.* FROM le JOIN large ON large.comp = cu JOIN stats s ON s.comp = cu WHERE cu = cv AND len_o <= med_o + 5.0 * greatest(q75_o - q25_o, 1e-12) AND NOT EXISTS (SELECT 1 FROM seed WHERE seed.u = le.u AND seed.v = le.v))"""
+
 Query = tuple[Callable[[Clustering], DataFrame], str | None, tuple[str, ...]]
 NUM = ("len_o", "len_p")
 
@@ -242,7 +265,7 @@ SELECT u, v, len_o <= mo + 0.5 * io AND len_p <= mp + 0.5 * ip AS allowed_seed,
     "knn_mutual": (lambda b: b.related.where("uv and vu").select("u", "v"), KNN_SQL + " SELECT u, v FROM related WHERE uv AND vu", ()),
     "knn_selectivity": (lambda b: b.select, KNN_SQL + " SELECT * FROM sel", ("selectivity",)),
     "recall_at_10": (
-        lambda b: nb.recall(b.near, b.near_flat, 10),
+        lambda b: b.recall10,
         KNN_SQL + """, kf AS (SELECT * FROM (SELECT a.pid, b.pid AS nid, row_number() OVER (PARTITION BY a.pid ORDER BY sqrt(pow(a.px - b.px, 2) + pow(a.py - b.py, 2)), b.pid) AS rank FROM flat a JOIN flat b ON a.pid <> b.pid) WHERE rank <= 10)
 SELECT p.pid, count(f.nid) / 10 AS recall FROM pts p LEFT JOIN knn k ON k.pid = p.pid AND k.rank <= 10 LEFT JOIN kf f ON f.pid = k.pid AND f.nid = k.nid GROUP BY p.pid""", ("recall",)),
     "core_distance": (lambda b: nb.core_distance(b.near, 15), KNN_SQL + " SELECT pid, avg(dist) AS core FROM knn WHERE rank <= 15 GROUP BY pid", ("core",)),
@@ -291,21 +314,25 @@ SELECT comp, quantile_cont(hard, 0.25) AS hard_q25, median(hard) AS hard_median,
 quantile_cont(weighted, 0.25) AS weighted_q25, median(weighted) AS weighted_median, quantile_cont(weighted, 0.75) AS weighted_q75, avg(weighted) AS weighted_mean FROM m GROUP BY comp""",
         tuple(f"{a}_{s}" for a in ("hard", "weighted") for s in ("q25", "median", "q75", "mean"))),
     "boundary_edges": (lambda b: gr.boundary(b.edges, b.labels, b.large).select("u", "v", "comp", "outer"), SEED_SQL + ' SELECT u, v, comp, outer_ AS "outer" FROM bnd', ()),
-    "growth_round_scores": (lambda b: gr.growth_scores(b.edges, b.labels, b.large, b.seed), SEED_SQL + ' SELECT u, v, comp, outer_ AS "outer", ratio_o, ratio_p FROM scores', ("ratio_o", "ratio_p")),
+    "growth_round_scores": (lambda b: gr.growth_scores(b.edges, b.labels, b.large, b.seed).drop("outer_pid"), SEED_SQL + ' SELECT u, v, comp, outer_ AS "outer", ratio_o, ratio_p FROM scores', ("ratio_o", "ratio_p")),
     "growth_gate_classes": (
         lambda b: gr.gate_classes(gr.growth_scores(b.edges, b.labels, b.large, b.seed), 1.6, 2.8),
         SEED_SQL + """ SELECT CASE WHEN ratio_o < 1.6 AND ratio_p < 2.8 THEN 'accepted' WHEN ratio_p < 2.8 THEN 'blocked_original' WHEN ratio_o < 1.6 THEN 'blocked_projected' ELSE 'blocked_both' END AS gate, count(*) AS n FROM scores GROUP BY 1""", ()),
-    "growth_round0": (lambda b: gr.accepted(gr.growth_scores(b.edges, b.labels, b.large, b.seed), 1.6, 2.8), SEED_SQL + " SELECT DISTINCT u, v FROM scores WHERE ratio_o < 1.6 AND ratio_p < 2.8", ()),
+    "seed_restoration": (lambda b: b.restored_first, SEED_SQL + PRE_SQL + " SELECT u, v FROM pre", ()),
+    "growth_round0": (
+        lambda b: gr.accepted(gr.growth_scores(b.edges, b.labels, b.large, b.seed.select("u", "v").union(b.restored_first).join(b.edges.select("u", "v", "len_o", "len_p"), ["u", "v"])), *GROW),
+        SEED_SQL + PRE_SQL + """, rst AS (SELECT cu AS comp, median(len_o) AS mo, quantile_cont(len_o, 0.75) AS qo, median(len_p) AS mp, quantile_cont(len_p, 0.75) AS qp FROM (SELECT cu, len_o, len_p FROM se UNION ALL SELECT cu, len_o, len_p FROM pre) GROUP BY cu)
+SELECT DISTINCT u, v FROM bnd JOIN rst USING (comp) WHERE (len_o - mo) / greatest(qo - mo, 1e-12) < 12 AND (len_p - mp) / greatest(qp - mp, 1e-12) < 6""", ()),
     "restore_edges": (
-        lambda b: gr.restored(b.edges, b.labels, b.seed, 2.0),
-        SEED_SQL + " SELECT le.u, le.v FROM le JOIN stats s ON s.comp = cu WHERE cu = cv AND len_o <= med_o + 2.0 * greatest(q75_o - q25_o, 1e-12) AND NOT EXISTS (SELECT 1 FROM seed WHERE seed.u = le.u AND seed.v = le.v)", ()),
+        lambda b: gr.restored(b.edges, b.labels, b.seed, RESTORE),
+        SEED_SQL + " SELECT le.u, le.v FROM le JOIN stats s ON s.comp = cu WHERE cu = cv AND len_o <= med_o + 5.0 * greatest(q75_o - q25_o, 1e-12) AND NOT EXISTS (SELECT 1 FROM seed WHERE seed.u = le.u AND seed.v = le.v)", ()),
     "boundary_scores": (
-        lambda b: gr.boundary_scores(b.edges, b.pts, b.labels, b.large, ed.incident_q25(b.edges, b.pts), nb.recall(b.near, b.near_flat, 10)).select("u", "v", "comp", "ratio", "outer_q25", "outer_recall"),
+        lambda b: gr.boundary_scores(b.edges, b.pts, b.labels, b.large, ed.incident_q25(b.edges, b.pts), b.recall10).select("u", "v", "comp", "ratio", "outer_q25", "outer_recall"),
         SEED_SQL + """, kf AS (SELECT * FROM (SELECT a.pid, b.pid AS nid, row_number() OVER (PARTITION BY a.pid ORDER BY sqrt(pow(a.px - b.px, 2) + pow(a.py - b.py, 2)), b.pid) AS rank FROM flat a JOIN flat b ON a.pid <> b.pid) WHERE rank <= 10),
 rec AS (SELECT p.pid, count(f.nid) / 10 AS recall FROM pts p LEFT JOIN knn k ON k.pid = p.pid AND k.rank <= 10 LEFT JOIN kf f ON f.pid = k.pid AND f.nid = k.nid GROUP BY p.pid),
 pq AS (SELECT src AS pid, quantile_cont(len_o, 0.25) AS q25 FROM half GROUP BY src),
-bs AS (SELECT b.*, (len_o - med_o) / greatest(q75_o - med_o, 1e-12) AS ratio, q25, recall FROM bnd b JOIN istats i ON i.comp = b.comp JOIN pq ON pq.pid = outer_pid JOIN rec ON rec.pid = outer_pid)
-SELECT u, v, arg_min(comp, ratio) AS comp, min(ratio) AS ratio, min(q25) AS outer_q25, min(recall) AS outer_recall FROM bs GROUP BY u, v""", ("ratio", "outer_q25", "outer_recall")),
+bs AS (SELECT b.*, (len_o - med_o) / greatest(q75_o - med_o, 1e-12) AS ratio, med_o, q75_o, q25, recall FROM bnd b JOIN istats i ON i.comp = b.comp JOIN pq ON pq.pid = outer_pid JOIN rec ON rec.pid = outer_pid)
+SELECT u, v, arg_min(comp, ratio) AS comp, min(ratio) AS ratio, min((q25 - med_o) / greatest(q75_o - med_o, 1e-12)) AS outer_q25, min(recall) AS outer_recall FROM bs GROUP BY u, v""", ("ratio", "outer_q25", "outer_recall")),
     "final_prediction": (lambda b: b.pred, SEED_SQL + " SELECT pid, label FROM pred", ()),
     "labels_by_size": (
         lambda b: po.labels_by_size(b.labels, 4),
@@ -315,10 +342,10 @@ SELECT u, v, arg_min(comp, ratio) AS comp, min(ratio) AS ratio, min(q25) AS oute
         SEED_SQL + """, vt AS (SELECT src, b.label, count(*) AS n FROM half JOIN plabel a ON a.pid = src AND a.label = -1 JOIN plabel b ON b.pid = dst AND b.label >= 0 GROUP BY ALL),
 rk AS (SELECT *, sum(n) OVER (PARTITION BY src) AS total, row_number() OVER (PARTITION BY src ORDER BY n DESC, label) AS r FROM vt) SELECT src AS pid, label, n FROM rk WHERE r = 1 AND n * 2 > total""", ()),
     "outlier_merge": (
-        lambda b: gr.outlier_merge(b.edges, b.pts, b.pred, 1.0),
+        lambda b: gr.outlier_merge(b.edges, b.seed, b.pts, b.pred, 1.0),
         SEED_SQL + """, vt AS (SELECT src, b.label, count(*) AS n FROM half JOIN plabel a ON a.pid = src AND a.label = -1 JOIN plabel b ON b.pid = dst AND b.label >= 0 GROUP BY ALL),
 rk AS (SELECT *, sum(n) OVER (PARTITION BY src) AS total, row_number() OVER (PARTITION BY src ORDER BY n DESC, label) AS r FROM vt), dm AS (SELECT src AS pid, label FROM rk WHERE r = 1 AND n * 2 > total),
-rc AS (SELECT cu AS label, median(len_o) + 1.0 * greatest(quantile_cont(len_o, 0.75) - quantile_cont(len_o, 0.25), 1e-12) AS reach FROM pe WHERE cu = cv AND cu >= 0 GROUP BY cu),
+rc AS (SELECT cu AS label, median(pe.len_o) + 1.0 * greatest(quantile_cont(pe.len_o, 0.75) - quantile_cont(pe.len_o, 0.25), 1e-12) AS reach FROM pe JOIN seed USING (u, v) WHERE cu = cv AND cu >= 0 GROUP BY cu),
 nr AS (SELECT d.pid, d.label, any_value(reach) AS reach, min(list_distance(p.x, q.x)) AS near FROM dm d JOIN rc USING (label) JOIN pts p ON p.pid = d.pid JOIN plabel m ON m.label = d.label JOIN pts q ON q.pid = m.pid GROUP BY d.pid, d.label)
 SELECT p.pid, CASE WHEN n.near <= n.reach THEN n.label ELSE p.label END AS label FROM plabel p LEFT JOIN nr n USING (pid)""", ()),
     "frozen_growth_round": (
@@ -451,7 +478,13 @@ SELECT r.u, r.v, CASE WHEN d > 2 THEN 1 - (n - CAST(uv AS INTEGER) - CAST(vu AS
     "sequential_growth": (lambda b: b.growth, None, ()),
     "growth_added_points": (lambda b: b.added, None, ()),
     "retained_edges": (lambda b: b.growth.where("seed or accepted or restored").select("u", "v"), None, ()),
-    "removable_edges": (lambda b: gr.removable_edges(b.growth, b.added), None, ()),
+    "interior_restoration": (lambda b: b.interior, None, ()),
+    "removable_boundary_edges": (
+        lambda b: (lambda w: gr.removable_edges(w.growth, w.interior, w.added, tp.boundary_layer(tp.triangle_support(w.triangles, w.kept_inside, w.all_edges, gr.components(w.pts, w.kept_inside)), 1)))(b.on_all_edges()), None, ()),
+    "growth_history": (
+        lambda b: gr.growth_history(b.edges, b.pts, b.seed, MIN_EDGES, *GROW, RESTORE, "real", ed.incident_q25(b.edges, b.pts), b.recall10), None,
+        ("ratio_o", "ratio_p", "ratio_q", "outer_recall", "shown_o", "shown_q")),
+    "removable_edges": (lambda b: gr.removable_edges(b.growth, b.interior, b.added), None, ()),
     "frozen_growth": (lambda b: gr.frozen_growth(b.edges, b.pred, 3.0, 3.0), None, ()),
     "triangle_gate": (lambda b: tp.triangle_gate(b.all_edges, b.labels, tp.triangle_edge_ratio(b.triangles, b.all_edges, b.labels), 0.1), None, ()),
     "hull_skip": (lambda b: tp.hull_skip(tp.hull_ratio(b.edges, tp.outer_hull(b.triangles, b.all_edges, b.edges), gr.components(b.pts, b.edges)), 0.5), None, ("hull_ratio",)),

@@ -3,7 +3,6 @@
 import itertools
 
 import numpy as np
-import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -125,30 +124,12 @@ def test_growth_reaches_a_fixpoint_and_only_coarsens(spark):
         gr.sequential_growth(e, pts, e, 1, 1.0, 1.0, mode="other")
 
 
-def test_growth_goes_on_after_200_rounds(spark, monkeypatch):
-    # rounds take a fraction of a second: tables stay in the driver, and each round is handed the next edge of a path
-    n, rounds = 206, itertools.count(1)
-    local = lambda df: spark.createDataFrame(df.toArrow())
-    path = local(edge_table(spark, [(i, i + 1) for i in range(n)]))
-    none = local(path.limit(0).withColumns({"cu": F.col("u"), "cv": F.col("v")}))
-    own = local(spark.range(n + 1).select(F.col("id").alias("pid"), F.col("id").alias("comp")))
-    monkeypatch.setattr(gr, "materialise", lambda df, name: local(df) if name == "growth" else own)
-    monkeypatch.setattr(gr, "components", lambda pts, edges: own)
-    monkeypatch.setattr(gr, "component_counts", lambda labels, edges: own.withColumn("n_edges", F.lit(3)))
-    monkeypatch.setattr(gr, "labelled_edges", lambda edges, labels: none)
-    monkeypatch.setattr(gr, "connected_components", lambda edges: own.select(F.col("pid").alias("node"), F.col("comp").alias("component")))
-    monkeypatch.setattr(gr, "growth_scores", lambda *a: next(rounds))
-    monkeypatch.setattr(gr, "accepted", lambda number, *a: spark.createDataFrame(pa.table({"u": [number], "v": [number + 1]})))
-    out = gr.sequential_growth(path, own, path.where("v = 1"), 2, 4.0, 4.0).collect()
-    assert len(out) == n and all(r.seed or r.accepted for r in out) and max(r["round"] for r in out) == n - 1
-
-
 def quarters(x):
     return np.percentile(x, [25, 50, 75])
 
 
-def brute_growth(edges, points, seeds, min_edges, limit, projected, restore):
-    """Flags of each edge by the definition: frozen statistics, all of a round at once."""
+def brute_growth(edges, points, seeds, min_edges, limit, projected, restore, mode="real"):
+    """Flags of each edge by the definition: bounded restoration in large seeds, then frozen statistics and all of a round at once."""
     parent = {p: p for p in points}
 
     def find(x):
@@ -167,9 +148,13 @@ def brute_growth(edges, points, seeds, min_edges, limit, projected, restore):
         inside[find(u)] = inside.get(find(u), 0) + 1
     active = {c for c, n in inside.items() if n > min_edges}
     large = {p for p in points if find(p) in active}
-    accepted, back = set(), set()
-    while True:
-        reference = seeds | accepted | back
+    accepted, back, virtual, seen = set(), set(), set(), {}
+    if restore is not None:
+        for c in active:
+            q, m, r = quarters([edges[e][0] for e in seeds if find(e[0]) == c])
+            back |= {e for e in edges if e not in seeds and find(e[0]) == find(e[1]) == c and edges[e][0] <= m + restore * max(r - q, 1e-12)}
+    for number in itertools.count(1):
+        reference = seeds | accepted | back | virtual
         stats = {}
         for c in {find(p) for p in points}:
             own = [e for e in reference if find(e[0]) == find(e[1]) == c]
@@ -178,16 +163,21 @@ def brute_growth(edges, points, seeds, min_edges, limit, projected, restore):
         new, again = set(), set()
         for e, (o, f) in edges.items():
             a, b = find(e[0]), find(e[1])
-            for c in {a, b} & active if a != b else ():
+            for c in sorted({a, b} & active) if a != b else ():
                 (_, m, q), (_, pm, pq) = stats[c]
+                seen.setdefault(e, (number, c, (o - m) / max(q - m, 1e-12), e[1] if a == c else e[0], m, q))
                 if (o - m) / max(q - m, 1e-12) < limit and (f - pm) / max(pq - pm, 1e-12) < projected:
                     new.add(e)
-            if a == b and a in active and e not in reference and o <= stats[a][0][1] + restore * max(stats[a][0][2] - stats[a][0][0], 1e-12):
+            if restore is not None and mode != "seed_only" and a == b and a in active and e not in reference and o <= stats[a][0][1] + restore * max(stats[a][0][2] - stats[a][0][0], 1e-12):
                 again.add(e)
-        if new <= accepted and again <= back:
+        if not new and not again:
             added = {p for p in points if p not in large and find(p) in {find(x) for x in large}}
-            return accepted, back, added
-        accepted, back = accepted | new, back | again
+            return accepted, back, virtual, added, seen
+        accepted |= new
+        if mode == "virtual":
+            virtual |= again
+        else:
+            back |= again
         for u, v in new:
             join(u, v)
         active = {find(c) for c in active}
@@ -221,20 +211,45 @@ def test_growth_on_all_delaunay_edges_by_brute_force(spark):
     edges = ed.measured(dl.edges_from_triangles(dl.delaunay(flat)), point_table(spark, np.c_[p, np.sin(p[:, 0])]), flat).collect()
     lengths = {(r.u, r.v): (r.len_o, r.len_p) for r in edges}
     cut = np.median([r.len_o for r in edges]) * 0.8
-    seeds = {e for e, (o, _) in lengths.items() if o < cut}
+    seeds = {e for e, (o, _) in lengths.items() if o < cut and sum(e) % 4}
     table = spark.createDataFrame([(*e, *x) for e, x in lengths.items()], "u long, v long, len_o double, len_p double")
     pts = spark.range(len(p)).select(F.col("id").alias("pid"))
-    seed = table.where(F.col("len_o") < cut)
-    state = spark.createDataFrame(gr.sequential_growth(table, pts, seed, 2, 4.0, 5.0, 1.0).toPandas())
-    accepted, back, added = brute_growth(lengths, range(len(p)), seeds, 2, 4.0, 5.0, 1.0)
-    rows = state.collect()
-    assert {(r.u, r.v) for r in rows if r.accepted} == accepted and {(r.u, r.v) for r in rows if r.restored} == back
+    seed = table.where((F.col("len_o") < cut) & ((F.col("u") + F.col("v")) % 4 != 0))
     labels = gr.components(pts, seed.select("u", "v"))
     large = gr.component_counts(labels, seed).where("n_edges > 2")
+    pairs = lambda rows: {(r.u, r.v) for r in rows}
+    for mode in ("real", "virtual", "seed_only"):
+        rows = gr.sequential_growth(table, pts, seed, 2, 4.0, 5.0, 1.0, mode).collect()
+        accepted, back, virtual, added, seen = brute_growth(lengths, range(len(p)), seeds, 2, 4.0, 5.0, 1.0, mode)
+        assert pairs(r for r in rows if r.accepted) == accepted and pairs(r for r in rows if r.restored) == back and pairs(r for r in rows if r.virtual) == virtual
+        assert back and (mode == "virtual") == bool(virtual)
+    q25 = {i: np.percentile([lengths[e][0] for e in lengths if i in e], 25) for i in range(len(p))}
+    recall = pts.withColumn("recall", F.col("pid") / 100)
+    for r in (got := gr.growth_history(table, pts, seed, 2, 4.0, 5.0, 1.0, "seed_only", ed.incident_q25(table, pts), recall).collect()):
+        number, comp, ratio, outer, m, q = seen[r.u, r.v]
+        assert (r["round"], r.comp) == (number, comp) and r.ratio_o == pytest.approx(ratio) and r.ratio_q == pytest.approx((q25[outer] - m) / max(q - m, 1e-12))
+        assert r.outer_recall == outer / 100 and r.shown_o == pytest.approx(min(max(ratio, 0), 2))
+    assert len(got) == len(seen)
+    state = spark.createDataFrame(gr.sequential_growth(table, pts, seed, 2, 4.0, 5.0).toPandas())
+    accepted, back, _, added, _ = brute_growth(lengths, range(len(p)), seeds, 2, 4.0, 5.0, None)
+    assert not back
     got = gr.growth_added_points(pts, labels, large, state)
     assert {r.pid for r in got.collect()} == added and added
-    removable = {(r.u, r.v) for r in gr.removable_edges(state, got).collect()}
-    assert removable == accepted | {e for e in back if set(e) & added} and removable <= {(r.u, r.v) for r in rows if r.seed or r.accepted or r.restored}
+    # interior restoration: edges inside a grown component that it lacks, within the scale of its seeds
+    root = {i: i for i in range(len(p))}
+    for u, v in sorted(seeds | accepted):
+        a, b = sorted((root[u], root[v]))
+        root = {k: a if x == b else x for k, x in root.items()}
+    inner = {e for e in lengths if root[e[0]] == root[e[1]]} - seeds - accepted
+    scale = {c: quarters([lengths[e][0] for e in seeds if root[e[0]] == c]) for c in {root[e[0]] for e in seeds}}
+    bounded = {e for e in inner if root[e[0]] in scale and lengths[e][0] <= scale[root[e[0]]][1] + 1.5 * max(scale[root[e[0]]][2] - scale[root[e[0]]][0], 1e-12)}
+    assert pairs(gr.interior_restoration(table, pts, seed, state, None).collect()) == inner
+    interior = gr.interior_restoration(table, pts, seed, state, 1.5)
+    assert pairs(interior.collect()) == bounded and bounded < inner
+    want = accepted | {e for e in bounded if set(e) & added}
+    assert pairs(gr.removable_edges(state, interior, got).collect()) == want > accepted
+    layer = table.where("u % 2 = 0").select("u", "v")
+    assert pairs(gr.removable_edges(state, interior, got, layer).collect()) == {e for e in want if e[0] % 2 == 0}
 
     label = {r.pid: r.label for r in gr.final_prediction(labels, seed, 2).collect()}
     want, rounds = brute_frozen(lengths, label, 2.0, 2.5)
@@ -269,6 +284,38 @@ def test_restoration_limits(spark):
     assert gr.restored(e, labels, e.limit(0), 2.0).count() == 0
 
 
+def test_outlier_merge_votes_with_all_edges(spark):
+    p = [(0, 0), (1, 0), (0, 1), (10, 0), (11, 0), (10, 1), (2, 0), (5.2, 0), (30, 0), (12, 0)]
+    pts = point_table(spark, p)
+    inside = [(0, 1), (0, 2), (1, 2), (3, 4), (3, 5), (4, 5)]
+    votes = [(0, 6), (1, 6), (3, 6), (1, 7), (3, 7), (4, 8), (4, 9), (5, 9), (6, 7)]
+    edges = edge_table(spark, inside + votes, [float(np.hypot(*np.subtract(p[a], p[b]))) for a, b in inside + votes])
+    kept = edge_table(spark, inside, [1, 1, 1.4, 1, 1, 1.4])
+    labels = spark.createDataFrame([(i, 0 if i < 3 else 3 if i < 6 else -1) for i in range(10)], "pid long, label long")
+    merged = lambda limit: [r.label for r in gr.outlier_merge(edges, kept, pts, labels, limit).orderBy("pid").collect()]
+    # 6: two of three votes for 0; 7: a tie; 8: far; 9: near 3 by both votes
+    assert merged(1.0) == [0, 0, 0, 3, 3, 3, 0, -1, -1, 3]
+    assert merged(100.0) == [0, 0, 0, 3, 3, 3, 0, -1, 3, 3]
+    assert [r.label for r in gr.outlier_merge(edges, kept.limit(0), pts, labels, 100.0).orderBy("pid").collect()] == [0, 0, 0, 3, 3, 3, -1, -1, -1, -1]
+
+
+def test_recall_with_few_points(spark):
+    near = nb.knn(point_table(spark, [(0, 0), (1, 0), (5, 5)]), 10)
+    assert {r.recall for r in nb.recall(near, near, 10).collect()} == {1.0}
+
+
+def test_boundary_scores_are_on_the_component_scale(spark):
+    pairs = [(0, 1), (1, 2), (0, 2), (2, 3), (3, 4)]
+    e = edge_table(spark, pairs, [1, 2, 3, 7, 5])
+    labels = spark.createDataFrame([(0, 0), (1, 0), (2, 0), (3, 3), (4, 4)], "pid long, comp long")
+    large = spark.createDataFrame([(0,)], "comp long")
+    q25 = spark.createDataFrame([(i, 10.0 + i) for i in range(5)], "pid long, q25 double")
+    recall = spark.createDataFrame([(i, i / 10) for i in range(5)], "pid long, recall double")
+    r = gr.boundary_scores(e, None, labels, large, q25, recall).collect()
+    median, q75 = np.percentile([1, 2, 3, 7], [50, 75])
+    assert [(x.u, x.v, x.comp) for x in r] == [(2, 3, 0)] and r[0].ratio == pytest.approx((7 - median) / (q75 - median)) and r[0].outer_q25 == pytest.approx((13 - median) / (q75 - median)) and r[0].outer_recall == 0.3
+
+
 def test_cost_gate_keeps_clusters_and_respects_reach(spark):
     pairs = [(0, 1), (1, 2), (2, 3), (3, 4), (4, 5), (5, 6)]
     e = edge_table(spark, pairs, [1, 1, 1, 1, 1, 50])

@@ -34,9 +34,13 @@ def robust_ratio(value: Column, median: Column, q75: Column) -> Column:
     return (value - median) / floored(q75 - median)
 
 
-def open_space(length: Column, second: Column, ratio: float = 3.0, width: float = 0.4054651081) -> Column:
-    """Sigmoid of the log ratio to the second-longest other edge; 0 where that is missing or not positive."""
-    z = (F.ln(length / F.when(second > 0, second)) - F.ln(F.lit(ratio))) / width
+#: The ratio at which the open-space score is one half, and the width of its transition (ln 1.5).
+LONG_RATIO, TRANSITION = 3.0, 0.4054651081
+
+
+def open_space(length: Column, second: Column, ratio: float = LONG_RATIO, width: float = TRANSITION) -> Column:
+    """Sigmoid of the log ratio of the second-longest other edge to the edge; 0 where there is no such edge or it has no length."""
+    z = (F.ln(floored(second / floored(length))) - F.ln(F.lit(ratio))) / width
     return F.when(F.coalesce(second, F.lit(0.0)) <= 0, F.lit(0.0)).otherwise(1 / (1 + F.exp(-F.least(F.greatest(z, F.lit(-60.0)), F.lit(60.0)))))
 
 

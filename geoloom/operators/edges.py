@@ -85,7 +85,7 @@ def top_incident(edges: DataFrame, n: int = 3) -> DataFrame:
 
 
 def second_other_length(edges: DataFrame) -> DataFrame:
-    """For each direction of an edge, the second longest other edge at its source (0 where there is none), and the open-space score."""
+    """For each direction of an edge, the second longest other edge at its source (0 where there is none), and the open-space score of the source."""
     top = top_incident(edges, 3)
     half = half_edges(edges, "len_o")
     others = half.join(top.select("src", F.col("dst").alias("other"), F.col("len_o").alias("len_other")), "src").where(F.col("other") != F.col("dst"))

@@ -7,7 +7,7 @@ from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from geoloom.operators import bridges as br, delaunay as dl, density as de, edges as ed, evaluate as ev, growth as gr, modes as mo, neighbors as nb, points as po, prune as pr, reclaim as rc, topology as tp
+from geoloom.operators import bridges as br, delaunay as dl, density as de, edges as ed, evaluate as ev, growth as gr, modes as mo, neighbors as nb, points as po, prune as pr, reclaim as rc, topology as tp, waves as wv
 from geoloom.sources.shared import materialise
 
 K, LIMIT, MIN_EDGES = 50, 0.5, 2
@@ -106,6 +106,10 @@ class Clustering:
         grown = self.growth.where("seed or accepted or restored").select("u", "v").union(self.interior)
         return materialise(grown.join(self.edges.select("u", "v", "len_o", "len_p"), ["u", "v"]), "kept_inside")
 
+    @cached_property
+    def waves(self) -> DataFrame:
+        return materialise(wv.wave_growth(wave_edges(self), self.pts, -0.5, 0, 0.25), "waves")
+
     @cached_property
     def recall10(self) -> DataFrame:
         return nb.recall(self.near, self.near_flat, 10)
@@ -130,6 +134,29 @@ def grown_labels(b: Clustering, limit: float = GROW[0], projected: float = GROW[
     return labels if outliers is None else gr.outlier_merge(b.edges, kept, b.pts, labels, outliers)
 
 
+def wave_edges(b: Clustering, relaxed: float = 1.5, tau: float = 0.1) -> DataFrame:
+    """Edges with what wave growth asks for: mutual neighbours as seeds, the relaxed gate by selective ends, open-space scores."""
+    gates = ed.relaxed_gate(b.related, b.select, LIMIT, relaxed, tau, "knn_relaxed").select("u", "v", F.col("allowed_growth").alias("relaxed"))
+    marked = ed.seed_edges(ed.hard_gate(b.related, LIMIT), "mutual").select("u", "v", "len_o", "allowed", (F.col("uv") | F.col("vu")).alias("near"), F.col("is_seed").alias("seed"))
+    return materialise(marked.join(gates, ["u", "v"]).join(wv.outer_scores(b.edges), ["u", "v"]), "wave_input")
+
+
+def wave_labels(b: Clustering, mild: float = -0.5, min_edges: int = 0, min_points: int = 10, relaxation: float | None = 0.25, bridges: int | None = 5, outliers: float | None = 1.0) -> DataFrame:
+    """The estimator: wave growth, short-path bridges of what it took go, components of enough points, outlier merge.
+
+    Returns ``pid, label``: the smallest point of the cluster, -1 for points of smaller components.
+    """
+    grown = wv.wave_growth(wave_edges(b), b.pts, mild, min_edges, relaxation).where("taken").select("u", "v").join(b.edges, ["u", "v"])
+    kept = materialise(grown, "wave_taken")
+    if bridges is not None:
+        gone = pr.short_path_bridges(kept.select("u", "v"), bridges)
+        kept = materialise(kept.join(gone, ["u", "v"], "left_anti"), "wave_kept")
+    found = materialise(gr.components(b.pts, kept.select("u", "v")), "wave_components")
+    big = found.groupBy("comp").agg(F.count("*").alias("n")).where(F.col("n") >= min_points).select("comp", F.col("comp").alias("label"))
+    labels = materialise(found.join(big, "comp", "left").select("pid", F.coalesce("label", F.lit(-1).cast("long")).alias("label")), "wave_clusters")
+    return labels if outliers is None else gr.outlier_merge(b.edges, kept, b.pts, labels, outliers)
+
+
 def cluster_labels(b: Clustering) -> DataFrame:
     """The whole plan: seeds, growth with restoration, interior restoration, vertex cuts, noise, cost-gate reclaim.
 
@@ -279,7 +306,7 @@ SELECT p.pid, count(f.nid) / 10 AS recall FROM pts p LEFT JOIN knn k ON k.pid =
         lambda b: ed.second_other_length(b.edges).select("src", "dst", "second_len", "open_space"),
         """, o AS (SELECT a.src, a.dst, a.len_o, b.len_o AS other, row_number() OVER (PARTITION BY a.src, a.dst ORDER BY b.len_o DESC, least(b.src, b.dst), greatest(b.src, b.dst)) AS r FROM half a LEFT JOIN half b ON a.src = b.src AND a.dst <> b.dst),
 s AS (SELECT src, dst, any_value(len_o) AS len_o, coalesce(max(CASE WHEN r = 2 THEN other END), 0) AS second_len FROM o GROUP BY src, dst)
-SELECT src, dst, second_len, CASE WHEN second_len <= 0 THEN 0 ELSE 1 / (1 + exp(-least(greatest((ln(len_o / second_len) - ln(3)) / 0.4054651081, -60), 60))) END AS open_space FROM s""", ("second_len", "open_space")),
+SELECT src, dst, second_len, CASE WHEN second_len <= 0 THEN 0 ELSE 1 / (1 + exp(-least(greatest((ln(greatest(second_len / greatest(len_o, 1e-12), 1e-12)) - ln(3)) / 0.4054651081, -60), 60))) END AS open_space FROM s""", ("second_len", "open_space")),
     "log_length_histogram": (
         lambda b: ed.log_length_histogram(b.edges, 32),
         """, l AS (SELECT ln(len_o) AS l FROM edges WHERE len_o > 0), bx AS (SELECT min(l) AS lo, max(l) AS hi FROM l),
@@ -458,6 +485,27 @@ SELECT le.u, le.v FROM le JOIN stats s ON s.comp = cu WHERE cu = cv AND len_o <=
     "eligible_points": (
         lambda b: tp.eligible(b.labels, tp.angular_moment(b.labels, b.all_edges, b.flat), tp.component_shape(b.triangles, tp.triangle_areas(b.triangles, b.pts, b.flat), tp.triangle_support(b.triangles, b.all_edges, b.all_edges, b.labels), b.all_edges), tp.triangle_edge_ratio(b.triangles, b.all_edges, b.labels), 1.0, 5.0, 0.1), None, ()),
     "cluster_labels": (cluster_labels, None, ("cost",)),
+    "wave_growth": (lambda b: b.waves, None, ()),
+    "wave_growth_first": (
+        lambda b: b.waves.where("wave = 1").select("u", "v", "how"),
+        SEED_SQL + """, mut AS (SELECT u, v, len_o FROM seeds WHERE allowed AND uv AND vu), bh AS (SELECT u, v FROM mut UNION SELECT v, u FROM mut),
+br AS (SELECT pid AS id, pid AS r FROM pts UNION SELECT br.id, bh.v FROM br JOIN bh ON bh.u = br.r), bl AS MATERIALIZED (SELECT id AS pid, min(r) AS comp FROM br GROUP BY id),
+loose AS (SELECT median(len_o) + 1.5 * greatest(quantile_cont(len_o, 0.75) - quantile_cont(len_o, 0.25), 1e-12) AS l_o, median(len_p) + 1.5 * greatest(quantile_cont(len_p, 0.75) - quantile_cont(len_p, 0.25), 1e-12) AS l_p FROM edges),
+wo AS (SELECT a.src, a.dst, a.len_o, b.len_o AS other, row_number() OVER (PARTITION BY a.src, a.dst ORDER BY b.len_o DESC, least(b.src, b.dst), greatest(b.src, b.dst)) AS r FROM half a LEFT JOIN half b ON a.src = b.src AND a.dst <> b.dst),
+ws AS (SELECT src, dst, any_value(len_o) AS len_o, coalesce(max(CASE WHEN r = 2 THEN other END), 0) AS second_len FROM wo GROUP BY src, dst),
+os AS MATERIALIZED (SELECT src, dst, CASE WHEN second_len <= 0 THEN 0 ELSE 1 / (1 + exp(-least(greatest((ln(greatest(second_len / greatest(len_o, 1e-12), 1e-12)) - ln(3)) / 0.4054651081, -60), 60))) END AS score FROM ws),
+we AS MATERIALIZED (SELECT s.u, s.v, s.len_o, s.allowed, uv OR vu AS near, allowed AND uv AND vu AS seed, a.comp AS cu, b.comp AS cv, ou.score AS open_u, ov.score AS open_v,
+  allowed OR ((uv OR vu) AND len_o <= l_o AND len_p <= l_p AND greatest(CASE WHEN uv THEN su.selectivity ELSE 0 END, CASE WHEN vu THEN sv.selectivity ELSE 0 END) > 0.1) AS relaxed
+  FROM seeds s JOIN bl a ON a.pid = s.u JOIN bl b ON b.pid = s.v JOIN sel su ON su.pid = s.u JOIN sel sv ON sv.pid = s.v JOIN os ou ON ou.src = s.u AND ou.dst = s.v JOIN os ov ON ov.src = s.v AND ov.dst = s.u, loose),
+wc AS MATERIALIZED (SELECT cu AS comp, count(*) AS n_edges, median(len_o) AS med, greatest(quantile_cont(len_o, 0.75) - quantile_cont(len_o, 0.25), 1e-12) AS iqr FROM we WHERE seed GROUP BY cu),
+wr AS MATERIALIZED (SELECT wc.*, row_number() OVER (ORDER BY n_edges DESC, n DESC, comp) AS place FROM wc JOIN (SELECT comp, count(*) AS n FROM bl GROUP BY comp) USING (comp)),
+tc AS (SELECT cu, cv FROM we WHERE cu <> cv AND (seed OR allowed OR relaxed AND near) UNION SELECT cv, cu FROM we WHERE cu <> cv AND (seed OR allowed OR relaxed AND near)),
+ld AS (SELECT * FROM wr w WHERE NOT EXISTS (SELECT 1 FROM tc JOIN wr o ON o.comp = tc.cv WHERE tc.cu = w.comp AND o.place < w.place)),
+jd AS (SELECT u, v, CASE WHEN allowed AND len_o <= med - 0.5 * iqr THEN 'automatic'
+  WHEN allowed AND len_o > med - 0.5 * iqr AND NOT near AND len_o <= med - 0.5 * iqr + 0.25 * iqr * CASE WHEN cu = cv THEN greatest(open_u, open_v) WHEN cu = comp THEN open_v ELSE open_u END THEN 'open_space'
+  WHEN relaxed AND near AND len_o > med - 0.5 * iqr THEN 'near' END AS how FROM we JOIN ld ON comp IN (cu, cv) WHERE NOT seed)
+SELECT u, v, min(how) AS how FROM jd WHERE how IS NOT NULL GROUP BY u, v""", ()),
+    "wave_labels": (wave_labels, None, ()),
     "run_summary": (run_summary, None, ()),
     "two_hop_selectivity": (
         lambda b: nb.two_hop_selectivity(b.related, b.select),

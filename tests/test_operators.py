@@ -85,7 +85,7 @@ def test_standardize_constant_feature(spark):
 
 
 def test_scalars(spark):
-    row = spark.range(1).select(clipped(F.lit(None).cast("double")).alias("n"), clipped(F.lit(5.0)).alias("c"), floored(F.lit(0.0)).alias("f"), robust_ratio(F.lit(3.0), F.lit(1.0), F.lit(2.0)).alias("r"), open_space(F.lit(3.0), F.lit(0.0)).alias("o"), open_space(F.lit(3.0), F.lit(1.0)).alias("h")).first()
+    row = spark.range(1).select(clipped(F.lit(None).cast("double")).alias("n"), clipped(F.lit(5.0)).alias("c"), floored(F.lit(0.0)).alias("f"), robust_ratio(F.lit(3.0), F.lit(1.0), F.lit(2.0)).alias("r"), open_space(F.lit(3.0), F.lit(0.0)).alias("o"), open_space(F.lit(1.0), F.lit(3.0)).alias("h")).first()
     assert row.n is None and row.c == 2 and row.f == 1e-12 and row.r == 2 and row.o == 0 and abs(row.h - 0.5) < 1e-9
 
 

@@ -7,7 +7,7 @@ from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from geoloom.operators import bridges as br, delaunay as dl, density as de, edges as ed, evaluate as ev, growth as gr, modes as mo, neighbors as nb, points as po, prune as pr, reclaim as rc, topology as tp, waves as wv
+from geoloom.operators import bridges as br, delaunay as dl, density as de, edges as ed, evaluate as ev, growth as gr, mergetree as mt, modes as mo, neighbors as nb, points as po, prune as pr, reclaim as rc, topology as tp, waves as wv
 from geoloom.sources.shared import materialise
 
 K, LIMIT, MIN_EDGES = 50, 0.5, 2
@@ -110,6 +110,10 @@ class Clustering:
     def waves(self) -> DataFrame:
         return materialise(wv.wave_growth(wave_edges(self), self.pts, -0.5, 0, 0.25), "waves")
 
+    @cached_property
+    def spanning(self) -> DataFrame:
+        return materialise(de.spanning_tree(self.pts, self.near, 10), "spanning_tree")
+
     @cached_property
     def recall10(self) -> DataFrame:
         return nb.recall(self.near, self.near_flat, 10)
@@ -171,7 +175,7 @@ def cluster_labels(b: Clustering) -> DataFrame:
     retained = pr.without_points(retained, cut)
     labels = materialise(gr.components(b.pts, retained.select("u", "v")), "final_comp")
     noise = materialise(gr.final_prediction(labels, retained, MIN_EDGES), "noise")
-    return rc.cost_gate(b.edges, noise, nb.core_distance(b.near, 15))
+    return rc.cost_gate(b.edges, noise, nb.core_distance(b.near, 15)).select("pid", "label", "cost")
 
 
 def run_summary(b: Clustering) -> DataFrame:
@@ -452,6 +456,9 @@ FROM edges e LEFT JOIN b1 ON b1.u = e.u AND b1.v = e.v LEFT JOIN b2 ON b2.u = e.
     "bridge_mlp": (lambda b: br.bridge_classifier(br.bridge_features(b.edges, 64), br.keep_or_prune(b.edges, b.pts)), None, ("probability",)),
     "cost_gate": (lambda b: rc.cost_gate(b.edges, b.pred, nb.core_distance(b.near, 15)), None, ("cost",)),
     "mst_weight": (lambda b: de.spanning_tree(b.pts, b.near, 10).agg(F.count("*").alias("n_edges"), F.sum("weight").alias("weight")), None, ("weight",)),
+    "condensed_tree": (lambda b: mt.condensed(*mt.merge_tree(b.pts, b.spanning), 5)[0], None, ("birth", "stability")),
+    "hdbscan_eom": (lambda b: mt.density_labels(b.pts, b.spanning, 5).select("pid", "label"), None, ()),
+    "hdbscan_leaf": (lambda b: mt.density_labels(b.pts, b.spanning, 5, "leaf").select("pid", "label"), None, ()),
     "hdbscan_cut": (lambda b: de.density_cut(b.pts, de.spanning_tree(b.pts, b.near, 10), 1.3, 10), None, ()),
     "edge_redundancy": (lambda b: pr.edge_redundancy(b.edges, gr.components(b.pts, b.edges), 3), None, ()),
     "redundancy_prune": (lambda b: pr.redundancy_prune(pr.edge_redundancy(b.edges, gr.components(b.pts, b.edges), 3), 3, 1, 0.99), None, ()),

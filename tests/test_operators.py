@@ -1,5 +1,6 @@
 """Operators on small fixtures with known answers, and against brute force."""
 
+import heapq
 import itertools
 
 import numpy as np
@@ -325,6 +326,47 @@ def test_cost_gate_keeps_clusters_and_respects_reach(spark):
     assert got == {0: 0, 1: 0, 2: 0, 3: 0, 4: 0, 5: -1, 6: -1}
 
 
+def heap_claims(edges, label, core, power, penalty, reach, clip):
+    """Claims by the definition: a heap in the order of cost, point, cluster and edge."""
+    clusters = {c for c in label.values() if c >= 0}
+    inside = {c: [w for (u, v), w in edges.items() if label[u] == label[v] == c] for c in clusters}
+    avg = {c: max(np.mean(x) if x else np.median(list(edges.values())), 1e-12) for c, x in inside.items()}
+    ref = {c: max(np.median([core[p] for p in label if label[p] == c]), 1e-12) for c in clusters}
+
+    def step(e, p, c):
+        ratio = max(core[p], 1e-12) / ref[c]
+        return (edges[e] * (max(ratio, 1) if clip else ratio) ** power / avg[c]) ** (1 + penalty)
+
+    heap = [(step(e, q, label[p]), q, label[p], e) for e in edges for p, q in (e, e[::-1]) if label[p] >= 0 > label[q]]
+    heap, owner = [h for h in heap if h[0] <= reach], {}
+    heapq.heapify(heap)
+    while heap:
+        cost, p, c, e = heapq.heappop(heap)
+        if p in owner:
+            continue
+        owner[p] = c, cost, *e
+        for f in edges:
+            if p in f:
+                q = f[0] if f[1] == p else f[1]
+                if label[q] < 0 and q not in owner and cost + step(f, q, c) <= reach:
+                    heapq.heappush(heap, (cost + step(f, q, c), q, c, f))
+    return owner
+
+
+@pytest.mark.parametrize("clip,lengths", [(False, (0.5, 1.0, 1.5)), (True, (0.0, 1.0))])
+def test_cost_gate_equals_a_heap(spark, clip, lengths):
+    rng = np.random.default_rng(9)
+    pairs = sorted({tuple(sorted(rng.choice(70, 2, replace=False).tolist())) for _ in range(150)})
+    edges = {e: float(rng.choice(lengths)) for e in pairs}
+    label = {i: (0, 1, 2, -1, -1, -1, -1)[i % 7] if i < 60 else -1 for i in range(70)}
+    core = {i: float(rng.choice([0.5, 1.0, 2.0])) for i in range(70)}
+    want = heap_claims(edges, label, core, 0.5, 0.5, 6.0, clip)
+    table = edge_table(spark, pairs, list(edges.values()))
+    got = rc.cost_gate(table, spark.createDataFrame(list(label.items()), "pid long, label long"), spark.createDataFrame(list(core.items()), "pid long, core double"), reach=6.0, clip=clip).collect()
+    assert {r.pid: (r.label, pytest.approx(r.cost), r.u, r.v) for r in got if r.cost is not None} == want and len(want) > 15
+    assert all(r.label == label[r.pid] for r in got if r.cost is None)
+
+
 def test_spanning_forest_matches_prim(spark):
     rng = np.random.default_rng(3)
     p = rng.normal(size=(30, 2))

@@ -114,6 +114,10 @@ class Clustering:
     def spanning(self) -> DataFrame:
         return materialise(de.spanning_tree(self.pts, self.near, 10), "spanning_tree")
 
+    @cached_property
+    def redundancy(self) -> DataFrame:
+        return materialise(pr.edge_redundancy(self.edges, gr.components(self.pts, self.edges)), "redundancy")
+
     @cached_property
     def recall10(self) -> DataFrame:
         return nb.recall(self.near, self.near_flat, 10)
@@ -171,7 +175,7 @@ def cluster_labels(b: Clustering) -> DataFrame:
     labels = materialise(gr.components(b.pts, grown.select("u", "v")), "grown_comp")
     back = gr.restored(b.edges, labels, b.seed, RESTORE)
     retained = materialise(grown.select("u", "v").union(back).distinct().join(b.edges.select("u", "v", "len_o", "len_p"), ["u", "v"]), "retained")
-    cut = materialise(pr.vertex_cut(retained, labels, most=2, min_points=10, fraction=0.2), "cut_points")
+    cut = materialise(pr.vertex_cut(retained, labels, min_points=10, fraction=0.2), "cut_points")
     retained = pr.without_points(retained, cut)
     labels = materialise(gr.components(b.pts, retained.select("u", "v")), "final_comp")
     noise = materialise(gr.final_prediction(labels, retained, MIN_EDGES), "noise")
@@ -460,10 +464,16 @@ FROM edges e LEFT JOIN b1 ON b1.u = e.u AND b1.v = e.v LEFT JOIN b2 ON b2.u = e.
     "hdbscan_eom": (lambda b: mt.density_labels(b.pts, b.spanning, 5).select("pid", "label"), None, ()),
     "hdbscan_leaf": (lambda b: mt.density_labels(b.pts, b.spanning, 5, "leaf").select("pid", "label"), None, ()),
     "hdbscan_cut": (lambda b: de.density_cut(b.pts, de.spanning_tree(b.pts, b.near, 10), 1.3, 10), None, ()),
-    "edge_redundancy": (lambda b: pr.edge_redundancy(b.edges, gr.components(b.pts, b.edges), 3), None, ()),
-    "redundancy_prune": (lambda b: pr.redundancy_prune(pr.edge_redundancy(b.edges, gr.components(b.pts, b.edges), 3), 3, 1, 0.99), None, ()),
-    "vertex_cut": (lambda b: pr.vertex_cut(b.edges, gr.components(b.pts, b.edges), most=2, min_points=10, fraction=0.05), None, ()),
-    "gomory_hu_cuts": (lambda b: pr.gomory_hu_cuts(b.seed, b.labels, 1, 2, 0.2), None, ()),
+    "edge_redundancy": (lambda b: b.redundancy, None, ()),
+    "bridges": (
+        lambda b: b.redundancy.where("redundancy = 0").select("u", "v"),
+        """, bs AS MATERIALIZED (SELECT e.u, e.v FROM edges e JOIN (SELECT src, count(*) AS n FROM half GROUP BY src) a ON a.src = e.u)
+SELECT u, v FROM bs WHERE NOT EXISTS (WITH RECURSIVE r AS (SELECT bs.u AS p UNION SELECT h.dst FROM r JOIN half h ON h.src = r.p WHERE NOT (h.src = bs.u AND h.dst = bs.v)) SELECT 1 FROM r WHERE p = bs.v)""", ()),
+    "redundancy_histogram": (lambda b: pr.redundancy_histogram(b.redundancy), None, ()),
+    "redundancy_prune": (lambda b: pr.redundancy_prune(b.redundancy, 2, 1, 0.99), None, ()),
+    "articulation_points": (lambda b: pr.articulation_points(b.edges), None, ()),
+    "vertex_cut": (lambda b: pr.vertex_cut(b.edges, gr.components(b.pts, b.edges), min_points=2, fraction=0.0), None, ()),
+    "gomory_hu_cuts": (lambda b: pr.balanced_bridges(b.seed, b.labels, 2, 0.2), None, ()),
     "ami": (
         lambda b: ev.adjusted_information(b.truth),
         SEED_SQL + """, z AS (SELECT a.ny AS a, b.nl AS b, m, unnest(range(CAST(greatest(1, a.ny + b.nl - m) AS BIGINT), CAST(least(a.ny, b.nl) AS BIGINT) + 1)) AS n FROM ma a, mb b, mt),

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from geoloom.functions.vectors import distance, floored, open_space, quartiles
+from geoloom.functions.vectors import distance, floored, open_space
 from geoloom.operators.neighbors import half_edges
+from geoloom.operators.ranking import exact_quantiles
 
 
 def measured(edges: DataFrame, pts: DataFrame, flat: DataFrame) -> DataFrame:
@@ -21,7 +22,8 @@ def measured(edges: DataFrame, pts: DataFrame, flat: DataFrame) -> DataFrame:
 
 def quartile_row(edges: DataFrame, column: str) -> DataFrame:
     """One row: ``q25, median, q75, iqr`` (floored) ``, mean``."""
-    return edges.agg(quartiles(F.col(column)).alias("q"), F.avg(column).alias("mean")).select(
+    q = exact_quantiles(edges, column, (0.25, 0.5, 0.75))
+    return q.crossJoin(F.broadcast(edges.agg(F.avg(column).alias("mean")))).select(
         F.col("q")[0].alias("q25"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q75"), floored(F.col("q")[2] - F.col("q")[0]).alias("iqr"), "mean"
     )
 
@@ -96,16 +98,16 @@ def second_other_length(edges: DataFrame) -> DataFrame:
 
 def length_moments(edges: DataFrame, column: str = "len_o") -> DataFrame:
     """Median, IQR, 5th and 95th percentile, mean, deviation, skewness and excess kurtosis of a length."""
-    q = F.percentile(F.col(column), F.array(*map(F.lit, (0.05, 0.25, 0.5, 0.75, 0.95))))
-    return edges.agg(q.alias("q"), F.avg(column).alias("mean"), F.stddev_pop(column).alias("std"), F.skewness(column).alias("skew"), F.kurtosis(column).alias("kurtosis")).select(
+    q = exact_quantiles(edges, column, (0.05, 0.25, 0.5, 0.75, 0.95))
+    return q.crossJoin(F.broadcast(edges.agg(F.avg(column).alias("mean"), F.stddev_pop(column).alias("std"), F.skewness(column).alias("skew"), F.kurtosis(column).alias("kurtosis")))).select(
         F.col("q")[2].alias("median"), (F.col("q")[3] - F.col("q")[1]).alias("iqr"), F.col("q")[0].alias("p05"), F.col("q")[4].alias("p95"), "mean", "std", "skew", "kurtosis"
     )
 
 
 def incident_q25(edges: DataFrame, pts: DataFrame) -> DataFrame:
     """25th percentile of each point's incident lengths; the global one where there is no edge."""
-    per = half_edges(edges, "len_o").groupBy(F.col("src").alias("pid")).agg(F.percentile("len_o", F.lit(0.25)).alias("q"))
-    all_q = edges.agg(F.percentile("len_o", F.lit(0.25)).alias("all_q"))
+    per = exact_quantiles(half_edges(edges, "len_o").withColumnRenamed("src", "pid"), "len_o", (0.25,), ("pid",)).select("pid", F.col("q")[0].alias("q"))
+    all_q = exact_quantiles(edges, "len_o", (0.25,)).select(F.col("q")[0].alias("all_q"))
     return pts.select("pid").join(per, "pid", "left").crossJoin(F.broadcast(all_q)).select("pid", F.coalesce("q", "all_q").alias("q25"))
 
 

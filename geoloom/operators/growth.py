@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from geoloom.functions.vectors import clipped, distance, floored, quartiles, robust_ratio
 from geoloom.operators.components import connected_components
 from geoloom.operators.neighbors import half_edges
+from geoloom.operators.ranking import SMALL, exact_quantiles
 from geoloom.sources.shared import materialise
 
 
@@ -33,17 +34,22 @@ def component_counts(labels: DataFrame, edges: DataFrame) -> DataFrame:
 def internal_stats(edges: DataFrame, labels: DataFrame) -> DataFrame:
     """Quartiles of each component's internal edges in both spaces."""
     inside = labelled_edges(edges, labels).where("cu = cv")
-    return _stats(inside.groupBy(F.col("cu").alias("comp")))
+    return _stats(inside.select("len_o", "len_p", F.col("cu").alias("comp")))
 
 
 def incident_stats(edges: DataFrame, labels: DataFrame) -> DataFrame:
     """Quartiles of all edges that touch a component, each once."""
-    touch = labelled_edges(edges, labels).select("len_o", "len_p", F.explode(F.array_distinct(F.array("cu", "cv"))).alias("comp"))
-    return _stats(touch.groupBy("comp"))
+    return _stats(labelled_edges(edges, labels).select("len_o", "len_p", F.explode(F.array_distinct(F.array("cu", "cv"))).alias("comp")))
 
 
-def _stats(grouped) -> DataFrame:
-    out = grouped.agg(quartiles(F.col("len_o")).alias("o"), quartiles(F.col("len_p")).alias("p"), F.count("*").alias("n_edges"))
+def _stats(lengths: DataFrame, small: int = SMALL) -> DataFrame:
+    """Up to ``small`` edges in one pass; more through the rounds of :func:`exact_quantiles`."""
+    if lengths.count() <= small:
+        out = lengths.groupBy("comp").agg(quartiles(F.col("len_o")).alias("o"), quartiles(F.col("len_p")).alias("p"), F.count("*").alias("n_edges"))
+    else:
+        lengths = materialise(lengths, "component_lengths")
+        q = lambda c, name: exact_quantiles(lengths, c, (0.25, 0.5, 0.75), ("comp",), small).withColumnRenamed("q", name)
+        out = q("len_o", "o").join(q("len_p", "p"), "comp").join(lengths.groupBy("comp").agg(F.count("*").alias("n_edges")), "comp")
     return out.select("comp", "n_edges", F.col("o")[0].alias("q25_o"), F.col("o")[1].alias("med_o"), F.col("o")[2].alias("q75_o"), F.col("p")[1].alias("med_p"), F.col("p")[2].alias("q75_p"))
 
 

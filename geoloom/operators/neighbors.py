@@ -8,33 +8,88 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
+from geoloom.sources.shared import materialise
+
 BLOCK = 4_096  # points of one block
+PIVOTS = 2_048  # at most; the table of pivots is sent to all tasks
+
+
+def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return np.asarray(column.flatten().to_numpy(zero_copy_only=False), float).reshape(len(column), -1)
+
 
+def _gaps(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Distances of all rows of both, to rounding."""
+    return np.sqrt(np.maximum((x**2).sum(1)[:, None] + (y**2).sum(1)[None] - 2 * x @ y.T, 0))
+
+
+def cells(pts: DataFrame, block: int = BLOCK, vector: str = "x") -> tuple[DataFrame, np.ndarray, np.ndarray, np.ndarray]:
+    """Points by their nearest pivot: ``pid, x, cell, sub``, and each cell's pivot, radius and number of blocks.
+
+    Pivots are the points of the least hashes, one for each block. A cell of more
+    than one block is dealt to several by a hash of the id.
+    """
+    own = pts.select("pid", F.col(vector).cast("array<double>").alias("x")).where("pid is not null and x is not null")
+    n = own.count()
+    chosen = own.orderBy(F.xxhash64("pid", F.lit("pivot")), "pid").limit(max(1, min(PIVOTS, n // block))).toArrow()
+    pivots = _matrix(chosen.column("x")) if n else np.zeros((0, 0))
 
-def knn(pts: DataFrame, k: int, vector: str = "x") -> DataFrame:
+    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, batch.num_rows, 1024):
+                part = batch.slice(i, 1024)
+                gap = _gaps(_matrix(part.column(1)), pivots)
+                near = gap.argmin(1)
+                yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), part.column(1), pa.array(near.astype(np.int64)), pa.array(gap[np.arange(len(near)), near])], ["pid", "x", "cell", "far"])
+
+    dealt = materialise(own.mapInArrow(assign, "pid long, x array<double>, cell long, far double"), "cells")
+    radius, blocks = np.zeros(len(pivots)), np.ones(len(pivots), np.int64)
+    for r in dealt.groupBy("cell").agg(F.count("*").alias("n"), F.max("far").alias("r")).collect():  # PIVOTS rows at most
+        radius[r.cell], blocks[r.cell] = r.r, -(-r.n // block)
+    parts = F.array(*(F.lit(int(x)) for x in blocks)) if len(blocks) else F.array(F.lit(1))
+    sub = F.pmod(F.xxhash64("pid"), F.get(parts, F.col("cell").cast("int")))
+    return dealt.select("pid", "x", "cell", sub.alias("sub")), pivots, radius, blocks
+
+
+def knn(pts: DataFrame, k: int, vector: str = "x", block: int = BLOCK) -> DataFrame:
     """``pid, nid, rank, dist``: each point's k nearest others, ties to the smaller id.
 
-    Points are packed into blocks; every block of queries meets every block of
-    candidates as one matrix product and gives k rows a query, which a ranked
-    window merges. The point itself is left out by id, so duplicates are
-    neighbours at distance 0.
+    Points are packed into blocks by their nearest pivot. In a first pass each block
+    meets those of its own cell, which bounds every point's k-th distance. In a
+    second one it meets the blocks of the other cells that may hold something
+    nearer: those whose pivot is no further from the point than that bound and the
+    cell's radius together. A meeting is one matrix product and gives k rows a query
+    at most. The point itself is left out by id, so duplicates are neighbours at distance 0.
     """
-    blocks = max(1, -(-pts.count() // BLOCK))
+    return _nearest(pts, k, vector, block)[0]
+
+
+def skipped_share(pts: DataFrame, k: int, block: int = BLOCK) -> float:
+    """Share of the pairs of blocks in different cells that :func:`knn` never compares."""
+    _, asked, blocks = _nearest(pts, k, "x", block)
+    own = int((blocks**2).sum())
+    return 1 - asked.where("part <> cell").count() / max(1, int(blocks.sum()) ** 2 - own)
+
+
+def _nearest(pts: DataFrame, k: int, vector: str, block: int) -> tuple[DataFrame, DataFrame, np.ndarray]:
+    placed, pivots, radius, blocks = cells(pts, block, vector)
 
     def pack(key, t):
-        x = np.array(t.column("x").to_pylist(), float)
-        return pa.table({"part": pa.array([key[0].as_py()], pa.int64()), "ids": pa.array([t.column("pid").to_numpy().astype(np.int64).tobytes()], pa.binary()), "x": pa.array([x.tobytes()], pa.binary())})
+        bound = t.column("bound").fill_null(np.inf).to_numpy() if "bound" in t.column_names else np.full(len(t), np.inf)
+        made = {"ids": t.column("pid").to_numpy().astype(np.int64), "x": _matrix(t.column("x")), "bounds": bound}
+        return pa.table({"cell": pa.array([key[0].as_py()], pa.int64()), "sub": pa.array([key[1].as_py()], pa.int64()), **{c: pa.array([v.tobytes()], pa.binary()) for c, v in made.items()}})
 
-    packed = pts.select("pid", F.col(vector).alias("x")).where("pid is not null and x is not null").withColumn("part", F.pmod(F.xxhash64("pid"), F.lit(blocks))).groupBy("part").applyInArrow(pack, "part long, ids binary, x binary")
-    asked = packed.select(F.col("ids").alias("q_ids"), F.col("x").alias("q")).withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
+    kind = "cell long, sub long, ids binary, x binary, bounds binary"
+    packed = materialise(placed.groupBy("cell", "sub").applyInArrow(pack, kind), "blocks")
 
-    def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for ids, x, q_ids, q in zip(*(batch.column(c).to_pylist() for c in ("ids", "x", "q_ids", "q"))):
-                ids, q_ids = np.frombuffer(ids, np.int64), np.frombuffer(q_ids, np.int64)
+            for ids, x, q_ids, q, bounds in zip(*(batch.column(c).to_pylist() for c in ("ids", "x", "q_ids", "q", "bounds"))):
+                ids, q_ids, bounds = np.frombuffer(ids, np.int64), np.frombuffer(q_ids, np.int64), np.frombuffer(bounds)
                 order = np.argsort(ids)
                 ids, x = ids[order], np.frombuffer(x).reshape(len(order), -1)[order]
-                q = np.frombuffer(q).reshape(len(q_ids), -1)
+                q, out = np.frombuffer(q).reshape(len(q_ids), -1), []
                 for i in range(0, len(q), 256):
                     part = q[i : i + 256]
                     rough = (part**2).sum(1)[:, None] + (x**2).sum(1)[None] - 2 * part @ x.T
@@ -46,11 +101,39 @@ def knn(pts: DataFrame, k: int, vector: str = "x") -> DataFrame:
                             some = some[row[some] <= edge + 1e-9 * (1 + abs(edge))]
                         dist = np.sqrt(((x[some] - part[j]) ** 2).sum(1))
                         best = np.lexsort((ids[some], dist))[:k]
-                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(best), q_ids[i + j])), pa.array(ids[some][best]), pa.array(dist[best])], ["pid", "nid", "dist"])
-
-    near = packed.join(asked, "part").select("ids", "x", "q_ids", "q").mapInArrow(nearest, "pid long, nid long, dist double")
-    rank = F.row_number().over(Window.partitionBy("pid").orderBy("dist", "nid"))
-    return near.withColumn("rank", rank).where(F.col("rank") <= k).select("pid", "nid", "rank", "dist")
+                        best = best[dist[best] <= bounds[i + j]]
+                        out.append((np.full(len(best), q_ids[i + j]), ids[some][best], dist[best]))
+                columns = [np.concatenate(c) for c in zip(*out)] if out else [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["pid", "nid", "dist"])
+
+    def found(asked: DataFrame) -> DataFrame:
+        asked = asked.select(F.col("part").alias("cell"), F.col("part_sub").alias("sub"), F.col("ids").alias("q_ids"), F.col("x").alias("q"), "bounds")
+        return packed.drop("bounds").join(asked, ["cell", "sub"]).select("ids", "x", "q_ids", "q", "bounds").mapInArrow(meet, "pid long, nid long, dist double")
+
+    count = F.get(F.array(*(F.lit(int(b)) for b in blocks)) if len(blocks) else F.array(F.lit(1)), F.col("part").cast("int"))
+    to_blocks = lambda df: df.withColumn("part_sub", F.explode(F.sequence(F.lit(0).cast("long"), count - 1)))
+    best = lambda df: df.withColumn("rank", F.row_number().over(Window.partitionBy("pid").orderBy("dist", "nid"))).where(F.col("rank") <= k)
+    first = materialise(best(found(to_blocks(packed.withColumn("part", F.col("cell"))))), "nearest_in_cell")
+    if len(blocks) < 2:
+        return first.select("pid", "nid", "rank", "dist"), packed.limit(0).withColumn("part", F.col("cell")), blocks
+    kth = first.where(F.col("rank") == k).select("pid", F.col("dist").alias("bound"))
+    bounded = placed.join(kth, "pid", "left").groupBy("cell", "sub").applyInArrow(pack, kind)
+
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """For every block the other cells that some of its points need, with just those points."""
+        for batch in batches:
+            for cell, sub, ids, x, bounds in zip(*(c.to_pylist() for c in batch.columns)):
+                ids, bounds = np.frombuffer(ids, np.int64), np.frombuffer(bounds)
+                x = np.frombuffer(x).reshape(len(ids), -1)
+                gap = _gaps(x, pivots)
+                need = gap <= (bounds[:, None] + radius[None]) * (1 + 1e-9) + 1e-7 * (1 + gap)
+                need[:, cell] = False
+                for other in np.flatnonzero(need.any(0)).tolist():
+                    rows = need[:, other]
+                    yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in ((cell, pa.int64()), (sub, pa.int64()), (ids[rows].tobytes(), pa.binary()), (x[rows].tobytes(), pa.binary()), (bounds[rows].tobytes(), pa.binary()), (other, pa.int64()))], ["cell", "sub", "ids", "x", "bounds", "part"])
+
+    asked = to_blocks(materialise(bounded.mapInArrow(choose, kind + ", part long"), "asked_blocks"))
+    return best(found(asked).unionByName(first.select("pid", "nid", "dist"))).select("pid", "nid", "rank", "dist"), asked, blocks
 
 
 def edge_relation(edges: DataFrame, near: DataFrame) -> DataFrame:

@@ -80,6 +80,23 @@ def test_knn_matches_brute_force(spark):
         assert [got[i, k] for k in range(1, 5)] == np.lexsort((np.arange(60), d[i]))[:4].tolist()
 
 
+def test_knn_skips_far_cells(spark):
+    rng = np.random.default_rng(12)
+    p = np.concatenate([rng.normal(size=(45, 6)) + 40 * rng.normal(size=6) for _ in range(8)])
+    p[5], p[50] = p[3], 1e4
+    pts = point_table(spark, p)
+    got = {(r.pid, r["rank"]): (r.nid, r.dist) for r in nb.knn(pts, 7, block=16).collect()}
+    d = np.sqrt(((p[:, None] - p[None]) ** 2).sum(2))
+    np.fill_diagonal(d, np.inf)
+    for i in range(len(p)):
+        want = np.lexsort((np.arange(len(p)), d[i]))[:7]
+        assert [got[i, j + 1] for j in range(7)] == [(w, pytest.approx(d[i, w])) for w in want]
+    share = nb.skipped_share(pts, 7, 16)
+    print(f"share of pairs of blocks skipped: {share:.2f}")
+    assert share > 0.6 and len(got) == 7 * len(p)
+    assert nb.knn(pts.limit(0), 3).count() == 0 and nb.knn(pts.limit(3), 5, block=1).count() == 6
+
+
 def test_standardize_constant_feature(spark):
     got = {r.pid: r.x for r in po.standardize(point_table(spark, [(0, 5), (2, 5)])).collect()}
     assert got == {0: [-1.0, 0.0], 1: [1.0, 0.0]}

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import heapq
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from geoloom.functions.vectors import distance
 from geoloom.operators.edges import length_moments
 from geoloom.operators.neighbors import half_edges
+from geoloom.operators.ranking import exact_quantiles
 
 #: Global statistics, in the order of the feature vector.
 GLOBAL = ("median", "iqr", "p05", "p95", "mean", "std", "skew", "kurtosis")
@@ -79,3 +84,58 @@ def bridge_classifier(features: DataFrame, marked: DataFrame, hidden: int = 16,
     stages = [VectorAssembler(inputCols=FEATURES, outputCol="raw"), StandardScaler(inputCol="raw", outputCol="features", withMean=True), MultilayerPerceptronClassifier(layers=[len(FEATURES), hidden, 2], maxIter=rounds, seed=seed)]
     said = Pipeline(stages=stages).fit(rows.where("not held_out")).transform(rows)
     return said.select("u", "v", "action", F.when(F.col("prediction") == 1, "PRUNE").otherwise("KEEP").alias("predicted"), vector_to_array("probability")[1].alias("probability"), "held_out")
+
+
+STRATA = ("bridge", "median", "overlap", "other")  # in the order in which they make up for short ones
+
+
+def strata(edges: DataFrame, pts: DataFrame, long: float = 1.5, close: float = 0.25) -> DataFrame:
+    """``u, v, stratum`` of measured edges.
+
+    ``bridge``: longer than ``long`` times the median of the edges at either end.
+    ``median``: within ``close`` of the smaller of both medians. ``overlap``: an end has
+    neighbours of several classes. The first that holds counts; else ``other``.
+    """
+    half = half_edges(edges, "len_o")
+    near = half.join(pts.select(F.col("pid").alias("dst"), "y"), "dst").groupBy("src").agg(F.count_distinct("y").alias("classes"))
+    middle = exact_quantiles(half, "len_o", (0.5,), ("src",)).select("src", F.col("q")[0].alias("m"))
+    at = lambda c: middle.join(near, "src").select(F.col("src").alias(c), F.col("m").alias(f"m_{c}"), F.col("classes").alias(f"k_{c}"))
+    low = F.least("m_u", "m_v")
+    kind = (
+        F.when(F.col("len_o") > long * F.greatest("m_u", "m_v"), "bridge").when(F.abs(F.col("len_o") - low) <= close * low, "median")
+        .when((F.col("k_u") > 1) | (F.col("k_v") > 1), "overlap").otherwise("other")
+    )
+    return edges.select("u", "v", "len_o").join(at("u"), "u").join(at("v"), "v").select("u", "v", kind.alias("stratum"))
+
+
+def stratified_sample(marked: DataFrame, each: int, seed: str = "sample") -> DataFrame:
+    """At most ``each`` edges of every action: ``u, v, action, stratum``.
+
+    ``marked`` has ``u, v, action, stratum``. A third of an action's edges come from each
+    of the strata bridge, median and overlap, by the least hashes of the edge; what a
+    stratum lacks is made up from bridge, median, overlap and other, in that order. So an
+    action gets ``each`` edges if it has them. Every partition keeps ``each`` edges of
+    an action and stratum at most, before they come together.
+    """
+    keyed = marked.select("u", "v", "action", "stratum", F.md5(F.concat_ws(":", F.lit(seed), "u", "v")).alias("h"))
+
+    def least(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple[str, str], list[tuple]] = {}
+        for batch in batches:
+            for u, v, action, stratum, h in zip(*(c.to_pylist() for c in batch.columns)):
+                group = held.setdefault((action, stratum), [])
+                group.append((h, u, v))
+                if len(group) >= 2 * each + 1000:
+                    held[action, stratum] = heapq.nsmallest(each, group)
+        rows = [(u, v, *key, h) for key, group in held.items() for h, u, v in heapq.nsmallest(each, group)]
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string()))], ["u", "v", "action", "stratum", "h"])
+
+    few = keyed.mapInArrow(least, "u long, v long, action string, stratum string, h string")
+    # over what the partitions kept
+    own = Window.partitionBy("action", "stratum").orderBy("h", "u", "v")
+    place = F.array_position(F.array(*map(F.lit, STRATA)), F.col("stratum"))
+    ranked = few.withColumn("r", F.row_number().over(own)).where(F.col("r") <= each).withColumn("p", place)
+    first = (F.col("stratum") != "other") & (F.col("r") <= -(-each // 3))
+    turn = Window.partitionBy("action").orderBy(F.when(first, 0).otherwise(1), F.when(first, F.col("r")).otherwise(0), "p", "r")
+    return ranked.withColumn("t", F.row_number().over(turn)).where(F.col("t") <= each).select("u", "v", "action", "stratum")

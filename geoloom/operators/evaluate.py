@@ -98,3 +98,16 @@ def adjusted_information(pred: DataFrame, block: int = 4096) -> DataFrame:
     e = entropies(pred).crossJoin(expected)
     room = (F.col("hy") + F.col("hl")) / 2 - F.col("emi")
     return e.select(F.when(F.abs(room) < 1e-12, 1.0).otherwise((F.col("mi") - F.col("emi")) / F.when(F.abs(room) >= 1e-12, room)).alias("ami"))
+
+
+def kmeans_ari(pts: DataFrame, rounds: int = 20, seed: int = 1) -> DataFrame:
+    """One row ``k, ari``: how well k-means with as many clusters as there are classes finds them; points without a class take no part."""
+    from pyspark.ml.clustering import KMeans
+    from pyspark.ml.functions import array_to_vector
+
+    known = pts.where("y is not null and x is not null").select("y", array_to_vector("x").alias("features"))
+    k = known.agg(F.count_distinct("y")).first()[0]
+    if k < 2:
+        return adjusted_rand(known.select("y", F.lit(0).cast("long").alias("label"))).select(F.lit(k).alias("k"), "ari")
+    found = KMeans(k=k, maxIter=rounds, seed=seed).fit(known).transform(known)
+    return adjusted_rand(found.select("y", F.col("prediction").cast("long").alias("label"))).select(F.lit(k).alias("k"), "ari")

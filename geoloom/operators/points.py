@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
+
+from geoloom.operators.ranking import numbered
 
 
 def points(table: DataFrame, pid: str = "vec_id", x: str = "embedding", y: str | None = "label") -> DataFrame:
@@ -49,6 +51,5 @@ def standardize_centre(pts: DataFrame) -> DataFrame:
 def labels_by_size(labels: DataFrame, least: int) -> DataFrame:
     """Components of at least so many points, numbered from 0 by their id; points of others get -1."""
     big = labels.groupBy("comp").agg(F.count("*").alias("n")).where(F.col("n") >= least)
-    # one row per large component
-    numbered = big.withColumn("label", (F.row_number().over(Window.orderBy("comp")) - 1).cast("long"))
-    return labels.join(numbered.select("comp", "label"), "comp", "left").select("pid", F.coalesce("label", F.lit(-1)).cast("long").alias("label"))
+    named = numbered(big.select("comp"), "comp", name="label")
+    return labels.join(named, "comp", "left").select("pid", F.coalesce("label", F.lit(-1)).cast("long").alias("label"))

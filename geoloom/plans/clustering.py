@@ -7,7 +7,8 @@ from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from geoloom.operators import bridges as br, delaunay as dl, density as de, edges as ed, evaluate as ev, growth as gr, mergetree as mt, modes as mo, neighbors as nb, points as po, prune as pr, reclaim as rc, topology as tp, waves as wv
+from geoloom.operators import bridges as br, delaunay as dl, density as de, edges as ed, evaluate as ev, growth as gr, layout as ly, mergetree as mt, modes as mo, neighbors as nb, points as po, prune as pr, reclaim as rc, topology as tp, waves as wv
+from geoloom.sources import results
 from geoloom.sources.shared import materialise
 
 K, LIMIT, MIN_EDGES = 50, 0.5, 2
@@ -118,6 +119,11 @@ class Clustering:
     def redundancy(self) -> DataFrame:
         return materialise(pr.edge_redundancy(self.edges, gr.components(self.pts, self.edges)), "redundancy")
 
+    @cached_property
+    def spread(self) -> DataFrame:
+        """The layout of the fuzzy graph after a few epochs, from the principal plane."""
+        return materialise(ly.layout(nb.fuzzy_graph(self.near), po.principal_plane(self.pts), 8), "spread")
+
     @cached_property
     def recall10(self) -> DataFrame:
         return nb.recall(self.near, self.near_flat, 10)
@@ -182,6 +188,16 @@ def cluster_labels(b: Clustering) -> DataFrame:
     return rc.cost_gate(b.edges, noise, nb.core_distance(b.near, 15)).select("pid", "label", "cost")
 
 
+def write_clustering(b: Clustering, folder: str, dataset: str) -> str:
+    """Edges with the flags of growth, points with their grown labels, edges by round, and the summary, as a finished run."""
+    state = b.growth
+    kept = materialise(state.where("seed or accepted or restored").select("u", "v").join(b.edges, ["u", "v"]), "retained")
+    labels = gr.final_prediction(gr.components(b.pts, kept.select("u", "v")), kept, MIN_EDGES)
+    rounds = state.where("round > 0").groupBy("round").agg(F.count_if("accepted").alias("accepted"), F.count_if("restored").alias("restored"))
+    tables = {"edges": b.edges.join(state, ["u", "v"]), "points": b.pts.select("pid", "y").join(labels, "pid"), "rounds": rounds}
+    return results.write_run(b.spark, folder, dataset, tables, run_summary(b).first().summary)
+
+
 def run_summary(b: Clustering) -> DataFrame:
     """One row of JSON: counts of every stage and the scores of the seed labelling."""
     counts = b.truth.agg(F.count("*").alias("n_points"), F.count_distinct(F.when(F.col("label") >= 0, F.col("label"))).alias("n_clusters"))
@@ -445,6 +461,21 @@ SELECT pid, ra.y, radius, radius > lim AS outlier FROM ra JOIN sc ON sc.y = ra.y
         lambda b: br.balanced_sample(br.keep_or_prune(b.edges, b.pts), 100),
         """, kp AS (SELECT u, v, CASE WHEN a.y = b.y THEN 'KEEP' ELSE 'PRUNE' END AS action FROM edges JOIN pts a ON a.pid = u JOIN pts b ON b.pid = v)
 SELECT u, v, action FROM (SELECT *, row_number() OVER (PARTITION BY action ORDER BY md5('sample:' || u || ':' || v), u, v) AS r FROM kp) WHERE r <= 100""", ()),
+    "edge_strata": (
+        lambda b: br.strata(b.edges, b.pts),
+        """, mid AS (SELECT src, median(len_o) AS m, count(DISTINCT y) AS k FROM half JOIN pts ON pts.pid = dst GROUP BY src)
+SELECT u, v, CASE WHEN len_o > 1.5 * greatest(a.m, b.m) THEN 'bridge' WHEN abs(len_o - least(a.m, b.m)) <= 0.25 * least(a.m, b.m) THEN 'median' WHEN a.k > 1 OR b.k > 1 THEN 'overlap' ELSE 'other' END AS stratum
+FROM edges JOIN mid a ON a.src = u JOIN mid b ON b.src = v""", ()),
+    "stratified_sample": (
+        lambda b: br.stratified_sample(br.keep_or_prune(b.edges, b.pts).join(br.strata(b.edges, b.pts), ["u", "v"]), 90),
+        """, mid AS (SELECT src, median(len_o) AS m, count(DISTINCT y) AS k FROM half JOIN pts ON pts.pid = dst GROUP BY src),
+mk AS (SELECT u, v, CASE WHEN p.y = q.y THEN 'KEEP' ELSE 'PRUNE' END AS action, CASE WHEN len_o > 1.5 * greatest(a.m, b.m) THEN 'bridge' WHEN abs(len_o - least(a.m, b.m)) <= 0.25 * least(a.m, b.m) THEN 'median' WHEN a.k > 1 OR b.k > 1 THEN 'overlap' ELSE 'other' END AS stratum
+FROM edges JOIN mid a ON a.src = u JOIN mid b ON b.src = v JOIN pts p ON p.pid = u JOIN pts q ON q.pid = v),
+rk AS (SELECT *, row_number() OVER (PARTITION BY action, stratum ORDER BY md5('sample:' || u || ':' || v), u, v) AS r, CASE stratum WHEN 'bridge' THEN 1 WHEN 'median' THEN 2 WHEN 'overlap' THEN 3 ELSE 4 END AS p FROM mk),
+ft AS (SELECT *, stratum <> 'other' AND r <= 30 AS own FROM rk),
+tn AS (SELECT *, row_number() OVER (PARTITION BY action ORDER BY CASE WHEN own THEN 0 ELSE 1 END, CASE WHEN own THEN r ELSE 0 END, p, r) AS t FROM ft)
+SELECT u, v, action, stratum FROM tn WHERE t <= 90""", ()),
+    "kmeans_ari": (lambda b: ev.kmeans_ari(b.pts), None, ("ari",)),
     "bridge_features": (
         lambda b: br.bridge_features(b.edges, 64),
         """, nr AS (SELECT src AS p, least(src, dst) AS a, greatest(src, dst) AS b, dst AS q, len_o AS other FROM half),
@@ -529,6 +560,8 @@ SELECT u, v, min(how) AS how FROM jd WHERE how IS NOT NULL GROUP BY u, v""", ())
         KNN_SQL + """, en AS (SELECT u, v, u AS p FROM edges UNION SELECT u, v, v FROM edges), n1 AS (SELECT * FROM en UNION SELECT en.u, en.v, h.dst FROM en JOIN half h ON h.src = p),
 n2 AS (SELECT * FROM n1 UNION SELECT n1.u, n1.v, h.dst FROM n1 JOIN half h ON h.src = p), sm AS (SELECT u, v, sum(degree) AS d, sum(passed) AS n FROM n2 JOIN sel ON sel.pid = p GROUP BY u, v)
 SELECT r.u, r.v, CASE WHEN d > 2 THEN 1 - (n - CAST(uv AS INTEGER) - CAST(vu AS INTEGER)) / (d - 2) ELSE 0 END AS context FROM related r JOIN sm ON sm.u = r.u AND sm.v = r.v""", ("context",)),
+    "umap_layout": (lambda b: b.spread, None, ("px", "py")),
+    "umap_overlap": (lambda b: nb.recall(b.near, nb.knn(b.spread.select("pid", F.array("px", "py").alias("x")), 10), 10), None, ("recall",)),
     "umap_graph": (lambda b: nb.fuzzy_graph(b.near), None, ("weight",)),
     "delaunay_2d": (lambda b: b.triangles, None, ()),
     "edges_from_triangles": (lambda b: dl.edges_from_triangles(b.triangles), None, ()),

@@ -39,10 +39,31 @@ def keep_or_prune(edges: DataFrame, pts: DataFrame) -> DataFrame:
     return edges.select("u", "v").join(at("u"), "u").join(at("v"), "v").select("u", "v", F.when(F.col("yu") == F.col("yv"), "KEEP").otherwise("PRUNE").alias("action"))
 
 
+def _least(marked: DataFrame, each: int, seed: str) -> DataFrame:
+    """The ``each`` least hashes of every action and stratum, with their rank ``r``; a partition sends no more than that of each."""
+    keyed = marked.select("u", "v", "action", "stratum", F.md5(F.concat_ws(":", F.lit(seed), "u", "v")).alias("h"))
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple[str, str], list[tuple]] = {}
+        for batch in batches:
+            for u, v, action, stratum, h in zip(*(c.to_pylist() for c in batch.columns)):
+                group = held.setdefault((action, stratum), [])
+                group.append((h, u, v))
+                if len(group) >= 2 * each + 1000:
+                    held[action, stratum] = heapq.nsmallest(each, group)
+        rows = [(u, v, *key, h) for key, group in held.items() for h, u, v in heapq.nsmallest(each, group)]
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string()))], ["u", "v", "action", "stratum", "h"])
+
+    few = keyed.mapInArrow(keep, "u long, v long, action string, stratum string, h string")
+    # over what the partitions kept
+    own = Window.partitionBy("action", "stratum").orderBy("h", "u", "v")
+    return few.withColumn("r", F.row_number().over(own)).where(F.col("r") <= each)
+
+
 def balanced_sample(marked: DataFrame, each: int, seed: str = "sample") -> DataFrame:
     """At most ``each`` edges of every action, in the order of a hash of the edge."""
-    order = Window.partitionBy("action").orderBy(F.md5(F.concat_ws(":", F.lit(seed), "u", "v")), "u", "v")
-    return marked.withColumn("r", F.row_number().over(order)).where(F.col("r") <= each).drop("r")
+    return _least(marked.withColumn("stratum", F.lit("other")), each, seed).select("u", "v", "action")
 
 
 def _binned(rows: DataFrame, bins: int, prefix: str) -> DataFrame:
@@ -117,25 +138,8 @@ def stratified_sample(marked: DataFrame, each: int, seed: str = "sample") -> Dat
     action gets ``each`` edges if it has them. Every partition keeps ``each`` edges of
     an action and stratum at most, before they come together.
     """
-    keyed = marked.select("u", "v", "action", "stratum", F.md5(F.concat_ws(":", F.lit(seed), "u", "v")).alias("h"))
-
-    def least(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[tuple[str, str], list[tuple]] = {}
-        for batch in batches:
-            for u, v, action, stratum, h in zip(*(c.to_pylist() for c in batch.columns)):
-                group = held.setdefault((action, stratum), [])
-                group.append((h, u, v))
-                if len(group) >= 2 * each + 1000:
-                    held[action, stratum] = heapq.nsmallest(each, group)
-        rows = [(u, v, *key, h) for key, group in held.items() for h, u, v in heapq.nsmallest(each, group)]
-        if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string()))], ["u", "v", "action", "stratum", "h"])
-
-    few = keyed.mapInArrow(least, "u long, v long, action string, stratum string, h string")
-    # over what the partitions kept
-    own = Window.partitionBy("action", "stratum").orderBy("h", "u", "v")
     place = F.array_position(F.array(*map(F.lit, STRATA)), F.col("stratum"))
-    ranked = few.withColumn("r", F.row_number().over(own)).where(F.col("r") <= each).withColumn("p", place)
+    ranked = _least(marked, each, seed).withColumn("p", place)
     first = (F.col("stratum") != "other") & (F.col("r") <= -(-each // 3))
     turn = Window.partitionBy("action").orderBy(F.when(first, 0).otherwise(1), F.when(first, F.col("r")).otherwise(0), "p", "r")
     return ranked.withColumn("t", F.row_number().over(turn)).where(F.col("t") <= each).select("u", "v", "action", "stratum")

@@ -14,7 +14,8 @@ Two relations between sets save most comparisons:
   (the one with the fewest rarer shingles) is its pivot. All others are verified
   with the pivot first; sets that are found similar take over its answers, and
   only pairs that are still in different components are compared afterwards
-  (where only classes are asked for; the number of links needs every pair).
+  (where only classes are asked for; the number of links needs every pair). An entry
+  whose bounds allow no partner but the pivot leaves the list before that.
 
 Candidates are verified on whole sets. Equal sets are one set throughout, so
 copies cost nothing; shingles that many sets hold come last in the order, and
@@ -198,6 +199,24 @@ def _pair_table(a: np.ndarray, b: np.ndarray, more: list[bytes]) -> pa.Table:
     })
 
 
+def _has_partner(own: np.ndarray, percent: int) -> np.ndarray:
+    """Which entries of a list, in the order of positions, have one after the first that position, size and signature allow.
+
+    The bounds are those of :func:`_passes`, so what is left out is similar to nothing here but perhaps the first.
+    """
+    pos = own["pos"].astype(np.int64)
+    stops = np.searchsorted(pos, _most_room(own["n"], percent) - pos, "right")
+    out, first = np.zeros(len(own), bool), 1
+    while first < len(own) - 1:
+        last = min(len(own) - 1, first + max(1, 1_000_000 // len(own)))  # rows of one block of comparisons
+        x, y = np.arange(first, last), np.arange(first + 1, max(int(stops[first:last].max()), first + 1))
+        row, col = np.nonzero((y > x[:, None]) & (y < stops[x][:, None]))
+        x, y, first = x[row], y[col], last
+        ok = _passes(own[x], own[y], percent)
+        out[x[ok]] = out[y[ok]] = True
+    return out
+
+
 def _first_pairs(percent: int):
     def pairs(key, table):
         """Pairs of short lists and pivot pairs of long ones; what long lists may still hold goes on."""
@@ -220,7 +239,8 @@ def _first_pairs(percent: int):
             ok = np.flatnonzero(_passes(np.broadcast_to(own[0], len(own) - 1), own[1:], percent)) + 1
             a.append(np.full(len(ok), own["set"][0]))
             b.append(own["set"][ok])
-            if len(own) > 2:
+            own = own[_has_partner(own, percent)]
+            if len(own) > 1:
                 more.append(own.tobytes())
         return _pair_table(np.concatenate(a), np.concatenate(b), more)
 

@@ -1,6 +1,5 @@
 """Merge tree, condensed tree and choice of clusters against Prim, sorting and recursion."""
 
-import itertools
 
 import numpy as np
 import pytest

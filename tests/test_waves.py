@@ -4,7 +4,6 @@ import itertools
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
 from geoloom.operators import delaunay as dl, edges as ed, points as po, waves as wv
 

@@ -6,7 +6,7 @@ import pytest
 from geoloom.plans import clustering
 
 DIR = "/root/testdata/sf0.001"
-NAMES = ["standardize", "gabriel_edges", "knn_selectivity", "hard_gate_knn_relaxed", "component_m2", "growth_round_scores", "boundary_scores", "outlier_merge", "frozen_growth_round", "information_scores", "bridge_features", "short_path_bridges"]
+NAMES = ["standardize", "gabriel_edges", "knn_selectivity", "hard_gate_knn_relaxed", "component_m2", "growth_round_scores", "boundary_scores", "outlier_merge", "frozen_growth_round", "information_scores", "bridge_features", "short_path_bridges", "seed_restoration", "growth_round0", "edge_strata", "stratified_sample"]
 
 
 @pytest.fixture(scope="module")

@@ -1,12 +1,17 @@
 """Exact top-k by inner product: a KD-tree in every shard.
 
-A shard's vectors are split at medians of their widest dimension until leaves are
-small; every node keeps its tight bounding box. A shard's tree is built once and
-kept as a table. For a query, a box bounds all inner products in it from above.
-Nodes are taken best first, and a node whose bound is below the query's k-th score
-so far is left with all below it. The k-th score is propagated: queries visit the
-shards in turns, first one, then FOLLOW times as many in each later turn, and carry
-the k-th score of all shards so far into the next turn.
+Shards are cells of space: medians of the widest dimension, fitted on a bounded
+sample, deal every vector to a cell, and a cell of more than SHARD vectors is split
+further by a hash of the id. A shard's vectors are split at medians in the same way
+until leaves are small; every node keeps its tight bounding box. A shard's tree is
+built once and kept as a table. For a query, a box bounds all inner products in it
+from above. Nodes are taken best first, and a node whose bound is below the query's
+k-th score so far is left with all below it.
+
+The k-th score is propagated: a query visits cells in the order of their bounds, in
+turns, first one, then FOLLOW times as many in each later turn, and carries the k-th
+score of all cells so far into the next turn. It isn't sent to a cell whose box can't
+reach that score.
 
 Scores are integers of 64 bits. Where sizes show that a product's partial sums stay
 below 2**52, they are worked out in double precision, else in integers; bounds are
@@ -30,7 +35,64 @@ from geoloom.sources.shared import materialise
 LEAF = 128
 SHARD = 8_192  # vectors of one tree
 BLOCK = 1_024  # queries that meet a shard at once
-FOLLOW = 4  # how many times as many shards each turn visits
+FOLLOW = 4  # how many times as many cells each turn visits
+SAMPLE = 20_000  # vectors that the cells are fitted on, at most
+NUMBERS = 4_000_000  # numbers in that sample and in the boxes of all cells, at most (256 vectors in any case)
+
+
+def upper_bounds(q: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """Upper bounds of q · x over every box, for each query, no lower than the true ones."""
+    low, high = low.T.astype(float), high.T.astype(float)
+    up, down = np.maximum(q, 0).astype(float), np.minimum(q, 0).astype(float)
+    lost = (np.abs(q).astype(float) @ np.maximum(np.abs(low), np.abs(high))) * 1e-12
+    return up @ high + down @ low + lost + 0.5
+
+
+@dataclass
+class Cells:
+    """Median splits of all of space: a full binary tree of dimensions and cuts, level by level."""
+
+    dims: np.ndarray
+    cuts: np.ndarray
+
+    @staticmethod
+    def fit(x: np.ndarray, wanted: int) -> Cells:
+        """About ``wanted`` cells of equal shares of the sample ``x``; one where it has under two vectors a cell or no spread."""
+        depth = max(0, min(wanted, len(x) // 2) - 1).bit_length() if x.shape[1] else 0
+        dims, cuts = np.zeros(2**depth - 1, np.int64), np.full(2**depth - 1, np.iinfo(np.int64).max)
+        held = [np.arange(len(x))]
+        for node in range(2**depth - 1):
+            own = x[held[node]]
+            left = right = np.zeros(0, np.int64)
+            if len(own):
+                dims[node] = wide = int(np.argmax(own.max(0).astype(float) - own.min(0)))
+                cuts[node] = np.partition(own[:, wide], (len(own) - 1) // 2)[(len(own) - 1) // 2]
+                above = own[:, wide] > cuts[node]
+                left, right = held[node][~above], held[node][above]
+            held += [left, right]
+        return Cells(dims, cuts)
+
+    def cell(self, x: np.ndarray) -> np.ndarray:
+        node, inner = np.zeros(len(x), np.int64), len(self.dims)
+        for _ in range(inner.bit_length()):
+            node = 2 * node + 1 + (x[np.arange(len(x)), self.dims[node]] > self.cuts[node])
+        return node - inner
+
+
+@dataclass
+class Boxes:
+    """Cells of one vector length with their tight boxes and how many shards each has."""
+
+    cell: np.ndarray
+    low: np.ndarray
+    high: np.ndarray
+    shards: np.ndarray
+
+
+def rows_of(v: pa.ChunkedArray | pa.Array, d: int) -> np.ndarray:
+    """Vectors of ``d`` numbers as a matrix."""
+    v = v.combine_chunks() if isinstance(v, pa.ChunkedArray) else v
+    return np.asarray(v.flatten().to_numpy(zero_copy_only=False), np.int64).reshape(len(v), d)
 
 
 @dataclass
@@ -78,11 +140,8 @@ class KDTree:
             return KDTree(*(z[c] for c in ("ids", "x", "low", "high", "span", "children")))
 
     def bounds(self, q: np.ndarray) -> np.ndarray:
-        """Upper bounds of q · x over every node's box, for each query, no lower than the true ones."""
-        low, high = self.low.T.astype(float), self.high.T.astype(float)
-        up, down = np.maximum(q, 0).astype(float), np.minimum(q, 0).astype(float)
-        lost = (np.abs(q).astype(float) @ np.maximum(np.abs(low), np.abs(high))) * 1e-12
-        return up @ high + down @ low + lost + 0.5
+        """Upper bounds over every node's box, for each query."""
+        return upper_bounds(q, self.low, self.high)
 
     def search(self, own: np.ndarray, q: np.ndarray, k: int, floor: np.ndarray) -> Iterator[tuple[int, list[tuple[int, int]]]]:
         """For each query the k best (score, id) that reach its floor; ties go to smaller ids."""
@@ -132,38 +191,31 @@ def top_k(vectors: DataFrame, queries: Column, k: int = 10) -> DataFrame:
     its candidates; repeated candidate rows each count. Vectors of different
     lengths never meet. Returns ``query_id, rank, vec_id, score``.
 
-    Shards and query blocks are dealt by hashes of the id; blocks of queries meet
-    all shards, and each meeting gives k rows a query at most. Scores have to fit into
+    Cells are fitted on SAMPLE vectors at most; their boxes, of NUMBERS numbers at most and
+    one for every length, go through the driver to all tasks. Queries go to cells in blocks,
+    and each meeting of a block with a shard gives k rows a query at most. Scores have to fit into
     64 bits. Vectors without components score 0 with each other. An empty table gives no rows.
     """
     spark = vectors.sparkSession
     vectors = vectors.where("vec_id is not null and v is not null").select("vec_id", "v", F.size("v").alias("d"))
-    n, asked = vectors.count(), vectors.where(queries).count()
-    shards, blocks = max(1, -(-n // SHARD)), max(1, -(-asked // BLOCK))
-    if blocks * shards < spark.sparkContext.defaultParallelism:
-        blocks = max(blocks, min(asked // 16 + 1, -(-spark.sparkContext.defaultParallelism // shards)))
-
+    trees, boxes = plant(vectors)
+    asked = vectors.where(queries).count()
+    shards, blocks, cores = max(1, sum(int(b.shards.sum()) for b in boxes.values())), max(1, -(-asked // BLOCK)), spark.sparkContext.defaultParallelism
+    copies = max(1, min(-(-cores // shards), asked // 16 + 1))  # of a few shards, so that all cores have some
+    blocks = max(blocks, copies)
+    trees = trees.select("d", "cell", "shard", "tree").withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(copies - 1))))
     lowest = np.iinfo(np.int64).min
 
-    def matrix(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-        v = t.column("v").combine_chunks()
-        return t.column("vec_id").to_numpy().astype(np.int64), np.asarray(v.flatten().to_numpy(zero_copy_only=False), np.int64).reshape(len(v), -1)
-
-    def plant(key, t):
-        tree = KDTree.build(*matrix(t))
-        return pa.table({"part": pa.array([key[0].as_py()], pa.int64()), "d": pa.array([key[1].as_py()], pa.int32()), "tree": pa.array([tree.to_bytes()], pa.binary())})
-
     def block_up(key, t):
         """A block of queries and the k-th scores that they have, the lowest number where they have none."""
-        ids, x = matrix(t)
-        floor = t.column("least").fill_null(lowest).to_numpy().astype(np.int64)
-        return pa.table({"block": pa.array([key[0].as_py()], pa.int64()), "d": pa.array([key[1].as_py()], pa.int32()), "q_ids": pa.array([ids.tobytes()], pa.binary()), "q": pa.array([x.tobytes()], pa.binary()), "floor": pa.array([floor.tobytes()], pa.binary())})
+        cell, d, block = (x.as_py() for x in key)
+        ids, floor = (t.column(c).fill_null(lowest).to_numpy().astype(np.int64).tobytes() for c in ("vec_id", "least"))
+        values = [cell, d, block % copies, t.column("shards")[0].as_py(), ids, rows_of(t.column("v"), d).tobytes(), floor]
+        return pa.table({f.name: pa.array([v], f.type) for f, v in zip(sides_schema, values)})
 
-    dealt = lambda df, parts, salt: F.pmod(F.xxhash64("vec_id", F.lit(salt)), F.lit(parts))
-    trees = materialise(vectors.withColumn("part", dealt(vectors, shards, 1)).groupBy("part", "d").applyInArrow(plant, "part long, d int, tree binary"), "shards")
+    sides_schema = pa.schema([("cell", pa.int64()), ("d", pa.int32()), ("copy", pa.int32()), ("shards", pa.int64()), ("q_ids", pa.binary()), ("q", pa.binary()), ("floor", pa.binary())])
     # repeated query rows ask once
-    asking = vectors.where(queries).dropDuplicates(["vec_id", "v"])
-    asking = materialise(asking.withColumn("block", dealt(asking, blocks, 2)), "queries")
+    asking = materialise(vectors.where(queries).dropDuplicates(["vec_id", "v"]).withColumn("block", F.pmod(F.xxhash64("vec_id", F.lit(2)), F.lit(blocks))), "queries")
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, tree = None, None
@@ -178,25 +230,89 @@ def top_k(vectors: DataFrame, queries: Column, k: int = 10) -> DataFrame:
 
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     best, first, many = None, 0, 1
-    while first < shards:
-        last = min(shards, first + many)
-        if best is None:
-            known = asking.withColumn("least", F.lit(None).cast("long"))
-        else:
+    while first < max((len(b.cell) for b in boxes.values()), default=0):
+        known = asking.withColumn("least", F.lit(None).cast("long"))
+        if best is not None:
             kth = best.where(F.col("rank") == k).select(F.col("query_id").alias("vec_id"), F.col("score").alias("least"))
             known = asking.join(kth, "vec_id", "left")
-        sides = known.groupBy("block", "d").applyInArrow(block_up, "block long, d int, q_ids binary, q binary, floor binary")
-        # blocks start at different shards
-        turns = sides.withColumn("part", F.explode(F.sequence(F.lit(first).cast("long"), F.lit(last - 1).cast("long"))))
-        turns = turns.withColumn("part", F.pmod(F.col("part") + F.col("block"), F.lit(shards)))
-        both = trees.join(turns.hint("merge"), ["part", "d"]).select("tree", "q_ids", "q", "floor")
-        found = both.repartition(max(1, (last - first) * blocks)).mapInArrow(answer, "query_id long, vec_id long, score long")
+        turn = visits(known, boxes, first, first + many)
+        if first and not turn.limit(1).count():
+            break  # later cells have lower bounds still
+        sides = turn.groupBy("cell", "d", "block").applyInArrow(block_up, "cell long, d int, copy int, shards long, q_ids binary, q binary, floor binary")
+        sides = sides.withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.col("shards") - 1)))
+        both = trees.join(sides.hint("merge"), ["d", "cell", "shard", "copy"]).select("tree", "q_ids", "q", "floor")
+        found = both.mapInArrow(answer, "query_id long, vec_id long, score long")
         found = found if best is None else found.union(best.select("query_id", "vec_id", "score"))
         best = materialise(found.withColumn("rank", rank).where(F.col("rank") <= k), "best")
-        first, many = last, many * FOLLOW
+        first, many = first + many, many * FOLLOW
     return (best if best is not None else asking.select(F.col("vec_id").alias("query_id"), F.lit(0).alias("rank"), "vec_id", F.lit(0).cast("long").alias("score")).limit(0)).select("query_id", "rank", "vec_id", "score")
 
 
+def plant(vectors: DataFrame) -> tuple[DataFrame, dict[int, Boxes]]:
+    """The shards' trees (``d, cell, shard, tree``, written) of ``vec_id, v, d``, and the boxes of the cells by length."""
+    n, longest = vectors.agg(F.count("*"), F.coalesce(F.max("d"), F.lit(0))).first()
+    cells: dict[int, Cells] = {}
+    if n > SHARD:
+        most = max(256, min(SAMPLE, NUMBERS // max(1, longest)))
+        sample = vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(most).select("d", "v").toArrow()
+        sizes = sample.column("d").to_numpy()
+        for d in np.unique(sizes).tolist():
+            x = rows_of(sample.filter(pa.array(sizes == d)).column("v"), d)
+            cells[d] = Cells.fit(x, min(-(-n * len(x) // (len(sizes) * SHARD)), len(x) // 16))
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes, out = batch.column("d").to_numpy(), np.zeros(batch.num_rows, np.int64)
+            for d in np.unique(sizes).tolist():
+                if d in cells:
+                    own = np.flatnonzero(sizes == d)
+                    out[own] = cells[d].cell(rows_of(batch.column("v").take(pa.array(own)), d))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out)], ["vec_id", "v", "d", "cell"])
+
+    dealt = vectors.mapInArrow(deal, "vec_id long, v array<long>, d int, cell long") if cells else vectors.withColumn("cell", F.lit(0).cast("long"))
+    # one row a cell and length; the optimizer picks the join by its size
+    shards = dealt.groupBy("d", "cell").agg(F.ceil(F.count("*") / F.lit(SHARD)).alias("shards"))
+    dealt = dealt.join(shards, ["d", "cell"]).withColumn("shard", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.col("shards")))
+
+    def grow(key, t):
+        d, cell, shard = (x.as_py() for x in key)
+        tree = KDTree.build(t.column("vec_id").to_numpy().astype(np.int64), rows_of(t.column("v"), d))
+        values = [d, cell, shard, t.column("shards")[0].as_py(), tree.low[0].tolist(), tree.high[0].tolist(), tree.to_bytes()]
+        return pa.table({f.name: pa.array([v], f.type) for f, v in zip(schema, values)})
+
+    schema = pa.schema([("d", pa.int32()), ("cell", pa.int64()), ("shard", pa.int64()), ("shards", pa.int64()), ("low", pa.list_(pa.int64())), ("high", pa.list_(pa.int64())), ("tree", pa.binary())])
+    trees = materialise(dealt.groupBy("d", "cell", "shard").applyInArrow(grow, "d int, cell long, shard long, shards long, low array<long>, high array<long>, tree binary"), "shards")
+    sides = trees.select("d", "cell", "shards", F.posexplode_outer(F.arrays_zip("low", "high")).alias("at", "side"))
+    sides = sides.groupBy("d", "cell", "at").agg(F.max("shards").alias("shards"), F.min("side.low").alias("low"), F.max("side.high").alias("high"))
+    found = sides.groupBy("d", "cell").agg(F.max("shards").alias("shards"), F.sort_array(F.collect_list(F.struct("at", "low", "high"))).alias("sides")).orderBy("d", "cell").collect()
+    boxes = {}
+    for d in {r.d for r in found}:
+        own = [r for r in found if r.d == d]
+        low, high = (np.array([[s[c] for s in r.sides[:d]] for r in own], np.int64).reshape(len(own), d) for c in ("low", "high"))
+        boxes[d] = Boxes(np.array([r.cell for r in own]), low, high, np.array([r.shards for r in own]))
+    return trees, boxes
+
+
+def visits(known: DataFrame, boxes: dict[int, Boxes], first: int, last: int) -> DataFrame:
+    """``vec_id, v, d, block, least, cell, shards``: for every query the cells from place ``first`` to before ``last`` in the order of their
+    bounds, without those whose bound is below the query's k-th score ``least``."""
+
+    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes = batch.column("d").to_numpy()
+            least = batch.column("least").fill_null(np.iinfo(np.int64).min).to_numpy().astype(float)
+            for d in np.unique(sizes).tolist():
+                box, own = boxes[d], np.flatnonzero(sizes == d)
+                bounds = upper_bounds(rows_of(batch.column("v").take(pa.array(own)), d), box.low, box.high)
+                order = np.argsort(-bounds, axis=1, kind="stable")[:, first:last]
+                row, at = np.nonzero(np.take_along_axis(bounds, order, 1) >= least[own][:, None])
+                cell = order[row, at]
+                some = batch.select(["vec_id", "v", "d", "block", "least"]).take(pa.array(own[row]))
+                yield pa.RecordBatch.from_arrays([*some.columns, pa.array(box.cell[cell]), pa.array(box.shards[cell])], ["vec_id", "v", "d", "block", "least", "cell", "shards"])
+
+    return known.select("vec_id", "v", "d", "block", "least").mapInArrow(places, "vec_id long, v array<long>, d int, block long, least long, cell long, shards long")
+
+
 def op6_topk(spark, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("long").alias("vec_id"), whole_numbers(F.col("embedding")).alias("v"))
     return top_k(vectors, F.col("vec_id") % 100 == 0, 10)

@@ -14,7 +14,8 @@ worked out in bins where one of its shingles is an item's minimum: elsewhere it
 can't collide.
 
 Documents are read where they lie, nothing is shuffled. Items are sent to the
-tasks in blocks of ``BLOCK`` shingles at most; more items mean more blocks.
+tasks in blocks of about ``BLOCK`` shingles, one after another: the driver and the
+tasks hold one block at a time. More items mean more blocks and a scan for each.
 """
 
 from __future__ import annotations
@@ -29,6 +30,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from geoloom.llm.corpus import table, texts
 from geoloom.llm.text import mix, run_hashes, shingle_sets, slices, utf8, whole, word_hashes, words
+from geoloom.sources.shared import materialise
 
 BINS, HASHES, GROWTH, SMALLEST = 32, 4, 1.5, 8
 BLOCK = 2_000_000  # shingles of items that are sent to the tasks at once
@@ -137,12 +139,15 @@ def search(batch: pa.RecordBatch, index: ItemIndex, k: int, percent: int) -> lis
     return sorted(out)
 
 
-def _blocks(items: DataFrame, k: int) -> list[ItemIndex]:
-    """Indexes of bounded size over all items. Items are read from the driver a block at a time."""
-    rows = items.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).distinct()
+def _blocks(items: DataFrame, k: int) -> Iterator[tuple[ItemIndex, bool]]:
+    """Indexes over all items, one at a time, and whether there are several. Items are read from the driver a block at a time."""
+    rows = items.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).where("item_id is not null").distinct()
     total = rows.agg(F.sum(F.length("text") / 4 + 1)).first()[0] or 0
     n = max(1, int(-(-total // BLOCK)))
-    return [index_items(sorted((r["item_id"], r["text"]) for r in rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == b).collect() if r["item_id"] is not None), k) for b in range(n)]
+    # dealt once, so that a block doesn't read all items again
+    dealt = materialise(rows.withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(n))).repartition("block").sortWithinPartitions("block"), "items") if n > 1 else rows.withColumn("block", F.lit(0))
+    for b in range(n):
+        yield index_items(sorted((r["item_id"], r["text"]) for r in dealt.where(F.col("block") == b).collect()), k), n > 1
 
 
 def contained_items(docs: DataFrame, items: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
@@ -155,7 +160,7 @@ def contained_items(docs: DataFrame, items: DataFrame, k: int = 5, percent: int
     """
     spark = docs.sparkSession
     parts = []
-    for index in _blocks(items, k):
+    for index, several in _blocks(items, k):
         shared = spark.sparkContext.broadcast(index)
 
         def scan(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
@@ -165,13 +170,16 @@ def contained_items(docs: DataFrame, items: DataFrame, k: int = 5, percent: int
                 doc = batch.column(0).take(pa.array([x[0] for x in found], pa.int64()))
                 yield pa.RecordBatch.from_arrays([doc, *(pa.array(x, pa.int64()) for x in ([index.ids[y[1]] for y in found], [y[2] for y in found], [y[3] for y in found]))], ["doc_id", "item_id", "n_common", "n_item"])
 
-        parts.append(texts(docs).mapInArrow(scan, "doc_id long, item_id long, n_common long, n_item long"))
+        found = texts(docs).mapInArrow(scan, "doc_id long, item_id long, n_common long, n_item long")
+        parts.append(materialise(found, "contained") if several else found)
+        if several:
+            shared.unpersist()
     return reduce(DataFrame.union, parts)
 
 
 def without_contaminated(docs: DataFrame, items: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """The rows of ``docs``, all columns, whose text holds no item as :func:`contained_items` has it."""
-    for index in _blocks(items, k):
+    for index, several in _blocks(items, k):
         shared = docs.sparkSession.sparkContext.broadcast(index)
 
         def scan(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
@@ -181,6 +189,9 @@ def without_contaminated(docs: DataFrame, items: DataFrame, k: int = 5, percent:
                 yield batch.filter(pa.array(keep))
 
         docs = docs.mapInArrow(scan, docs.schema)
+        if several:
+            docs = materialise(docs, "clean")
+            shared.unpersist()
     return docs
 
 

@@ -13,6 +13,7 @@ so a source that holds a third of all rows costs no more than another.
 
 from __future__ import annotations
 
+import warnings
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -52,8 +53,8 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], tolerance: float = TOL
     that stand in a cell are brought to a sum of 1. A value without a target gets
     weight 0. Cells without tokens have weight 0. Rounds end when every margin holds
     within ``tolerance``; where empty cells make targets contradict each other they
-    end at ``most_rounds``, and :func:`reached_shares` shows the rest. An empty table
-    stays empty.
+    end at ``most_rounds`` with a warning that names the largest miss, and
+    :func:`reached_shares` shows the rest. An empty table stays empty.
     """
     n, total = cells.agg(F.count("*"), F.coalesce(F.sum("tokens").cast("double"), F.lit(0.0))).first()
     few = n <= FEW_CELLS
@@ -78,6 +79,8 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], tolerance: float = TOL
         miss = out.agg(F.max("missed")).first()[0]
         if miss is None or miss <= tolerance:
             break
+    else:
+        warnings.warn(f"raking ended after {most_rounds} rounds; a margin is missed by {miss:.2%} of its target", stacklevel=2)
     return out.drop("missed")
 
 
@@ -105,9 +108,14 @@ def uniform(doc_id: Column, text: Column, seed: str) -> Column:
     return F.conv(F.substring(F.md5(name), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
 
 
+def has_topic(docs: DataFrame) -> bool:
+    """Has ``docs`` a topic column, in any case."""
+    return "topic" in {c.lower() for c in docs.columns}
+
+
 def mix_cells(docs: DataFrame) -> DataFrame:
     """Token sums of the cells of ``docs``; null values of a margin are a value of their own."""
-    topic = F.col("topic") if "topic" in docs.columns else form_topic(F.col("text"))
+    topic = F.col("topic") if has_topic(docs) else form_topic(F.col("text"))
     margin = {"source": F.col("source"), "lang": F.col("lang"), "topic": topic}
     by = [F.coalesce(c.cast("string"), F.lit("(none)")).alias(m) for m, c in margin.items()]
     return docs.groupBy(*by).agg(F.sum(n_tokens(F.col("text"))).alias("tokens")).where("tokens > 0")
@@ -117,7 +125,7 @@ def sample_to_targets(docs: DataFrame, powers: dict[str, float] | None = None, r
     """The sampled rows of ``docs`` with ``topic, n_tokens, probability`` added.
 
     ``powers`` has each margin's power for :func:`smoothed_shares`. Without ``rate``
-    it is the :func:`feasible_rate`. A ``topic`` column of ``docs`` is the topic, else
+    it is the :func:`feasible_rate`. A ``topic`` column of ``docs``, in any case, is the topic, else
     it is made by :func:`form_topic`. Null values of a margin are a value of their
     own. Texts without tokens (null, empty) have probability 0. Repeated rows are
     kept or left together. Other columns stay as they are; an own ``n_tokens`` or
@@ -129,7 +137,7 @@ def sample_to_targets(docs: DataFrame, powers: dict[str, float] | None = None, r
     raked = rake(cells, {m: smoothed_shares(cells, m, p) for m, p in powers.items()})
     rate = feasible_rate(raked) if rate is None else rate
     few = raked.count() <= FEW_CELLS
-    if "topic" not in docs.columns:
+    if not has_topic(docs):
         docs = docs.withColumn("topic", form_topic(F.col("text")))
     docs = docs.withColumn("n_tokens", n_tokens(F.col("text")))
     inner = dict(zip(MARGINS, unused(docs, *(f"_{m}" for m in MARGINS))))

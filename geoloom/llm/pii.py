@@ -218,15 +218,20 @@ def dictionary(entities: DataFrame, key: str, most: int = 64) -> DataFrame:
     raise ValueError("surrogates of some format are used up")
 
 
+def session_key(spark) -> str:
+    """The key of the session's setting ``geoloom.pii.key``; where it is unset, a public one that hides nothing from who knows this source."""
+    return spark.conf.get("geoloom.pii.key", "geoloom")
+
+
 def with_surrogates(docs: DataFrame, key: str = "geoloom", text: str = "text") -> DataFrame:
     """The rows of ``docs`` with every entity in ``text`` replaced, and ``n_entities`` added.
 
     Null texts stay null, and texts without an entity (empty ones too) stay as they
     are, with 0 entities. Long texts are read whole. Rows that repeat get the same
-    result. Other columns stay whatever their names, but an own ``n_entities`` is
-    replaced. An empty table gives no rows. The key should be a secret of the caller's.
+    result. Other columns stay whatever their names, but an own ``n_entities``, in any
+    case, is replaced. An empty table gives no rows. The key should be a secret of the caller's.
     """
-    columns = [c for c in docs.columns if c != "n_entities"]
+    columns = [c for c in docs.columns if c.lower() != "n_entities"]
     docs = docs.select(*columns)
     found, same = unused(docs, "_found", "_key")
     plain = docs.where(~holds_entity(F.col(text))).select(*columns, F.lit(0).alias("n_entities"))
@@ -244,9 +249,9 @@ def with_surrogates(docs: DataFrame, key: str = "geoloom", text: str = "text") -
     pieces = F.split(F.col(text), ANY, -1)
     put = F.concat(F.transform(F.col(found), lambda e: F.element_at(F.col(mapped), e)), F.array(F.lit("")))
     new = F.array_join(F.flatten(F.zip_with(pieces, put, lambda p, s: F.array(p, s))), "")
-    done = both.select(*(new.alias(c) if c == text else F.col(c) for c in columns), F.size(found).alias("n_entities"))
+    done = both.select(*(new.alias(c) if c.lower() == text.lower() else F.col(c) for c in columns), F.size(found).alias("n_entities"))
     return plain.unionByName(done)
 
 
 def op7_pii(spark, sf_dir: str) -> DataFrame:
-    return with_surrogates(table(spark, sf_dir, "documents")).select("doc_id", "n_entities", "text")
+    return with_surrogates(table(spark, sf_dir, "documents"), session_key(spark)).select("doc_id", "n_entities", "text")

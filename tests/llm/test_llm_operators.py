@@ -270,7 +270,37 @@ def test_top_k(spark):
     assert topk_search.top_k(vectors.limit(0), F.col("vec_id") % 10 == 0).count() == 0
 
 
-def test_decontamination(spark, odd):
+def test_top_k_leaves_cells_out(spark, monkeypatch):
+    """On clustered vectors most cells' boxes can't reach the k-th score of the first cell; the results stay exact."""
+    monkeypatch.setattr(topk_search, "SHARD", 60)
+    rng = np.random.default_rng(3)
+    x = np.concatenate([rng.normal(c, 0.02, (100, 5)) for c in rng.normal(size=(12, 5))])
+    whole = np.floor(1024 * x).astype(int)
+    vectors = spark.createDataFrame([(i, [int(c) for c in r]) for i, r in enumerate(whole)], "vec_id long, v array<long>")
+    trees, boxes = topk_search.plant(vectors.withColumn("d", F.size("v")))
+    cells = len(boxes[5].cell)
+    assert cells > 12 and trees.selectExpr("sum(shards)").first()[0] >= cells
+    known = vectors.where("vec_id % 10 = 0").selectExpr("vec_id", "v", "size(v) as d", "0L as block")
+    every = whole @ whole[::10].T
+    least = {int(i): int(np.sort(np.delete(every[:, n], i))[-5]) for n, i in enumerate(range(0, 1200, 10))}
+    known = known.join(spark.createDataFrame(list(least.items()), "vec_id long, least long"), "vec_id")
+    sent = topk_search.visits(known, boxes, 0, cells).count()
+    assert sent < 0.6 * 120 * cells
+    got = {(r.query_id, r["rank"]): (r.score, r.vec_id) for r in topk_search.top_k(vectors, F.col("vec_id") % 10 == 0, 5).collect()}
+    for n, q in enumerate(range(0, 1200, 10)):
+        best = sorted((-int(s), i) for i, s in enumerate(every[:, n]) if i != q)[:5]
+        assert [got[q, k] for k in range(1, 6)] == [(-s, i) for s, i in best]
+
+
+def test_median_cells_of_equal_vectors():
+    """Vectors that are all alike share a cell, which is then split by a hash; one vector makes no cells."""
+    assert len(set(topk_search.Cells.fit(np.ones((64, 3), np.int64), 8).cell(np.ones((64, 3), np.int64)))) == 1
+    assert topk_search.Cells.fit(np.arange(3)[None], 8).cell(np.arange(6).reshape(2, 3)).tolist() == [0, 0]
+    spread = topk_search.Cells.fit(np.arange(64)[:, None], 8).cell(np.arange(64)[:, None])
+    assert np.bincount(spread).tolist() == [8] * 8
+
+
+def test_decontamination(spark, odd, monkeypatch):
     r = random.Random(3)
     words = vocabulary(300, 7)
     items = [(i, " ".join(r.choice(words) for _ in range(n))) for i, n in enumerate([3, 5, 16, 40, 90, 200])] + [(90, None), (91, ""), (None, "a b c d e f"), (3, None)]
@@ -296,6 +326,11 @@ def test_decontamination(spark, odd):
     assert clean.columns == docs.columns and clean.count() == docs.count() - len({d for d, *_ in want})
     assert decontaminate.contained_items(docs, bench.limit(0)).count() == 0
     assert decontaminate.contained_items(docs.limit(0), bench).count() == 0
+    # blocks of a few shingles, one after another
+    monkeypatch.setattr(decontaminate, "BLOCK", 20)
+    assert len(list(decontaminate._blocks(bench, 5))) > 1
+    assert sorted(tuple(x) for x in decontaminate.contained_items(docs, bench).collect()) == sorted(got)
+    assert sorted(map(str, decontaminate.without_contaminated(docs, bench).collect())) == sorted(map(str, clean.collect()))
 
 
 def test_surrogates(spark, odd):
@@ -342,6 +377,26 @@ def test_surrogates_of_names_and_accounts(spark):
     assert pii.with_surrogates(docs.limit(0)).count() == 0
 
 
+def test_names_that_differ_in_case(spark):
+    """Columns in another case are the operator's own ones: replaced where it makes them, read where it takes them."""
+    docs = spark.createDataFrame([(1, "write to amy.holt@mail.example", "en", "a", "mine", 9)], "Doc_ID long, Text string, lang string, source string, Topic string, N_Entities int")
+    out = pii.with_surrogates(docs)
+    assert out.columns == ["Doc_ID", "Text", "lang", "source", "Topic", "n_entities"]
+    row = out.first()
+    assert row.n_entities == 1 and "amy.holt" not in row.Text and row.Topic == "mine"
+    mixed = mixing.sample_to_targets(docs, rate=1.0)
+    assert sorted(mixed.columns) == sorted([*docs.columns, "n_tokens", "probability"]) and [r.Topic for r in mixed.collect()] == ["mine"]
+
+
+def test_surrogate_key_of_the_session(spark):
+    docs = spark.createDataFrame([(1, "write to amy.holt@mail.example")], "doc_id long, text string")
+    assert pii.session_key(spark) == "geoloom"
+    spark.conf.set("geoloom.pii.key", "other")
+    assert pii.session_key(spark) == "other"
+    spark.conf.unset("geoloom.pii.key")
+    assert pii.with_surrogates(docs, "other").first().text != pii.with_surrogates(docs).first().text
+
+
 def test_surrogates_stay_distinct(spark):
     entities = spark.createDataFrame([("ssn", f"{i:03d}") for i in range(600)], "kind string, name string")
     rows = pii.dictionary(entities.where("name < '300'"), "k").collect()

@@ -69,6 +69,7 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], tolerance: float = TOL
 
     missed = [F.abs(sums(m) / F.lit(total) - F.col(f"share_{m}")) / F.col(f"share_{m}") for m in targets]
     targeted = reduce(lambda a, b: a & b, [F.col(f"share_{m}") > 0 for m in targets])
+    miss = None
     for _ in range(0, most_rounds, ROUNDS):
         out = out.drop("missed")
         out = out.coalesce(1) if few else out  # one partition needs no shuffle for a window
@@ -79,7 +80,7 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], tolerance: float = TOL
         miss = out.agg(F.max("missed")).first()[0]
         if miss is None or miss <= tolerance:
             break
-    else:
+    if miss is not None and miss > tolerance:
         warnings.warn(f"raking ended after {most_rounds} rounds; a margin is missed by {miss:.2%} of its target", stacklevel=2)
     return out.drop("missed")
 

@@ -17,7 +17,9 @@ Two relations between sets save most comparisons:
   (where only classes are asked for; the number of links needs every pair). An entry
   whose bounds allow no partner but the pivot leaves the list before that.
 
-Candidates are verified on whole sets. Equal sets are one set throughout, so
+Candidates that wide signatures don't rule out (four bits or more for every shingle that
+similar sets may differ in, so they grow with the sets) are verified on whole sets. A
+list that has given all its pairs isn't sent again in later rounds. Equal sets are one set throughout, so
 copies cost nothing; shingles that many sets hold come last in the order, and
 their lists, where they are needed, are dealt to tasks as pairs of blocks.
 """
@@ -273,7 +275,7 @@ def _wide_passes(wide: list[bytes], x: np.ndarray, y: np.ndarray, room: np.ndarr
 
 def _open_pairs(percent: int, quota: int | None):
     def pairs(key, table):
-        """Pairs of different components in long lists, ``quota`` of each set at most; the last row tells whether a set had more."""
+        """Pairs of different components in long lists, ``quota`` of each set at most; then, without ``a``, the tokens of lists in which a set had more."""
         sets, comps = table.column("set").to_numpy(), table.column("comp").to_numpy()
         lists = [np.frombuffer(b"".join(x), ENTRY) for x in table.column("entries").to_pylist()]
         wide = table.column("wide").to_pylist()
@@ -282,14 +284,14 @@ def _open_pairs(percent: int, quota: int | None):
         order = np.lexsort((e["set"], e["n"], e["pos"], e["token"]))
         e, of = e[order], of[order]
         cuts = np.flatnonzero(np.r_[True, e["token"][1:] != e["token"][:-1], True])
-        a, b, more = [sets[:0]], [sets[:0]], False
+        a, b, more = [sets[:0]], [sets[:0]], []
         for i, j in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
             own, c, back = e[i:j], comps[of[i:j]], of[i:j]
             if (c == c[0]).all():
                 continue
             pos, n, sig = own["pos"].astype(np.int64), own["n"].astype(np.int64), own["sig"]
             stops = np.searchsorted(pos, _most_room(n, percent) - pos, "right")  # the list ascends by position
-            first = 0
+            first, over = 0, False
             while first < len(own) - 1:
                 last = min(len(own) - 1, first + max(1, 1_000_000 // len(own)))  # rows of one block of comparisons
                 stop = int(stops[first:last].max())
@@ -307,24 +309,26 @@ def _open_pairs(percent: int, quota: int | None):
                 x, y = x[keep], y[keep]
                 if quota is not None and len(x):
                     nth = np.arange(len(x)) - np.searchsorted(x, x)
-                    more |= bool((nth >= quota).any())
+                    over |= bool((nth >= quota).any())
                     x, y = x[nth < quota], y[nth < quota]
                 a.append(own["set"][x])
                 b.append(own["set"][y])
+            if over:
+                more.append(int(own["token"][:1].view(np.int64)[0]))
         out = _pair_table(np.concatenate(a), np.concatenate(b), []).drop_columns(["entries"])
-        return pa.concat_tables([out, pa.table({"a": pa.array([None], pa.int64()), "b": pa.array([None], pa.int64())})]) if more else out
+        return pa.concat_tables([out, pa.table({"a": pa.array([None] * len(more), pa.int64()), "b": pa.array(more, pa.int64())})])
 
     return pairs
 
 
-def _wide_signature(own: np.ndarray) -> bytes:
-    """Parity of at least as many bits as the set has shingles, a power of two of them."""
-    bits = max(64, 1 << int(len(own) - 1).bit_length())
+def _wide_signature(own: np.ndarray, percent: int) -> bytes:
+    """Parity of bits, a power of two of them and at least four times the set's room: sets with nothing in common differ in half of them."""
+    bits = max(64, 1 << (4 * int(_most_room(np.array(len(own)), percent))).bit_length())
     return np.packbits((np.bincount((own >> np.uint64(11)).astype(np.int64) & (bits - 1), minlength=bits) & 1).astype(np.uint8)).tobytes()
 
 
-def _sets_of(docs: DataFrame, ids: DataFrame, k: int, wide: bool = False) -> DataFrame:
-    """``s, n`` and the whole set (``tokens``), or its wide signature, of the set ids ``s`` in ``ids``.
+def _sets_of(docs: DataFrame, ids: DataFrame, k: int, wide: int | None = None) -> DataFrame:
+    """``s, n`` and the whole set (``tokens``), or its wide signature for a threshold of ``wide`` percent, of the set ids ``s`` in ``ids``.
 
     Sets are made again from the texts, in one pass; a Bloom filter of bounded size
     keeps back nearly all that aren't asked for, and a join the rest.
@@ -356,7 +360,7 @@ def _sets_of(docs: DataFrame, ids: DataFrame, k: int, wide: bool = False) -> Dat
             seen = [(bloom[(place >> np.uint64(6)).astype(np.int64)] >> (place & np.uint64(63))) & np.uint64(1) == 1 for place in places(ids[rows])]
             rows = rows[seen[0] & seen[1]]
             own = [tokens[at[r] : at[r + 1]] for r in rows]
-            value = [_wide_signature(x) if wide else x.tobytes() for x in own]
+            value = [x.tobytes() if wide is None else _wide_signature(x, wide) for x in own]
             yield pa.RecordBatch.from_arrays([pa.array(ids[rows].view(np.int64)), pa.array(n[rows].astype(np.int64)), pa.array(value, pa.binary())], ["s", "n", "tokens"])
 
     sets = texts(docs).mapInArrow(scan, "s long, n long, tokens binary")
@@ -389,6 +393,21 @@ def _both_sides(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return none.union(one).union(both)
 
 
+def _near(pairs: DataFrame, wide: DataFrame, percent: int) -> DataFrame:
+    """The pairs of set ids that their wide signatures don't rule out, so that whole sets are sent for few others than similar ones."""
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = max(1, batch.num_rows * (16 << 20) // max(1, batch.nbytes))  # of 16 MB
+            for part in (batch.slice(i, rows) for i in range(0, batch.num_rows, rows)):
+                a, b, n, m = (part.column(i).to_numpy() for i in range(4))
+                at = np.arange(len(a))
+                ok = _wide_passes(part.column(4).to_pylist() + part.column(5).to_pylist(), at, at + len(a), _needed(n, m, percent))
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)[ok]), pa.array(np.maximum(a, b)[ok])], ["a", "b"])
+
+    return _both_sides(pairs, wide).mapInArrow(keep, "a long, b long")
+
+
 def _verified(docs: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame:
     """The pairs of set ids whose whole sets are similar enough."""
     sets = _sets_of(docs, pairs.select(F.explode(F.array("a", "b")).alias("s")).distinct(), k)
@@ -445,8 +464,11 @@ def similar_sets(docs: DataFrame, k: int, percent: int, full: bool = False) -> t
                     yield pa.RecordBatch.from_arrays([pa.array(part["token"].astype(np.uint64).view(np.int64)), pa.array(part["set"].astype(np.int64)), pa.array([r.tobytes() for r in part], pa.binary())], ["token", "set", "entry"])
 
     lists = materialise(found.where("entries is not null").select("entries").mapInArrow(unpack, "token long, set long, entry binary"), "open_lists")
-    links = materialise(_verified(docs, first, k, percent), "links")
-    tried, quota, wide = first, None if full else FIRST_ASKED, None
+    ids = first.select(F.explode(F.array("a", "b")).alias("s")).union(lists.select(F.col("set").alias("s"))).distinct()
+    wide = _sets_of(docs, materialise(ids, "asked_ids"), k, percent)
+    tried = materialise(_near(first, wide, percent), "near_pairs")
+    links = materialise(_verified(docs, tried, k, percent), "links")
+    quota = None if full else FIRST_ASKED
     while True:
         if full:
             open_now = lists.withColumn("comp", F.col("set"))
@@ -456,16 +478,16 @@ def similar_sets(docs: DataFrame, k: int, percent: int, full: bool = False) -> t
             labelled = lists.join(labels.hint("merge"), "set", "left").withColumn("comp", F.coalesce("component", "set")).drop("component")
             several = labelled.groupBy("token").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("token")
             open_now = labelled.join(several.hint("merge"), "token", "left_semi")
-        if wide is None:  # lists only shrink
-            wide = _sets_of(docs, materialise(open_now.select(F.col("set").alias("s")).distinct(), "open_sets"), k, True)
         by_set = open_now.groupBy(F.pmod(F.xxhash64("token"), F.lit(groups)).alias("grp"), "set").agg(F.first("comp").alias("comp"), F.collect_list("entry").alias("entries"))
         given = by_set.join(wide.select(F.col("s").alias("set"), F.col("tokens").alias("wide")).hint("merge"), "set")
         asked = materialise(given.groupBy("grp").applyInArrow(_open_pairs(percent, quota), "a long, b long"), "open_pairs")
         fresh = materialise(asked.where("a is not null").distinct().join(tried.hint("merge"), ["a", "b"], "left_anti"), "fresh_pairs")
         if fresh.limit(1).count():
             links = materialise(links.union(_verified(docs, fresh, k, percent)), "links")
-        if quota is None or not asked.where("a is null").limit(1).count():
+        over = asked.where("a is null").select(F.col("b").alias("token"))
+        if quota is None or not over.limit(1).count():
             return own, links
+        lists = materialise(lists.join(over.hint("merge"), "token", "left_semi"), "open_lists")  # the others have given all their pairs
         tried, quota = materialise(tried.union(fresh), "tried_pairs"), quota * 8
 
 

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from geoloom.llm.corpus import table, texts, unused
 from geoloom.llm.text import mix, shingle_sets, slices, utf8
-from geoloom.operators.components import connected_components
+from geoloom.operators.components import connected_components, with_links
 from geoloom.sources.shared import materialise
 
 HOT_MOST = 20_000  # shingles that are known to be frequent; the order of the rest is by hash
@@ -373,16 +373,21 @@ def _both_sides(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
     A set in more than HUB_PAIRS pairs, such as a pivot of many, is copied and its
     pairs are dealt to the copies, so that no task gets all of them. The others
-    are joined where they are.
+    are joined where they are. Without such sets their joins, seven of nine, are left
+    out: each exchange is a thread of the driver for a minute.
     """
     often = pairs.select(F.explode(F.array("a", "b")).alias("s")).groupBy("s").agg(F.ceil(F.count("*") / HUB_PAIRS).cast("int").alias("parts")).where("parts > 1")
+    often = materialise(often, "hubs")
     hub = lambda c: often.select(F.col("s").alias(c), F.col("parts").alias(f"p{c}"))
+    side = lambda df, c, *more: df.select(F.col("s").alias(c), *(F.col(m).alias(f"{m}{c}") for m in more), F.col("n").alias(f"n{c}"), F.col("tokens").alias(f"t{c}"))
+    columns = "a", "b", "na", "nb", "ta", "tb"
+    plain = lambda some: some.select("a", "b").join(side(sets, "a"), "a").join(side(sets, "b"), "b").select(*columns)
+    if not often.limit(1).count():
+        return plain(pairs)
     known = materialise(pairs.join(hub("a"), "a", "left").join(hub("b"), "b", "left").select("a", "b", "pa", "pb"), "pair_hubs")
     copies = sets.join(often, "s").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    side = lambda df, c, *more: df.select(F.col("s").alias(c), *(F.col(m).alias(f"{m}{c}") for m in more), F.col("n").alias(f"n{c}"), F.col("tokens").alias(f"t{c}"))
     part = lambda other, parts: F.pmod(F.xxhash64(other), F.col(parts).cast("long")).cast("int")
-    columns = "a", "b", "na", "nb", "ta", "tb"
-    none = known.where("pa is null and pb is null").select("a", "b").join(side(sets, "a"), "a").join(side(sets, "b"), "b").select(*columns)
+    none = plain(known.where("pa is null and pb is null"))
     # the hub is called a
     one = known.where("(pa is null) <> (pb is null)").select(
         F.when(F.col("pa").isNotNull(), F.col("a")).otherwise(F.col("b")).alias("a"), F.when(F.col("pa").isNotNull(), F.col("b")).otherwise(F.col("a")).alias("b"), F.coalesce("pa", "pb").alias("p")
@@ -425,13 +430,15 @@ def _verified(docs: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFr
     return _both_sides(pairs, sets).mapInArrow(keep, "a long, b long")
 
 
-def similar_sets(docs: DataFrame, k: int, percent: int, full: bool = False) -> tuple[DataFrame, DataFrame]:
-    """Members and links.
+def similar_sets(docs: DataFrame, k: int, percent: int, full: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Members, links and the components of the links.
 
     Members: ``doc_id, row_key, n_shingles, set_id`` for every document (set id 0: no
     shingle). Links: pairs ``a, b`` of set ids that are similar; with ``full`` all of
     them, so as many as the square of a family of near copies. Else, between sets
     of one component they are enough to connect it.
+    Components: ``node, component`` of every set id that has a link. They are kept
+    through the rounds, which only add links.
     """
     rows = materialise(members(docs, k), "members")
     hot, counts = frequent_shingles(rows)
@@ -468,14 +475,14 @@ def similar_sets(docs: DataFrame, k: int, percent: int, full: bool = False) -> t
     wide = _sets_of(docs, materialise(ids, "asked_ids"), k, percent)
     tried = materialise(_near(first, wide, percent), "near_pairs")
     links = materialise(_verified(docs, tried, k, percent), "links")
+    labels = connected_components(links, "a", "b")
     quota = None if full else FIRST_ASKED
     while True:
         if full:
             open_now = lists.withColumn("comp", F.col("set"))
         else:
             # a list without a second component has no more to tell
-            labels = connected_components(links, "a", "b").select(F.col("node").alias("set"), "component")
-            labelled = lists.join(labels.hint("merge"), "set", "left").withColumn("comp", F.coalesce("component", "set")).drop("component")
+            labelled = lists.join(labels.withColumnRenamed("node", "set").hint("merge"), "set", "left").withColumn("comp", F.coalesce("component", "set")).drop("component")
             several = labelled.groupBy("token").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("token")
             open_now = labelled.join(several.hint("merge"), "token", "left_semi")
         by_set = open_now.groupBy(F.pmod(F.xxhash64("token"), F.lit(groups)).alias("grp"), "set").agg(F.first("comp").alias("comp"), F.collect_list("entry").alias("entries"))
@@ -483,10 +490,11 @@ def similar_sets(docs: DataFrame, k: int, percent: int, full: bool = False) -> t
         asked = materialise(given.groupBy("grp").applyInArrow(_open_pairs(percent, quota), "a long, b long"), "open_pairs")
         fresh = materialise(asked.where("a is not null").distinct().join(tried.hint("merge"), ["a", "b"], "left_anti"), "fresh_pairs")
         if fresh.limit(1).count():
-            links = materialise(links.union(_verified(docs, fresh, k, percent)), "links")
+            more = materialise(_verified(docs, fresh, k, percent), "more_links")
+            links, labels = links.union(more), with_links(labels, more)
         over = asked.where("a is null").select(F.col("b").alias("token"))
         if quota is None or not over.limit(1).count():
-            return own, links
+            return own, links, labels
         lists = materialise(lists.join(over.hint("merge"), "token", "left_semi"), "open_lists")  # the others have given all their pairs
         tried, quota = materialise(tried.union(fresh), "tried_pairs"), quota * 8
 
@@ -503,9 +511,9 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, count_links:
     has another id. Without ``count_links`` there is no ``n_links``, and pairs
     that don't change a class aren't compared.
     """
-    own, links = similar_sets(docs, k, percent, count_links)
+    own, links, labels = similar_sets(docs, k, percent, count_links)
     degree = links.select(F.explode(F.array("a", "b")).alias("set_id")).groupBy("set_id").agg(F.count("*").alias("n_links"))
-    labels = connected_components(links, "a", "b").select(F.col("node").alias("set_id"), "component")
+    labels = labels.withColumnRenamed("node", "set_id")
     least = own.where("set_id <> 0").groupBy("set_id").agg(F.min("doc_id").alias("least"))
     sets = least.join(labels, "set_id", "left").join(degree, "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
     first = sets.groupBy("component").agg(F.min("least").alias("component_id"))
@@ -525,8 +533,8 @@ def one_of_each(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     Rows of equal id and text count as one row, and one stays. Long texts are read
     whole, other columns stay whatever their names, an empty table gives no rows.
     """
-    own, links = similar_sets(docs, k, percent)
-    labels = connected_components(links, "a", "b").select(F.col("node").alias("set_id"), "component")
+    own, _, labels = similar_sets(docs, k, percent)
+    labels = labels.withColumnRenamed("node", "set_id")
     place = F.struct(F.col("doc_id").isNull().alias("late"), F.col("doc_id").alias("id"), F.col("row_key").alias("key"))
     best = own.where("set_id <> 0").groupBy("set_id").agg(F.min(place).alias("best"))
     best = best.join(labels, "set_id", "left").groupBy(F.coalesce("component", "set_id").alias("class")).agg(F.min("best").alias("best"))

@@ -49,3 +49,34 @@ def test_lists_that_gave_all_their_pairs_are_done():
     assert [(x["a"], x["b"]) for x in out] == [(1, 2), (2, 3), (3, 4), (5, 6), (None, -(1 << 63))]
     out = jaccard_join._open_pairs(90, 3)(None, table).to_pylist()
     assert len(out) == 7 and all(x["a"] is not None for x in out)
+
+
+def test_components_are_kept_through_the_rounds(spark, monkeypatch):
+    """Components are made from all links once, and neither the rounds nor the result make them again."""
+    calls, labelled = [], jaccard_join.connected_components
+    monkeypatch.setattr(jaccard_join, "connected_components", lambda *a: calls.append(a) or labelled(*a))
+    # a window slides over one text: a document is similar to the next one only
+    words = [f"w{i}" for i in range(160)]
+    texts = [" ".join(words[i : i + 62]) for i in range(0, 80, 2)]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    assert {x.component_id for x in jaccard_join.near_duplicates(docs, 3, 90, count_links=False).collect()} == {0}
+    assert [x.doc_id for x in jaccard_join.one_of_each(docs, 3, 90).collect()] == [0]
+    assert len(calls) == 2  # one for each of the two queries
+
+
+def test_pairs_meet_their_sets_with_and_without_hubs(spark, monkeypatch):
+    """Every pair gets both sides' sets, whichever side is a hub; without hubs two joins are enough."""
+    monkeypatch.setattr(jaccard_join, "HUB_PAIRS", 5)
+    sets = spark.createDataFrame([(i, i + 1, bytes([i])) for i in range(40)], "s long, n long, tokens binary")
+    star = [(0, i) for i in range(1, 30)] + [(i, 39) for i in range(1, 12)] + [(0, 39)]
+    few = [(i, i + 1) for i in range(10)]
+    frame, joins = type(sets), []
+    join = frame.join
+    for edges in (star, few, []):
+        joins.clear()
+        with monkeypatch.context() as m:
+            m.setattr(frame, "join", lambda self, *a, **k: joins.append(1) or join(self, *a, **k))
+            got = jaccard_join._both_sides(spark.createDataFrame(edges, "a long, b long"), sets).collect()
+        assert sorted((*sorted((x.a, x.b)), *sorted((x.na - 1, x.nb - 1)), *sorted((x.ta[0], x.tb[0]))) for x in got) == sorted(e * 3 for e in edges)
+        assert all((x.na, x.nb, x.ta[0], x.tb[0]) == (x.a + 1, x.b + 1, x.a, x.b) for x in got)
+        assert edges == star or len(joins) == 2

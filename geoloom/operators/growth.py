@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from itertools import count
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from geoloom.functions.vectors import clipped, distance, floored, quartiles, robust_ratio
@@ -216,14 +219,23 @@ def frozen_growth_round(edges: DataFrame, labels: DataFrame, limit: float, proje
     return each.withColumn("r", F.row_number().over(order)).where("r = 1").select(F.col("outer").alias("pid"), F.col("comp").alias("label"), "ratio_o", "ratio_p")
 
 
-def frozen_growth(edges: DataFrame, labels: DataFrame, limit: float, projected: float) -> DataFrame:
+FROZEN = 2_000_000  # edges whose rounds of frozen growth one task runs
+
+
+def frozen_growth(edges: DataFrame, labels: DataFrame, limit: float, projected: float, small: int = FROZEN) -> DataFrame:
     """Rounds of :func:`frozen_growth_round` until no cluster claims a point; each round measures the clusters anew.
 
     Returns ``pid, label, round``: the round in which a point was claimed, 0 where
-    it kept its label. Clusters never merge.
+    it kept its label. Clusters never merge. There are as many rounds as the longest
+    way of a cluster into the noise has steps, and each depends on all that the one
+    before claimed. Up to ``small`` edges, one task runs them all; more take a few jobs a round.
     """
     edges = materialise(edges.select("u", "v", "len_o", "len_p"), "edges")
     state = labels.select("pid", F.col("label").cast("long"), F.lit(0).alias("round"))
+    if edges.count() <= small:
+        sided = labelled_edges(edges, state.select("pid", F.coalesce("label", F.lit(-2)).alias("comp"))).repartition(1)
+        won = materialise(sided.mapInArrow(lambda b: _frozen_rounds(b, limit, projected), "pid long, to long, won int"), "claims")
+        return state.join(won, "pid", "left").select("pid", F.coalesce("to", "label").alias("label"), F.coalesce("won", "round").alias("round"))
     for number in count(1):  # every round but the last assigns a point
         won = materialise(frozen_growth_round(edges, state, limit, projected).select("pid", F.col("label").alias("to")), "claims")
         if not won.limit(1).count():
@@ -231,6 +243,82 @@ def frozen_growth(edges: DataFrame, labels: DataFrame, limit: float, projected:
         state = materialise(state.join(won, "pid", "left").select("pid", F.coalesce("to", "label").alias("label"), F.when(F.col("to").isNotNull(), F.lit(number)).otherwise(F.col("round")).alias("round")), "frozen")
 
 
+def _interpolated(x: np.ndarray, p: float) -> float:
+    """Quantile of ascending values as Spark's percentile has it; NaN of none."""
+    if not len(x):
+        return np.nan
+    at = p * (len(x) - 1)
+    low, high = int(np.floor(at)), int(np.ceil(at))
+    return x[low] if low == high or x[low] == x[high] else (high - at) * x[low] + (at - low) * x[high]
+
+
+def _frozen_rounds(batches: Iterator[pa.RecordBatch], limit: float, projected: float) -> Iterator[pa.RecordBatch]:
+    """All claims ``pid, to, won`` (the round) of frozen growth over edges ``u, v, len_o, len_p, cu, cv``.
+
+    The lengths that touch a cluster are kept in order, and a claim adds those of
+    its point; a round looks only at edges from clusters to points without one.
+    """
+    t = pa.Table.from_batches(list(batches))
+    if not t.num_rows:
+        return
+    u, v, cu, cv = (t.column(c).to_numpy().astype(np.int64) for c in ("u", "v", "cu", "cv"))
+    lengths = np.stack([t.column(c).to_numpy().astype(float) for c in ("len_o", "len_p")])
+    known = np.stack([~t.column(c).is_null().to_numpy().astype(bool) for c in ("len_o", "len_p")])  # percentile leaves nulls out
+    pids, ends = np.unique(np.r_[u, v], return_inverse=True)
+    ends = ends.reshape(2, -1)
+    label = np.empty(len(pids), np.int64)
+    label[ends[0]], label[ends[1]] = cu, cv
+    of = np.argsort(ends.ravel(), kind="stable") % len(u)  # the edges of each point
+    first = np.r_[0, np.cumsum(np.bincount(ends.ravel(), minlength=len(pids)))]
+    names = np.unique(label[label >= 0])
+    place = np.where(label >= 0, np.searchsorted(names, label), np.where(label == -1, -1, -2))  # the cluster's position
+    held = [[np.zeros(0), np.zeros(0)] for _ in names]
+    scale = np.full((len(names), 2, 2), np.nan)  # median and q75 in both spaces
+
+    def add(edge: np.ndarray, cluster: np.ndarray) -> None:
+        order = np.argsort(cluster, kind="stable")
+        edge, cluster = edge[order], cluster[order]
+        cuts = np.r_[0, np.flatnonzero(np.diff(cluster)) + 1, len(cluster)]
+        for i, j in zip(cuts[:-1], cuts[1:]):
+            for k in range(2):
+                new = np.sort(lengths[k, edge[i:j][known[k, edge[i:j]]]])
+                had = held[cluster[i]][k]
+                held[cluster[i]][k] = had = np.insert(had, np.searchsorted(had, new), new) if len(had) else new
+                scale[cluster[i], k] = _interpolated(had, 0.5), _interpolated(had, 0.75)
+
+    at = place[ends]
+    both = at[0] == at[1]
+    touching = [np.flatnonzero((at[k] >= 0) & (~both if k else True)) for k in range(2)]
+    if any(map(len, touching)):
+        add(np.concatenate(touching), np.concatenate([at[k, e] for k, e in enumerate(touching)]))
+    # edges from a cluster's end to one without
+    starts = [np.flatnonzero((at[k] >= 0) & (at[1 - k] == -1)) for k in range(2)]
+    rim, side = np.concatenate(starts), np.repeat([0, 1], [len(e) for e in starts])
+    for number in count(1):
+        mine, outer = place[ends[side, rim]], ends[1 - side, rim]
+        spread = scale[mine, :, 1] - scale[mine, :, 0]
+        ratio = (lengths[:, rim].T - scale[mine, :, 0]) / np.where(np.isnan(spread), spread, np.maximum(spread, 1e-12))
+        ok = np.flatnonzero((ratio[:, 0] < limit) & (ratio[:, 1] < projected))
+        if not len(ok):
+            return
+        o, p = ratio[ok].T
+        best = ok[np.lexsort((names[mine[ok]], v[rim[ok]], u[rim[ok]], p, o, np.maximum(o / limit, p / projected)))]
+        taken, pick = np.unique(outer[best], return_index=True)  # the first of each point
+        to = mine[best[pick]]
+        yield pa.RecordBatch.from_arrays([pa.array(pids[taken]), pa.array(names[to]), pa.array(np.full(len(taken), number, np.int32))], ["pid", "to", "won"])
+        n = first[taken + 1] - first[taken]
+        edge = of[np.repeat(first[taken] - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())]
+        point, cluster = np.repeat(taken, n), np.repeat(to, n)
+        across = np.where(ends[0, edge] == point, ends[1, edge], ends[0, edge])
+        fresh = np.unique(np.c_[edge, cluster][place[across] != cluster], axis=0)
+        place[taken] = to
+        if len(fresh):
+            add(fresh[:, 0], fresh[:, 1])
+        stay = place[outer] == -1
+        more = place[across] == -1
+        rim, side = np.r_[rim[stay], edge[more]], np.r_[side[stay], (ends[1, edge[more]] == point[more]).astype(int)]
+
+
 def growth_added_points(pts: DataFrame, labels: DataFrame, large: DataFrame, state: DataFrame) -> DataFrame:
     """``pid, comp`` of points outside the large seed components (``labels, large``) that growth (``state``) brought into one of theirs."""
     final = components(pts, state.where("seed or accepted").select("u", "v"))

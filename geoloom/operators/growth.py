@@ -258,9 +258,10 @@ def _frozen_rounds(batches: Iterator[pa.RecordBatch], limit: float, projected: f
     The lengths that touch a cluster are kept in order, and a claim adds those of
     its point; a round looks only at edges from clusters to points without one.
     """
-    t = pa.Table.from_batches(list(batches))
-    if not t.num_rows:
+    batches = [b for b in batches if b.num_rows]
+    if not batches:
         return
+    t = pa.Table.from_batches(batches)
     u, v, cu, cv = (t.column(c).to_numpy().astype(np.int64) for c in ("u", "v", "cu", "cv"))
     lengths = np.stack([t.column(c).to_numpy().astype(float) for c in ("len_o", "len_p")])
     known = np.stack([~t.column(c).is_null().to_numpy().astype(bool) for c in ("len_o", "len_p")])  # percentile leaves nulls out

@@ -9,6 +9,8 @@ problems fit into tasks.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
@@ -111,15 +113,47 @@ def condensed(tree: DataFrame, leaves: DataFrame, least: int) -> tuple[DataFrame
     return clusters.join(gone, "cluster", "left").select("cluster", "parent", "birth", "size", stability.alias("stability")), points
 
 
-def chosen(clusters: DataFrame, method: str = "eom") -> DataFrame:
+FEW = 1_000_000  # clusters that one task chooses from
+
+
+def _excess_of_mass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``cluster, label`` of all clusters ``cluster, parent, stability``: up from the leaves for their worth, down again for the topmost picks."""
+    batches = [b for b in batches if b.num_rows]
+    if not batches:
+        return
+    t = pa.Table.from_batches(batches)
+    order = np.argsort(t.column("cluster").to_numpy())  # sums in a fixed order
+    cluster, parent, stability = (t.column(c).to_numpy()[order] for c in ("cluster", "parent", "stability"))
+    up = np.searchsorted(cluster, parent)
+    up = np.where(cluster[np.minimum(up, len(cluster) - 1)] == parent, up, -1).tolist()
+    waiting = np.bincount([x for x in up if x >= 0], minlength=len(cluster)).tolist()
+    inner, below, own = [n > 0 for n in waiting], [0.0] * len(up), stability.tolist()
+    ready = [i for i, n in enumerate(waiting) if not n]
+    for i in ready:  # grows at its end
+        if up[i] >= 0:
+            below[up[i]] += max(below[i], own[i]) if inner[i] else own[i]
+            waiting[up[i]] -= 1
+            if not waiting[up[i]]:
+                ready.append(up[i])
+    label = [-1] * len(up)
+    for i in reversed(ready):
+        label[i] = label[up[i]] if up[i] >= 0 and label[up[i]] >= 0 else i if not inner[i] or below[i] <= own[i] else -1
+    label = np.array(label)
+    yield pa.RecordBatch.from_arrays([pa.array(cluster[label >= 0]), pa.array(cluster[label[label >= 0]])], ["cluster", "label"])
+
+
+def chosen(clusters: DataFrame, method: str = "eom", few: int = FEW) -> DataFrame:
     """``cluster, label``: the chosen cluster that each cluster belongs to; clusters outside any have no row.
 
     ``eom``: from the leaves up, a cluster is chosen unless its children's choices are
-    worth more. ``leaf``: clusters without children. Tops of trees are never chosen.
+    worth more; up to ``few`` clusters in one task, more in as many rounds as the tree
+    is deep. ``leaf``: clusters without children. Tops of trees are never chosen.
     """
     if method not in ("eom", "leaf"):
         raise ValueError(f"unknown method: {method}")
     state = materialise(clusters.where("parent is not null").select("cluster", "parent", "stability"), "choice")
+    if method == "eom" and state.count() <= few:
+        return materialise(state.repartition(1).mapInArrow(_excess_of_mass, "cluster long, label long"), "choices")
     parents = state.select(F.col("parent").alias("cluster")).distinct()
     inner = materialise(state.join(parents, "cluster", "left_semi"), "inner_clusters")
     done = materialise(state.join(parents, "cluster", "left_anti").select("cluster", "parent", F.col("stability").alias("worth"), F.lit(True).alias("pick")), "choices")
